@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, url_filter
+from . import chat_format, secret_scan, sentence_pieces, url_filter
 
-MODULES = (chat_format, url_filter)
+MODULES = (chat_format, sentence_pieces, secret_scan, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,66 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from folioquery.llm import secret_scan as S
+
+ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    text = text or ""
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+def texts():
+    r = random.Random(1)
+    bits = ["password", "Secret", "toKen", "api_key", "APIKEY", "paſſword", "toKen", '"', "'", " ", "  ", ":", "=", "abc", "x" * 7, "AKIA", "A1B2" * 5, "deadbeef" * 3, "0f" * 11, "ü", "😀", "\n", "passwd=abc\"=abcdef", "-----BEGIN RSA PRIVATE KEY-----"]
+    return ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(400)] + ["", None, "token=token=abcdefg", "a" * 24, "AKIAAKIA" + "Z" * 16, "secret: " + "b" * 100_000]
+
+
+def test_spans_against_brute_force(spark):
+    all_texts = texts()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(all_texts)], "doc_id long, text string, blob string")
+    out = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in S.scan(docs).collect()}
+    assert len(out) == len(all_texts)
+    for i, t in enumerate(all_texts):
+        assert [s for s in out[i] if s[0] != "pem"] == base_spans(t), t
+    assert any(s[0] == "pem" for found in out.values() for s in found)
+
+
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    first = spark.createDataFrame([("a", "token=abcdef"), ("b", "token=abcdef"), ("c", "clean"), (None, None)], "path string, text string")
+    one = S.scan(first, "path", ledger, S.RULES[:1])
+    assert {r["path"]: len(r["spans"]) for r in one.collect()} == {"a": 1, "b": 1, "c": 0, None: 0}
+    assert spark.read.parquet(ledger).count() == 3  # three blobs, one rule
+    versions = first.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    assert S.unseen(versions, S.read_ledger(spark, ledger), S.RULES[:1]).count() == 0
+    more = first.unionByName(spark.createDataFrame([("d", "AKIA" + "Z" * 16), ("a", "token=abcdef")], first.schema))
+    two = S.scan(more, "path", ledger, S.RULES[:2])
+    assert sorted((r["path"], len(r["spans"])) for r in two.collect() if r["path"]) == [("a", 1), ("a", 1), ("b", 1), ("c", 0), ("d", 1)]
+    assert spark.read.parquet(ledger).count() == 3 + 3 + 2  # rule 2 on the old blobs, both on the new one
+
+
+def test_empty_and_redaction(spark):
+    assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    text = "ü token=abcdef " + "0f" * 13 + " api_key=" + "ab" * 12 + " end"
+    df = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r["t"] for r in df.join(S.scan(df), "doc_id").select("doc_id", S.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert out == {1: "ü [assign] [hex] [assign] end", 2: "clean", 3: None}
+
+
+def test_query(spark):
+    from folioquery.llm.common import table
+
+    docs = {r["doc_id"]: r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    out = S.op7_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert len(out) == len(docs) and sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in out) > 0
+    for r in out:
+        want = base_spans(docs[r["doc_id"]])
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in want) == ",".join(s for s in r["spans"].split(",") if not s.startswith("pem"))
