@@ -28,11 +28,17 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir so that its lineage ends; a lost executor costs one task."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # tests and local runs
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a new local one where it is unset, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder so that its lineage ends; a lost executor costs one task."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -102,10 +108,14 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if not len(start):
         return Words(data, np.zeros(0, np.uint64), start, end, first)
     long = end - start
-    packed = np.cumsum(long) - long
+    return Words(data, run_hashes(data[inside], np.cumsum(long) - long, long), start, end, first)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; the runs tile data."""
     power = np.concatenate([np.ones(1, np.uint64), np.full(int(long.max()) - 1, _BASE)]).cumprod(dtype=np.uint64)
-    values = _BYTE[data[inside]] * power[np.arange(int(long.sum())) - np.repeat(packed, long)]
-    return Words(data, mix(np.add.reduceat(values, packed)), start, end, first)
+    values = _BYTE[data] * power[np.arange(len(data)) - np.repeat(start, long)]
+    return mix(np.add.reduceat(values, start))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -119,8 +129,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(a, b - a)
 
 
-def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """work over the rows of each key, of which there are few enough for a task (see split_hot).
+def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """work over the rows of each key, sorted by order, of which there are few enough for a task (see split_hot).
 
     Unlike a grouped-map function it costs little for a group, so millions of small groups are fine.
     """
@@ -152,7 +162,7 @@ def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordB
         if held:
             yield from _joined([work(pa.Table.from_batches(held))])
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).select(*names).mapInArrow(run, schema)
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).select(*names).mapInArrow(run, schema)
 
 
 def _joined(parts: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
