@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, secret_scan, sentence_pieces, token_shards, url_filter
+from . import chat_format, secret_scan, sentence_pieces, token_shards, toxicity, url_filter
 
-MODULES = (chat_format, sentence_pieces, secret_scan, token_shards, url_filter)
+MODULES = (toxicity, chat_format, sentence_pieces, secret_scan, token_shards, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
