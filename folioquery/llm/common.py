@@ -130,7 +130,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """work over the rows of each key, sorted by order, of which there are few enough for a task (see split_hot).
+    """work over the rows of each key, sorted by order, of which there are few enough for a task (see group_plan).
 
     Unlike a grouped-map function it costs little for a group, so millions of small groups are fine.
     """
@@ -170,20 +170,20 @@ def _joined(parts: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
 
-def split_hot(df: DataFrame, keys: list[str], row: Column, limit: int, weight: Column | None = None, most: int = 1 << 24) -> DataFrame:
-    """df with columns _i, _j, _side: every two rows of a key meet in one group (keys, _i, _j), of 2 * limit rows at most.
+def group_plan(rows: DataFrame, keys: list[str], row: Column, limit: int, weight: Column | None = None, most: int = 1 << 22) -> DataFrame:
+    """rows with columns _i, _j: every two rows of a key meet in some group (keys, _i, _j), of 2 * limit rows or so.
 
     A key of up to limit rows (and most bytes of weight) is one group. A hotter one is dealt by the hash of row into
-    parts, and each two parts make a group: no rows are dropped, and no task holds the whole key. In groups with
-    _i < _j only rows of unlike _side are to be compared. Keys with one row are left out.
+    parts, and each two parts make a group: no rows are dropped, and no task holds the whole key. Keys with one row
+    are left out. Give it light rows, and join the heavy columns afterwards.
     """
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight is not None else [])
-    sizes = df.groupBy(*keys).agg(*sums).where("_n > 1")
+    sizes = rows.groupBy(*keys).agg(*sums).where("_n > 1")
     parts = F.ceil(F.col("_n") / limit) if weight is None else F.greatest(F.ceil(F.col("_n") / limit), F.ceil(F.col("_w") / most))
     sizes = sizes.select(*keys, parts.cast("int").alias("_parts"))
     own = F.pmod(F.xxhash64(F.lit("part"), row), F.col("_parts")).cast("int")
-    out = df.join(sizes, keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return out.select(*df.columns, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).cast("int").alias("_side"))
+    out = rows.join(sizes, keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return out.select(*rows.columns, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
 
 def roots(linked: np.ndarray) -> np.ndarray:
