@@ -39,8 +39,10 @@ MODEL = "byte_bpe_50k.json"
 #: Bytes of text that make a shard, on average.
 SHARD_BYTES = 8 << 20
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 BLOCK = 512
+#: Shards up to which the list of their first places is broadcast.
+BASES = 1_000_000
 _HEAD = struct.Struct("<4sIIIQ")
 
 
@@ -59,7 +61,7 @@ class WaveletMatrix:
         planes = max(1, int(ids.max(initial=0)).bit_length())
         bits, zeros, ranks = [], [], []
         for p in range(planes - 1, -1, -1):
-            one = (ids >> p & 1).astype(bool)
+            one = (ids & ids.dtype.type(1 << p)) != 0
             packed = np.packbits(one, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             ones = np.bitwise_count(packed.reshape(-1, BLOCK // 8)).sum(1, dtype=np.uint32)
@@ -119,12 +121,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order: each plane, from the last, puts the values below it back in their places."""
-        value = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.bits) <= 16 else np.uint32
+        value = np.zeros(self.n, kind)
         for p in range(len(self.bits) - 1, -1, -1):
             one = np.unpackbits(self.bits[p], bitorder="little")[: self.n].astype(bool)
             above = np.empty_like(value)
             above[~one] = value[: self.zeros[p]]
-            above[one] = value[self.zeros[p] :] | np.uint32(1 << (len(self.bits) - 1 - p))
+            above[one] = value[self.zeros[p] :] | kind(1 << (len(self.bits) - 1 - p))
             value = above
         return value
 
@@ -179,13 +182,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.first, self.many, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.first, self.many, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's end."""
         data, at = buffers(texts)
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+            return self.flat[:0], np.zeros(len(at) - 1, np.int64)
         plain = (data > 32) & (data < 127)
         plain[1:] |= data[:-1] == 0xC3
         cut = np.zeros(len(data) + 1, bool)
@@ -203,7 +206,7 @@ class Encoder:
             self._learn(distinct[new], words.take(pa.array(some)), (end - start)[some], (data[start[some]] == 32) & plain[end[some] - 1])
             place = np.searchsorted(self.known, distinct)
         place = place[which]
-        many = self.many[place]
+        many = self.many[place].astype(np.int64)
         out = self.flat[np.repeat(self.first[place] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
         if self.width[out].sum() != len(data):
             raise ValueError("the ids do not tile the texts")
@@ -218,18 +221,19 @@ class Encoder:
         joined, total = b"".join(words.filter(pa.array(regular)).to_pylist()), np.cumsum(long[regular])
         other = [w.decode() for w in words.filter(pa.array(~regular)).to_pylist()]
         made = self.model.encode_batch_fast([joined.decode(), *other], add_special_tokens=False)
-        ids = np.asarray(made[0].ids, np.uint32)
+        ids = np.asarray(made[0].ids, self.flat.dtype)
         place = np.cumsum(self.width[ids])
         last = np.searchsorted(place, total)
         if len(total) and not (place[last] == total).all():
             raise ValueError("an id spans two words")
         last = np.concatenate([last + 1, len(ids) + np.cumsum([len(x.ids) for x in made[1:]], dtype=np.int64)])
-        flat = np.concatenate([ids, *[np.asarray(x.ids, np.uint32) for x in made[1:]]])
-        names = np.concatenate([names[regular], names[~regular]])
-        first = np.concatenate([[0], last[:-1]])
-        names, first, many = np.concatenate([self.known, names]), np.concatenate([self.first, first + len(self.flat)]), np.concatenate([self.many, last - first])
+        flat = np.concatenate([ids, *[np.asarray(x.ids, self.flat.dtype) for x in made[1:]]])
+        names, first = np.concatenate([names[regular], names[~regular]]), np.concatenate([[0], last[:-1]])
         order = np.argsort(names)
-        self.known, self.first, self.many = names[order], first[order], many[order]
+        at = np.searchsorted(self.known, names[order])
+        self.known = np.insert(self.known, at, names[order])
+        self.many = np.insert(self.many, at, (last - first)[order])
+        self.first = np.insert(self.first, at, first[order] + len(self.flat))
         self.flat = np.concatenate([self.flat, flat])
 
 
@@ -270,7 +274,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_by
 
     def build(rows: pa.Table) -> pa.RecordBatch:
         raw = [x.as_py() for x in rows["ids"].combine_chunks()] if rows.num_rows else []
-        ids = np.frombuffer(b"".join(raw), f"<u{wide}").astype(np.uint32)
+        ids = np.frombuffer(b"".join(raw), f"<u{wide}")
         ends = np.cumsum([len(x) // wide for x in raw])
         nulls = 1 - np.asarray(rows["has_id"], np.int64)
         file = pack(ids, np.asarray(rows["doc_id"], np.int64), nulls, ends)
@@ -285,26 +289,38 @@ def _id_kind(path: str | None) -> str:
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard, n_ids, file, base): base is the number of ids in all shards before it."""
+    """(shard, n_ids, base, file): base is the number of ids in all shards before it.
+
+    The list of bases has 16 bytes a shard; up to BASES of them it is broadcast, beyond that joined by a shuffle.
+    """
     files = spark.read.parquet(folder)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("shard", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
-    return files.join(bases, "shard")
+    bases = files.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    if files.select("shard").count() <= BASES:
+        bases = F.broadcast(bases)
+    return files.join(bases, "shard").select("shard", "n_ids", "base", "file")
+
+
+_OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_crc32": "bigint"}
 
 
-def documents_of(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every document, restored from the files."""
+def documents_of(shards: DataFrame, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """(doc_id, start, *outputs) of every document, restored from the files; ids_crc32 is of ids as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, file in zip(batch.column("base").to_pylist(), batch.column("file"), strict=True):
                 m, doc_ids, nulls, ends = unpack(file.as_py())
                 ids = m.ids().astype("<i4")
-                border = np.concatenate([[0], ends.astype(np.int64)])
-                listed = pa.LargeListArray.from_arrays(pa.array(border), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls.astype(bool)), pa.array(base + border[:-1]), listed.cast(pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+                at = np.concatenate([[0], ends.astype(np.int64)])
+                made = {
+                    "ids": lambda ids=ids, at=at: pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int32())),
+                    "n_tokens": lambda at=at: pa.array(np.diff(at)),
+                    "ids_crc32": lambda ids=ids, at=at: pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+                }
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls.astype(bool)), pa.array(base + at[:-1]), *(made[o]() for o in outputs)], ["doc_id", "start", *outputs])
 
-    return shards.select("base", "file").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    return shards.select("base", "file").mapInArrow(run, "doc_id bigint, start bigint, " + ", ".join(f"{o} {_OUTPUTS[o]}" for o in outputs))
 
 
 def count_ids(shards: DataFrame, tokens: list[int]) -> DataFrame:
@@ -333,15 +349,7 @@ def locate_id(shards: DataFrame, token: int) -> DataFrame:
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, at = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents_of(read_shards(spark, folder)).mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return documents_of(read_shards(spark, folder), ("n_tokens", "ids_crc32"))
 
 
 QUERIES = {"op8_token_shards": op8_token_shards}
