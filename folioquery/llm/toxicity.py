@@ -34,8 +34,11 @@ ROUNDS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 0.1
 
 
-def features(words: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct coordinates of each text, one text after another, and the first place of each text."""
+def features(words: Words, bits: int = BITS, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct coordinates of each text, one text after another, and the first place of each text.
+
+    With weight, coordinates whose weight is zero are left out.
+    """
     h, n = words.hash, len(words.hash)
     left = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(n)
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
@@ -57,7 +60,8 @@ def features(words: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
             made.append(value)
             docs.append(doc[at])
     cell = mix(np.concatenate(made)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)
-    both = np.unique(np.concatenate(docs).astype(np.uint64) << np.uint64(bits) | cell)
+    both = np.concatenate(docs).astype(np.uint64) << np.uint64(bits) | cell
+    both = np.unique(both if weight is None else both[weight[cell] != 0])
     first = np.searchsorted(both, np.arange(len(words.first), dtype=np.uint64) << np.uint64(bits))
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64), first
 
@@ -81,16 +85,17 @@ def _learn(state: tuple[np.ndarray, np.ndarray], texts: pa.Array, labels: np.nda
     return z, n
 
 
-def _learner(held: tuple[np.ndarray, np.ndarray, np.ndarray], prior: float, bits: int, shards: int) -> Callable[[pa.Table], pa.Table]:
+def _learner(held: tuple[np.ndarray, np.ndarray, np.ndarray], prior: float, bits: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a shard does in a round: start from the common state, learn from its rows, give the changes."""
 
-    def learn(group: pa.Table) -> pa.Table:
-        group = group.sort_by("turn")
-        z0, n0 = np.zeros(1 << bits), np.zeros(1 << bits)
-        z0[held[0]], n0[held[0]] = held[1], held[2]
-        z1, n1 = _learn((z0, n0), group["text"].combine_chunks(), np.asarray(group["label"]), prior, bits, shards)
-        moved = np.flatnonzero(n1 != n0)
-        return pa.table({"cell": moved, "dz": (z1 - z0)[moved] / shards, "dn": (n1 - n0)[moved] / shards})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+        z[held[0]], n[held[0]] = held[1], held[2]
+        z0, n0 = z, n
+        for batch in slices(batches):
+            z, n = _learn((z, n), batch.column("text"), np.asarray(batch.column("label")), prior, bits, shards)
+        cell = np.flatnonzero(n != n0)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(((z - z0)[cell] / shards).astype(np.float32)), pa.array(((n - n0)[cell] / shards).astype(np.float32))], ["cell", "dz", "dn"])
 
     return learn
 
@@ -107,14 +112,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, round
         return np.zeros(0, np.int64), np.zeros(0), prior
     if seen > sample:
         rows = rows.orderBy("turn").limit(sample)
-    rows = checkpointed(rows.withColumn("shard", F.pmod(F.hash("turn"), F.lit(shards))))
+    rows = checkpointed(rows.repartition(shards).sortWithinPartitions("turn"))  # a shard is a partition
     for _ in range(rounds):
         at = np.flatnonzero(n)
-        moved = rows.groupBy("shard").applyInArrow(_learner((at, z[at], n[at]), prior, bits, shards), "cell long, dz double, dn double")
-        got = moved.groupBy("cell").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toArrow()  # one row for each coordinate at most
-        cell = np.asarray(got["cell"])
-        z[cell] += np.asarray(got["dz"])
-        n[cell] += np.asarray(got["dn"])
+        moved = rows.mapInArrow(_learner((at, z[at], n[at]), prior, bits, shards), "cell int, dz float, dn float").toArrow()  # shards * 2**bits rows at most
+        cell = np.asarray(moved["cell"])
+        z += np.bincount(cell, np.asarray(moved["dz"]), 1 << bits)
+        n += np.bincount(cell, np.asarray(moved["dn"]), 1 << bits)
     w = _weights(z, n)
     at = np.flatnonzero(w)
     return at, w[at], prior
@@ -129,7 +133,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
         w = np.zeros(1 << bits)
         w[held.value[0]] = held.value[1]
         for batch in slices(batches):
-            cells, first = features(words_of(batch.column("text"), lower=True), bits)
+            cells, first = features(words_of(batch.column("text"), lower=True), bits, w)
             total = np.concatenate([[0.0], np.cumsum(w[cells])])
             value = 1 / (1 + np.exp(-np.clip(prior + total[first[1:]] - total[first[:-1]], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
