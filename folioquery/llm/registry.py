@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, minhash_dedup, secret_scan, sentence_pieces, token_shards, toxicity, url_filter
+from . import chat_format, minhash_dedup, secret_scan, sentence_pieces, substring_dedup, token_shards, toxicity, url_filter
 
-MODULES = (toxicity, chat_format, sentence_pieces, secret_scan, token_shards, minhash_dedup, url_filter)
+MODULES = (toxicity, chat_format, substring_dedup, sentence_pieces, secret_scan, token_shards, minhash_dedup, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
