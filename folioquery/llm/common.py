@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240521)
@@ -92,11 +93,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
+def words_of(texts: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """The words of each text, with A-Z as lower case if lower; with letters, ASCII other than letters and digits parts words too."""
     data, at = buffers(texts)
     if lower:
         data = _LOWER[data]
-    inside = ~_SEPARATOR[data]
+    inside = ~(_NO_LETTER if letters else _SEPARATOR)[data]
     border = np.zeros(len(data) + 1, bool)
     border[at] = True
     opens = inside.copy()
