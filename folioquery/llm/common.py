@@ -173,11 +173,11 @@ def _joined(parts: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
 
 
 def group_plan(rows: DataFrame, keys: list[str], row: Column, limit: int, weight: Column | None = None, most: int = 1 << 22) -> DataFrame:
-    """rows with columns _i, _j: every two rows of a key meet in some group (keys, _i, _j), of 2 * limit rows or so.
+    """rows with columns _own, _i, _j: every two rows of a key meet in some group (keys, _i, _j), of 2 * limit rows or so.
 
     A key of up to limit rows (and most bytes of weight) is one group. A hotter one is dealt by the hash of row into
-    parts, and each two parts make a group: no rows are dropped, and no task holds the whole key. Keys with one row
-    are left out. Give it light rows, and join the heavy columns afterwards.
+    parts (_own), and each two parts make a group: no rows are dropped, and no task holds the whole key. Keys with one
+    row are left out. Give it light rows, and join the heavy columns afterwards.
     """
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight is not None else [])
     sizes = rows.groupBy(*keys).agg(*sums).where("_n > 1")
@@ -185,7 +185,7 @@ def group_plan(rows: DataFrame, keys: list[str], row: Column, limit: int, weight
     sizes = sizes.select(*keys, parts.cast("int").alias("_parts"))
     own = F.pmod(F.xxhash64(F.lit("part"), row), F.col("_parts")).cast("int")
     out = rows.join(sizes, keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return out.select(*rows.columns, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    return out.select(*rows.columns, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
 
 def roots(linked: np.ndarray) -> np.ndarray:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, minhash_dedup, secret_scan, sentence_pieces, substring_dedup, token_shards, toxicity, url_filter
+from . import chat_format, decontamination, embedding_dedup, minhash_dedup, secret_scan, sentence_pieces, substring_dedup, token_shards, toxicity, url_filter
 
-MODULES = (toxicity, chat_format, decontamination, substring_dedup, sentence_pieces, secret_scan, token_shards, minhash_dedup, url_filter)
+MODULES = (embedding_dedup, toxicity, chat_format, decontamination, substring_dedup, sentence_pieces, secret_scan, token_shards, minhash_dedup, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
