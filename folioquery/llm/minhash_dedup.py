@@ -8,7 +8,8 @@ class are skipped. `floor` is the largest count that a pair at the threshold rea
 
 Candidates are merged to clusters first, so that each class's full set travels once; within a cluster every two sets are
 compared exactly. What leaves a task is a spanning forest of its links, never the pairs: a group of n near copies yields
-fewer than n rows. A hot posting list or cluster is dealt into parts, each two parts to a task (see group_plan).
+fewer than n rows. In a hot posting list all classes are compared with a pivot, and only those that stay apart meet the rest; a
+hot cluster is dealt into parts, each two parts to a task (see group_plan).
 
 Scale: signatures of a hundred bytes and 64-bit postings are shuffled, texts once (to find the full sets of classes with a candidate).
 Exact copies cost a hash each, as they share a class. A cluster of n unlike near copies needs its n * n / 2 comparisons, spread over
@@ -36,8 +37,10 @@ SHINGLE = 5
 COORDS = 24
 #: Chance that a pair just at the threshold agrees on fewer coordinates than the floor.
 MISS = 1e-5
-PART = 256
-PART_BYTES = 4 << 20
+#: Classes of a posting list, and of a cluster's part, that a task compares at once.
+LIST = 512
+PART = 1024
+PART_BYTES = 8 << 20
 _rng = np.random.default_rng(77)
 _TIMES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 2**63, 256, dtype=np.uint64)
@@ -105,27 +108,53 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> DataFrame:
-    """(a, b): a spanning forest of the pairs of classes(cid, sig) that agree on the floor or more."""
+    """(a, b): edges whose components are those of the pairs of classes(cid, sig) that agree on the floor or more.
+
+    Lists of up to LIST classes are compared in one task each. In a longer list every class is first compared with the list's
+    pivot, its least class; classes that are then connected, through any lists, are skipped, and only those outside the
+    list's largest component meet the others, part by part. What is skipped is connected already, so nothing is lost.
+    """
     floor = match_floor(percent, coords)
     hexed = F.hex("sig")
     value = lambda j: F.substring(hexed, F.lit(8 * j + 1), F.lit(8))
     prefix = F.array(*[F.xxhash64(F.lit(j), value(j)) for j in range(coords - floor + 1)])
     posts = classes.select("cid", F.explode(prefix).alias("post"))
-    plan = group_plan(posts, ["post"], F.col("cid"), 2 * PART)
-    rows = plan.join(classes.select("cid", "sig"), "cid")
+    lists = posts.groupBy("post").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("n > 1")
+    posts = checkpointed(posts.join(lists, "post"))
+    sig = classes.select("cid", "sig")
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
         cid = np.asarray(group["cid"])
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(len(cid), coords)
+        rows = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(len(cid), coords)
         if len(cid) <= 32:
-            same = (sig[:, None] == sig[None]).sum(2)
+            same = (rows[:, None] == rows[None]).sum(2)
         else:
             same = np.zeros((len(cid), len(cid)), np.uint8)
             for c in range(coords):
-                same += sig[:, None, c] == sig[None, :, c]
+                same += rows[:, None, c] == rows[None, :, c]
         return forest(cid, same >= floor)
 
-    return by_key(rows.select("post", "_i", "_j", "cid", "sig"), ["post", "_i", "_j"], work, "a bigint, b bigint")
+    def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, coords) for c in ("sig", "pivot_sig"))
+            near = pa.array((own == other).sum(1) >= floor)
+            yield pa.RecordBatch.from_arrays([batch.column("cid").filter(near), batch.column("pivot").filter(near)], ["a", "b"])
+
+    kind = "a bigint, b bigint"
+    short = by_key(posts.where(F.col("n") <= LIST).join(sig, "cid").select("post", "cid", "sig"), ["post"], work, kind)
+    long = posts.where(F.col("n") > LIST)
+    pairs = long.where("cid <> pivot").select("cid", "pivot").distinct().join(sig, "cid").join(sig.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+    edges = checkpointed(short.unionByName(pairs.select("cid", "pivot", "sig", "pivot_sig").mapInArrow(with_pivot, kind)))
+    label = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("label"))
+    long = long.select("post", "cid", "n").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    largest = long.groupBy("post", "label").count().groupBy("post").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    largest = largest.where("most < n").select("post", "largest", F.ceil(F.col("n") / LIST).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / LIST).cast("int").alias("outer"))
+    rest = long.select("post", "cid", "label").join(largest, "post")
+    part = F.xxhash64(F.lit("part"), "cid")
+    inner = rest.select("post", "cid", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("_i"), F.pmod(part, F.col("parts")).cast("int").alias("_j"))
+    outer = rest.where("label <> largest").select("post", "cid", F.pmod(part, F.col("outer")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_j"))
+    met = inner.unionByName(outer).distinct().join(sig, "cid").select("post", "_i", "_j", "cid", "sig")
+    return edges.unionByName(by_key(met, ["post", "_i", "_j"], work, kind))
 
 
 def forest(ids: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:

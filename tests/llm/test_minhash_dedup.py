@@ -62,6 +62,7 @@ def copies(r, n, base, words, edits):
 
 def test_groups_of_copies_ties_and_edges(spark, monkeypatch):
     monkeypatch.setattr(M, "PART", 16)  # so that groups are split
+    monkeypatch.setattr(M, "LIST", 8)
     r = random.Random(4)
     words = [f"w{i}" for i in range(300)]
     texts = ["", None, " \t", "one", "ONE", "a b c", "A b c", "a b c d e", "a b c d", "x" * 10_000, "long " * 20_000, "Long " * 20_000, "É b c d e f", "é b c d e f"]
