@@ -23,11 +23,13 @@ each; null ids are kept; an empty table gives an empty table. Only doc_id, item_
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,43 +157,57 @@ def _contains(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, item_rows: int = ITEM_ROWS) -> DataFrame:
-    """(doc_id, k, item_id, start, n_words, similarity) for docs(doc_id, text) and benchmark(item_id, text); k names doc_id and text."""
-    named = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+def item_lists(benchmark: DataFrame, item_rows: int = ITEM_ROWS) -> Iterator[tuple[pa.DataType, Broadcast]]:
+    """The items, in lists of about item_rows, each indexed and broadcast."""
     items = benchmark.select("item_id", "text").where("text is not null")
     lists = max(1, -(-items.count() // item_rows))
-    parts = []
     for part in range(lists):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lists)) == part).toArrow()
         words = words_of(got["text"].combine_chunks(), lower=True, letters=True)
         found = Items(got["item_id"].to_pylist(), [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)])
-        held = docs.sparkSession.sparkContext.broadcast(found)
-        parts.append(named.mapInArrow(_search(held, got.schema.field("item_id").type, threshold), f"doc_id {kind}, k bigint, item_id {item.simpleString()}, start int, n_words int, similarity double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _search(held, item_type: pa.DataType, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = held.value
-        for batch in slices(batches):
-            found = list(matches(words_of(batch.column("text"), lower=True, letters=True), items, threshold))
-            if found:
-                text, item, start, long, similar = zip(*found, strict=True)
-                rows = pa.array(text, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("k").take(rows), pa.array([items.ids[i] for i in item], item_type), pa.array(start, pa.int32()), pa.array(long, pa.int32()), pa.array(similar, pa.float64())],
-                    ["doc_id", "k", "item_id", "start", "n_words", "similarity"],
-                )
-
-    return run
+        yield got.schema.field("item_id").type, benchmark.sparkSession.sparkContext.broadcast(found)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, item_rows: int = ITEM_ROWS) -> DataFrame:
+    """(doc_id, item_id, start, n_words, similarity) for docs(doc_id, text) and benchmark(item_id, text)."""
+    kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+
+    def search(item_type: pa.DataType, held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = held.value
+            for batch in slices(batches):
+                found = list(matches(words_of(batch.column("text"), lower=True, letters=True), items, threshold))
+                if found:
+                    text, which, start, long, similar = zip(*found, strict=True)
+                    ids = batch.column("doc_id").take(pa.array(text, pa.int32()))
+                    rest = [pa.array([items.ids[i] for i in which], item_type), pa.array(start, pa.int32()), pa.array(long, pa.int32()), pa.array(similar, pa.float64())]
+                    yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_id", "item_id", "start", "n_words", "similarity"])
+
+        return run
+
+    schema = f"doc_id {kind}, item_id {item}, start int, n_words int, similarity double"
+    parts = [docs.select("doc_id", "text").mapInArrow(search(*x), schema) for x in item_lists(benchmark, item_rows)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, item_rows: int = ITEM_ROWS) -> DataFrame:
+    """The rows of docs, all columns, that match no item."""
+
+    def kept(held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found = {m[0] for m in matches(words_of(batch.column("text"), lower=True, letters=True), held.value, threshold)}
+                yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for _, held in item_lists(benchmark, item_rows):
+        docs = docs.mapInArrow(kept(held), docs.schema)
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op4_decontamination": op4_decontamination}

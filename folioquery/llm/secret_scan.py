@@ -133,6 +133,17 @@ def redacted(text: Column, spans: Column, mark: str = "[{kind}]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
+def without_secrets(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, with secrets in text replaced by their kind, and n_chars, if there, counted anew."""
+    keyed = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = scan(docs.select("text").withColumn("_one", F.lit(1)), "_one", ledger_path).where(F.size("spans") > 0)
+    found = found.groupBy("blob").agg(F.any_value("spans").alias("_spans")).withColumnRenamed("blob", "_blob")
+    out = keyed.join(found, "_blob", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ("assign", "access", "hex")

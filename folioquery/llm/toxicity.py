@@ -10,7 +10,7 @@ were the whole sample, and the changes of z and n are averaged coordinate by coo
 
 Defined results: null and empty texts have no features and score by the bias alone; rows with null or repeated doc_id keep a row each;
 labels that are null, or whose document has no row, teach nothing, and a document with several labels counts with each; with
-no labels, or of one kind only, the score is the smoothed rate of label 1 (0.5 with none); an empty table gives an empty table.
+no labels, or of one kind only, the score is the smoothed rate of label 1 (0.25 with none); an empty table gives an empty table.
 Only doc_id, text and the label are read; other columns are never inputs.
 """
 
@@ -105,7 +105,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, round
     order = F.xxhash64(F.lit("order"), "doc_id", "text", "label")
     rows = labelled.where("label in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), order.alias("turn"))
     seen, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
-    rate = ((ones or 0) + 0.5) / (seen + 1)
+    rate = ((ones or 0) + 0.5) / (seen + 2)
     prior = float(np.log(rate / (1 - rate)))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     if not seen or ones in (0, seen):
@@ -124,23 +124,44 @@ def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, round
     return at, w[at], prior
 
 
+def _scores(held, bits: int) -> Callable[[pa.Array], np.ndarray]:
+    at, weight, prior = held.value
+    w = np.zeros(1 << bits)
+    w[at] = weight
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        cells, first = features(words_of(texts, lower=True), bits, w)
+        total = np.concatenate([[0.0], np.cumsum(w[cells])])
+        return 1 / (1 + np.exp(-np.clip(prior + total[first[1:]] - total[first[:-1]], -30, 30)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
     """docs(doc_id, text) as (doc_id, score, predicted)."""
-    at, weight, prior = model
-    held = docs.sparkSession.sparkContext.broadcast((at, weight))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros(1 << bits)
-        w[held.value[0]] = held.value[1]
+        scores = _scores(held, bits)
         for batch in slices(batches):
-            cells, first = features(words_of(batch.column("text"), lower=True), bits, w)
-            total = np.concatenate([[0.0], np.cumsum(w[cells])])
-            value = 1 / (1 + np.exp(-np.clip(prior + total[first[1:]] - total[first[:-1]], -30, 30)))
+            value = scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below 0.5."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scores(held, bits)
+        for batch in slices(batches):
+            yield batch.filter(pa.array(scores(batch.column("text")) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
