@@ -26,7 +26,7 @@ _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240521)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP = 0xD6E8FEB86659FD93
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,7 +74,7 @@ class Words:
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        step, out = _STEP * np.uint64(2 * seed + 1), self.hash[:n].copy()
+        step, out = np.uint64(_STEP * (2 * seed + 1) & (2**64 - 1)), self.hash[:n].copy()
         for j in range(1, k):
             out = out * step + self.hash[j : j + n]
         left = np.repeat(self.first[1:], np.diff(self.first))[:n]
