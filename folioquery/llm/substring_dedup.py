@@ -2,13 +2,13 @@
 
 Seeds are winnowed anchors: of each SPAN consecutive SEED-word grams the one of least hash, chosen by content alone, so two
 equal runs of WINDOW words always choose the same one. Documents meet on the anchors they share. A shared anchor is
-extended both ways, a window of words at a time, to every run of WINDOW words that chose it; runs are matched by a 128-bit hash, and
+extended both ways, a window of words at a time, to every run of WINDOW words that chose it; runs are matched by a 96-bit hash, and
 touching runs merge to maximal repeats, of WINDOW words or more. A word goes if it lies in a run that a document with a smaller
 doc_id also holds.
 
-No pairs are made: an anchor or a run is reduced to the smallest doc_id that has it, by a hash aggregation with partial
-sums before the shuffle, and joined back, so a passage under a third of all documents is a skewed join key that Spark
-can split. Shuffled are one anchor in five words or so, twice, the texts once, and the runs at shared anchors.
+No pairs are made: an anchor or a run is reduced to the smallest doc_id that has it, and joined back. Equal texts are
+found by their hashes first, and only the first of them gives runs. Shuffled are one anchor in five words or so, the texts once, and
+the runs at shared anchors.
 
 Defined results: a null text has no words; fewer than WINDOW words lose nothing; equal texts lose all their words but for
 the smallest doc_id; rows that share a doc_id do not take words from each other; a null doc_id counts as larger
@@ -88,27 +88,40 @@ def runs(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
             where = np.searchsorted(all_starts, start[kept])
             doc = _owner(words, start[kept])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one[where].view(np.int64)), pa.array(two[where].view(np.int64)), batch.column("turn").take(pa.array(doc)), batch.column("k").take(pa.array(doc)), pa.array((start[kept] - words.first[doc]).astype(np.int32))],
+                [pa.array(one[where].view(np.int64)), pa.array(two[where].astype(np.uint32).view(np.int32)), batch.column("turn").take(pa.array(doc)), batch.column("k").take(pa.array(doc)), pa.array((start[kept] - words.first[doc]).astype(np.int32))],
                 ["r1", "r2", "turn", "k", "at"],
             )
 
-    return docs.join(shared, "k").select("text", "turn", "k", "places").mapInArrow(run, "r1 bigint, r2 bigint, turn bigint, k bigint, at int")
+    return docs.join(shared, "k").select("text", "turn", "k", "places").mapInArrow(run, "r1 bigint, r2 int, turn bigint, k bigint, at int")
 
 
-def repeats(named: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k, starts): the first words of the runs of each row that a smaller doc_id also holds."""
-    found = anchors(named, window)
+def repeats(named: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(k, starts): the first words of the runs of each row that a smaller doc_id also holds; copies(k) are left out.
+
+    Anchors are shuffled once, and reduced and joined where they lie; so are runs. A row has an anchor or a run once for each place, so
+    even one that a third of all documents share is a small part of all anchors.
+    """
+    found = anchors(named, window).repartition("anchor")
     common = found.groupBy("anchor").agg(F.min("turn").alias("least"), F.max("turn").alias("most")).where("least < most").select("anchor")
-    shared = found.join(common, "anchor").groupBy("k").agg(F.collect_set("at").alias("places"))
-    held = runs(named, shared, window)
+    shared = found.join(common, "anchor").groupBy("k").agg(F.collect_set("at").alias("places")).join(copies, "k", "left_anti")
+    held = runs(named, shared, window).repartition("r1")
     least = held.groupBy("r1", "r2").agg(F.min("turn").alias("least"), F.max("turn").alias("most")).where("least < most").select("r1", "r2", "least")
     return held.join(least, ["r1", "r2"]).where("least < turn").groupBy("k").agg(F.collect_set("at").alias("starts"))
 
 
+def copies_of(named: DataFrame) -> DataFrame:
+    """(k, whole): rows whose whole text a smaller doc_id also has."""
+    texts = named.where("text is not null").select("k", "turn", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
+    first = texts.groupBy("t1", "t2").agg(F.min("turn").alias("first"), F.max("turn").alias("last")).where("first < last").select("t1", "t2", "first")
+    return texts.join(first, ["t1", "t2"]).where("first < turn").select("k", F.lit(True).alias("whole")).distinct()
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ...] = ("kept", "spans", "n_words", "n_removed")) -> DataFrame:
     """(doc_id, *outputs) of each row of docs(doc_id, text): kept words joined by a space; spans are the maximal repeats, in words."""
     named = _named(docs)
-    rows = named.join(repeats(named, window), "k", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    copies = copies_of(named)
+    marks = repeats(named, copies.select("k"), window).join(copies, "k", "full")
+    rows = named.join(marks, "k", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -116,8 +129,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, .
             starts = batch.column("starts")
             at = np.asarray(starts.flatten()) + words.first[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(starts.offsets)))]
             change = np.bincount(at, minlength=len(words.hash) + 1) - np.bincount(at + window, minlength=len(words.hash) + 1)
-            gone = np.cumsum(change[:-1]) > 0
-            n, removed = np.diff(words.first), np.add.reduceat(np.append(gone, 0), words.first[:-1]) * (np.diff(words.first) > 0)
+            n = np.diff(words.first)
+            whole = np.asarray(batch.column("whole")) & (n >= window)
+            gone = (np.cumsum(change[:-1]) > 0) | np.repeat(whole, n)
+            removed = np.add.reduceat(np.append(gone, 0), words.first[:-1]) * (n > 0)
             texts = _kept(words, ~gone)
             made = {
                 "kept": lambda texts=texts: pa.array(texts, pa.binary()).cast(pa.string()),
