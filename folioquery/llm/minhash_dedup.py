@@ -1,8 +1,9 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 A text's set holds its distinct shingles of five lower-cased words. Texts with equal sets are one class. Each class has a
-signature of COORDS minima and is posted under the (coordinate, value) pairs of a prefix of its coordinates: two classes that
-agree on at least `floor` coordinates agree on one of the first COORDS - floor + 1, so the prefix loses none of them.
+signature of COORDS minima, that is COORDS (coordinate, value) pairs, and is posted under its prefix: the COORDS - floor + 1 of them that
+the fewest classes have. In that common order two classes that agree on at least `floor` coordinates agree within both
+prefixes, so none is lost, and pairs that very many classes have are mostly skipped.
 Within a posting list agreements are counted over whole signatures; pairs at the floor or above are candidates, and lists of one
 class are skipped. `floor` is the largest count that a pair at the threshold reaches but for a chance of MISS.
 
@@ -117,8 +118,10 @@ def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> D
     floor = match_floor(percent, coords)
     hexed = F.hex("sig")
     value = lambda j: F.substring(hexed, F.lit(8 * j + 1), F.lit(8))
-    prefix = F.array(*[F.xxhash64(F.lit(j), value(j)) for j in range(coords - floor + 1)])
-    posts = classes.select("cid", F.explode(prefix).alias("post"))
+    every = classes.select("cid", F.explode(F.array(*[F.xxhash64(F.lit(j), value(j)) for j in range(coords)])).alias("post"))
+    counts = every.groupBy("post").agg(F.count(F.lit(1)).alias("held"))
+    rarest = every.join(counts, "post").groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("held", "post"))), 1, coords - floor + 1).alias("prefix"))
+    posts = rarest.select("cid", F.explode(F.filter("prefix", lambda x: x["held"] > 1)).alias("it")).select("cid", "it.post")
     lists = posts.groupBy("post").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("n > 1")
     posts = checkpointed(posts.join(lists, "post"))
     sig = classes.select("cid", "sig")
