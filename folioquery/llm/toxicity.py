@@ -94,8 +94,8 @@ def _learner(held: tuple[np.ndarray, np.ndarray, np.ndarray], prior: float, bits
         z0, n0 = z, n
         for batch in slices(batches):
             z, n = _learn((z, n), batch.column("text"), np.asarray(batch.column("label")), prior, bits, shards)
-        cell = np.flatnonzero(n != n0)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(((z - z0)[cell] / shards).astype(np.float32)), pa.array(((n - n0)[cell] / shards).astype(np.float32))], ["cell", "dz", "dn"])
+        moved = [((a - b) / shards).astype(np.float16).tobytes() for a, b in ((z, z0), (n, n0))]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in moved], ["dz", "dn"])
 
     return learn
 
@@ -115,10 +115,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, round
     rows = checkpointed(rows.repartition(shards).sortWithinPartitions("turn"))  # a shard is a partition
     for _ in range(rounds):
         at = np.flatnonzero(n)
-        moved = rows.mapInArrow(_learner((at, z[at], n[at]), prior, bits, shards), "cell int, dz float, dn float").toArrow()  # shards * 2**bits rows at most
-        cell = np.asarray(moved["cell"])
-        z += np.bincount(cell, np.asarray(moved["dz"]), 1 << bits)
-        n += np.bincount(cell, np.asarray(moved["dn"]), 1 << bits)
+        for moved in rows.mapInArrow(_learner((at, z[at], n[at]), prior, bits, shards), "dz binary, dn binary").collect():  # 4 MB a shard
+            z += np.frombuffer(moved["dz"], np.float16)
+            n += np.frombuffer(moved["dn"], np.float16)
     w = _weights(z, n)
     at = np.flatnonzero(w)
     return at, w[at], prior
