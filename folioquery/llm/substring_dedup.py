@@ -6,9 +6,10 @@ extended both ways, a window of words at a time, to every run of WINDOW words th
 touching runs merge to maximal repeats, of WINDOW words or more. A word goes if it lies in a run that a document with a smaller
 doc_id also holds.
 
-No pairs are made: an anchor or a run is reduced to the smallest doc_id that has it, and joined back. Equal texts are
+No pairs are made: anchors, and then runs, are sorted and each is compared with the first of its kind alone. Equal texts are
 found by their hashes first, and only the first of them gives runs. Shuffled are one anchor in five words or so, the texts once, and
-the runs at shared anchors.
+the runs at shared anchors. A key that a third of all documents share lies in one partition, but a document gives it a few rows of
+its hundreds, and they stream in constant memory.
 
 Defined results: a null text has no words; fewer than WINDOW words lose nothing; equal texts lose all their words but for
 the smallest doc_id; rows that share a doc_id do not take words from each other; a null doc_id counts as larger
@@ -60,7 +61,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, turn, k, at): the winnowed anchors of each row of docs; at is the word."""
+    """(anchor, k, at): the winnowed anchors of each row of docs; at is the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -68,9 +69,9 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             _, place, value = _anchors(words, window)
             place, some = np.unique(place, return_index=True)
             doc = _owner(words, place)
-            yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), batch.column("turn").take(pa.array(doc)), batch.column("k").take(pa.array(doc)), pa.array((place - words.first[doc]).astype(np.int32))], ["anchor", "turn", "k", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), batch.column("k").take(pa.array(doc)), pa.array((place - words.first[doc]).astype(np.int32))], ["anchor", "k", "at"])
 
-    return docs.select("text", "turn", "k").mapInArrow(run, "anchor bigint, turn bigint, k bigint, at int")
+    return docs.select("text", "k").mapInArrow(run, "anchor bigint, k bigint, at int")
 
 
 def runs(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -98,15 +99,55 @@ def runs(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeats(named: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k, starts): the first words of the runs of each row that a smaller doc_id also holds; copies(k) are left out.
 
-    Anchors are shuffled once, and reduced and joined where they lie; so are runs. A row has an anchor or a run once for each place, so
-    even one that a third of all documents share is a small part of all anchors.
+    Anchors are shuffled and sorted once, and so are runs; the sorted rows then stream through, with no more than one row's
+    anchors or one number held for a key, however many documents share it.
     """
-    found = anchors(named, window).repartition("anchor")
-    common = found.groupBy("anchor").agg(F.min("turn").alias("least"), F.max("turn").alias("most")).where("least < most").select("anchor")
-    shared = found.join(common, "anchor").groupBy("k").agg(F.collect_set("at").alias("places")).join(copies, "k", "left_anti")
-    held = runs(named, shared, window).repartition("r1")
-    least = held.groupBy("r1", "r2").agg(F.min("turn").alias("least"), F.max("turn").alias("most")).where("least < most").select("r1", "r2", "least")
-    return held.join(least, ["r1", "r2"]).where("least < turn").groupBy("k").agg(F.collect_set("at").alias("starts"))
+    found = anchors(named, window).repartition("anchor").sortWithinPartitions("anchor", "k")
+    shared = found.mapInArrow(_met, "k bigint, at int").groupBy("k").agg(F.collect_set("at").alias("places"))
+    held = runs(named, shared.join(copies, "k", "left_anti"), window).repartition("r1", "r2").sortWithinPartitions("r1", "r2", "turn")
+    return held.mapInArrow(_later, "k bigint, at int").groupBy("k").agg(F.collect_set("at").alias("starts"))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (anchor, k) those whose anchor has several k."""
+    last, first_k, shared, waiting = None, None, False, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, k = np.asarray(batch.column("anchor")), np.asarray(batch.column("k"))
+        rows = batch.select(["k", "at"])
+        start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        end = np.append(start[1:], len(anchor))
+        several = k[start] != k[end - 1]
+        if anchor[0] == last:
+            several[0] = shared or k[end[0] - 1] != first_k
+            if several[0]:
+                yield from waiting
+        if anchor[0] != last or several[0]:
+            waiting = []
+        open_first = anchor[0] == last and len(start) == 1
+        keep = np.repeat(several, end - start)
+        if not several[-1]:  # it may meet another k in the next batch
+            waiting = [*(waiting if open_first else []), rows.slice(start[-1])]
+        if keep.any():
+            yield rows.filter(pa.array(keep))
+        first_k = first_k if open_first else k[start[-1]]
+        last, shared = anchor[-1], bool(several[-1])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (r1, r2, turn) those with a larger turn than the first of their run."""
+    last, least = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two, turn = (np.asarray(batch.column(c)) for c in ("r1", "r2", "turn"))
+        start = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        first = turn[start]
+        if (one[0], two[0]) == last:
+            first[0] = least
+        yield batch.select(["k", "at"]).filter(pa.array(turn > np.repeat(first, np.diff(np.append(start, len(one))))))
+        last, least = (one[-1], two[-1]), first[-1]
 
 
 def copies_of(named: DataFrame) -> DataFrame:

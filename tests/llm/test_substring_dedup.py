@@ -53,3 +53,21 @@ def test_query_against_brute_force(spark):
     out = S.op5_substring_dedup(spark, sf).collect()
     want = [(d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, n, m, t in expected(rows)]
     assert sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in out), key=repr) == sorted(want, key=repr)
+
+
+def test_streams_do_not_depend_on_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(0)
+    anchor, k, at = (r.integers(0, n, 400) for n in (40, 4, 1000))
+    order = np.lexsort((k, anchor))
+    rows = pa.table({"anchor": anchor[order], "k": k[order], "at": at[order]})
+    many = {a for a in anchor if len(set(k[anchor == a])) > 1}
+    want = sorted((int(x), int(y)) for a, x, y in zip(anchor, k, at) if a in many)
+    runs = rows.rename_columns(["r1", "turn", "at"]).append_column("r2", pa.array(anchor[order] % 2)).append_column("k", rows["k"])
+    later = sorted((int(x), int(y)) for a, x, y in zip(anchor, k, at) if x > k[anchor == a].min())
+    for size in (1, 2, 3, 7, 50, 400):
+        batches = [b for b in rows.combine_chunks().to_batches(size)]
+        assert sorted((x["k"], x["at"]) for b in S._met(iter(batches)) for x in b.to_pylist()) == want
+        assert sorted((x["k"], x["at"]) for b in S._later(iter(runs.combine_chunks().to_batches(size))) for x in b.to_pylist()) == later
