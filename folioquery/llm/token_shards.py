@@ -38,7 +38,7 @@ from .common import buffers, by_key, run_hashes, shared_folder, slices, table
 
 MODEL = "byte_bpe_50k.json"
 #: Bytes of text that make a shard, on average.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 1_000_000
 BLOCK = 512
@@ -181,10 +181,17 @@ class Encoder:
         self.width = np.zeros(pieces[-1][1] + 1, np.int64)
         for piece, i in pieces:
             self.width[i] = len(piece)
-        self._forget()
+        self.known, self.first, self.many, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.flat = np.zeros(0, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
 
     def _forget(self) -> None:
-        self.known, self.first, self.many, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
+        """Drop words that were met in one slice alone; all of them if most came again."""
+        keep = np.flatnonzero(self.again)
+        keep = keep[:0] if len(keep) > REMEMBERED // 2 else keep
+        many = self.many[keep].astype(np.int64)
+        place = np.repeat(self.first[keep] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        self.known, self.many, self.flat, self.again = self.known[keep], self.many[keep], self.flat[place], np.zeros(len(keep), bool)
+        self.first = (np.cumsum(many) - many).astype(np.int32)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's end."""
@@ -203,6 +210,7 @@ class Encoder:
         distinct, some, which = np.unique(name, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
         new = np.ones(len(distinct), bool) if not len(self.known) else self.known[place] != distinct
+        self.again[place[~new]] = True
         if new.any():
             some = some[new]
             self._learn(distinct[new], words.take(pa.array(some)), (end - start)[some], (data[start[some]] == 32) & plain[end[some] - 1])
@@ -234,6 +242,7 @@ class Encoder:
         order = np.argsort(names)
         at = np.searchsorted(self.known, names[order])
         self.known = np.insert(self.known, at, names[order])
+        self.again = np.insert(self.again, at, False)
         self.many = np.insert(self.many, at, (last - first)[order])
         self.first = np.insert(self.first, at, first[order] + len(self.flat))
         self.flat = np.concatenate([self.flat, flat])
