@@ -1,15 +1,15 @@
 """Substring dedup by seed and extend.
 
 Seeds are winnowed anchors: of each SPAN consecutive SEED-word grams the one of least hash, chosen by content alone, so two
-equal runs of WINDOW words always choose the same one. Documents meet on the anchors they share. A shared anchor is
-extended both ways, a window of words at a time, to every run of WINDOW words that chose it; runs are matched by a 96-bit hash, and
-touching runs merge to maximal repeats, of WINDOW words or more. A word goes if it lies in a run that a document with a smaller
-doc_id also holds.
+equal runs of WINDOW words always choose the same one. Documents meet on the anchors they share. From its anchor each extends both
+ways, over all runs of WINDOW words that chose it, to a segment. Where a document with a smaller doc_id extends to the same segment,
+the whole of it repeats; where segments of an anchor differ, they are compared run by run. Touching runs merge to maximal
+repeats, of WINDOW words or more. A word goes if it lies in a run that a document with a smaller doc_id also holds.
 
-No pairs are made: anchors, and then runs, are sorted and each is compared with the first of its kind alone. Equal texts are
-found by their hashes first, and only the first of them gives runs. Shuffled are one anchor in five words or so, the texts once, and
-the runs at shared anchors. A key that a third of all documents share lies in one partition, but a document gives it a few rows of
-its hundreds, and they stream in constant memory.
+No pairs are made: anchors, and then runs, are sorted and each is compared with the first of its kind alone. Shuffled are one anchor
+in five words or so with the hash of its segment, the texts once, and the runs of segments that differ; segments and runs are matched
+by 96 bits. A key that a third of all documents share lies in one partition, but a document gives it a few rows of its hundreds, and
+they stream in constant memory.
 
 Defined results: a null text has no words; fewer than WINDOW words lose nothing; equal texts lose all their words but for
 the smallest doc_id; rows that share a doc_id do not take words from each other; a null doc_id counts as larger
@@ -19,6 +19,7 @@ than any other; an empty table gives an empty table. Only doc_id and text are re
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, slices, table, words_of
+from .common import Words, mix, shared_folder, slices, table, words_of
 
 WINDOW = 13
 SEED = 5
@@ -60,79 +61,103 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), "text", F.xxhash64(doc_id, "text").alias("k"), F.coalesce(doc_id, F.lit(_LAST)).alias("turn"))
 
 
-def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, k, at): the winnowed anchors of each row of docs; at is the word."""
+def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, segment, turn, k, at, n): each anchor of each row of docs with its n runs, the first at word at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = words_of(batch.column("text"))
-            _, place, value = _anchors(words, window)
-            place, some = np.unique(place, return_index=True)
-            doc = _owner(words, place)
-            yield pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), batch.column("k").take(pa.array(doc)), pa.array((place - words.first[doc]).astype(np.int32))], ["anchor", "k", "at"])
+            start, place, value = _anchors(words, window)
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
+            n = np.diff(np.append(first, len(place)))
+            at = start[first]
+            doc = _owner(words, at)
+            segment = _range_hashes(words.hash, at, at + n + window - 1)
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[first].view(np.int64)), pa.array(segment), batch.column("turn").take(rows), batch.column("k").take(rows), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["anchor", "segment", "turn", "k", "at", "n"],
+            )
+
+    return docs.select("text", "turn", "k").mapInArrow(run, "anchor bigint, segment int, turn bigint, k bigint, at int, n int")
+
+
+def _range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32-bit hashes of ranges of words: differences of a running polynomial sum, shifted to the range's start."""
+    base = 0xD1342543DE82EF95
+    power = np.full(len(hashes) + 1, base, np.uint64)
+    back = np.full(len(hashes) + 1, pow(base, -1, 1 << 64), np.uint64)
+    power[:1] = back[:1] = 1
+    power, back = power.cumprod(dtype=np.uint64), back.cumprod(dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
+    return (mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    return docs.select("text", "k").mapInArrow(run, "anchor bigint, k bigint, at int")
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (anchor, segment, turn): whole for those whose segment a smaller turn has; of the others, those whose anchor
+    has several segments, which are to be compared run by run."""
+    last, least, several, waiting = None, 0, False, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, segment, turn = (np.asarray(batch.column(c)) for c in ("anchor", "segment", "turn"))
+        rows = batch.select(["k", "at", "n"])
+        new_anchor = np.concatenate([[last is None or anchor[0] != last[0]], anchor[1:] != anchor[:-1]])
+        new_segment = new_anchor | np.concatenate([[last is None or segment[0] != last[1]], segment[1:] != segment[:-1]])
+        group = np.cumsum(new_segment)  # 0 goes on with the batch before
+        firsts = np.concatenate([[least], turn[new_segment]])
+        whole = turn > firsts[group]
+        of_anchor = np.cumsum(new_anchor)
+        many = np.bincount(of_anchor, new_segment & ~new_anchor, of_anchor[-1] + 1) > 0
+        many[0] |= several
+        if many[0] or of_anchor[0]:
+            if many[0]:
+                yield from (_marked(w, False) for w in waiting)
+            waiting = []
+        if many[0] and of_anchor[0]:  # nothing of this batch goes on with it
+            many[0] = False
+        check = ~whole & many[of_anchor]
+        if whole.any():
+            yield _marked(rows.filter(pa.array(whole)), True)
+        if check.any():
+            yield _marked(rows.filter(pa.array(check)), False)
+        waiting = waiting if of_anchor[-1] == 0 else []
+        if not many[-1]:  # another segment may follow in the next batch
+            waiting.append(rows.filter(pa.array((of_anchor == of_anchor[-1]) & ~whole)))
+        last, least, several = (anchor[-1], segment[-1]), firsts[-1], bool(many[-1])
 
 
-def runs(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(r1, r2, turn, k, at): the runs of window words whose anchor is listed in shared(k, places)."""
+def _marked(rows: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, whole))], ["k", "at", "n", "whole"])
+
+
+def runs(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(r1, r2, turn, k, at): the runs of window words that places(k, checks) lists, checks being array<struct<at,n>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = words_of(batch.column("text"))
-            start, place, _ = _anchors(words, window)
-            seeds = batch.column("places")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(seeds.offsets)))
-            kept = np.isin(place, np.asarray(seeds.flatten()) + words.first[row])
-            one, all_starts = words.grams(window, 1)
+            at = _starts(words, batch.column("checks"))
+            one, every = words.grams(window, 1)
             two, _ = words.grams(window, 2)
-            where = np.searchsorted(all_starts, start[kept])
-            doc = _owner(words, start[kept])
+            where = np.searchsorted(every, at)
+            doc = _owner(words, at)
+            rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one[where].view(np.int64)), pa.array(two[where].astype(np.uint32).view(np.int32)), batch.column("turn").take(pa.array(doc)), batch.column("k").take(pa.array(doc)), pa.array((start[kept] - words.first[doc]).astype(np.int32))],
+                [pa.array(one[where].view(np.int64)), pa.array(two[where].astype(np.uint32).view(np.int32)), batch.column("turn").take(rows), batch.column("k").take(rows), pa.array((at - words.first[doc]).astype(np.int32))],
                 ["r1", "r2", "turn", "k", "at"],
             )
 
-    return docs.join(shared, "k").select("text", "turn", "k", "places").mapInArrow(run, "r1 bigint, r2 int, turn bigint, k bigint, at int")
-
-
-def repeats(named: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k, starts): the first words of the runs of each row that a smaller doc_id also holds; copies(k) are left out.
-
-    Anchors are shuffled and sorted once, and so are runs; the sorted rows then stream through, with no more than one row's
-    anchors or one number held for a key, however many documents share it.
-    """
-    found = anchors(named, window).repartition("anchor").sortWithinPartitions("anchor", "k")
-    shared = found.mapInArrow(_met, "k bigint, at int").groupBy("k").agg(F.collect_set("at").alias("places"))
-    held = runs(named, shared.join(copies, "k", "left_anti"), window).repartition("r1", "r2").sortWithinPartitions("r1", "r2", "turn")
-    return held.mapInArrow(_later, "k bigint, at int").groupBy("k").agg(F.collect_set("at").alias("starts"))
+    return docs.join(places, "k").select("text", "turn", "k", "checks").mapInArrow(run, "r1 bigint, r2 int, turn bigint, k bigint, at int")
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, k) those whose anchor has several k."""
-    last, first_k, shared, waiting = None, None, False, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        anchor, k = np.asarray(batch.column("anchor")), np.asarray(batch.column("k"))
-        rows = batch.select(["k", "at"])
-        start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        end = np.append(start[1:], len(anchor))
-        several = k[start] != k[end - 1]
-        if anchor[0] == last:
-            several[0] = shared or k[end[0] - 1] != first_k
-            if several[0]:
-                yield from waiting
-        if anchor[0] != last or several[0]:
-            waiting = []
-        open_first = anchor[0] == last and len(start) == 1
-        keep = np.repeat(several, end - start)
-        if not several[-1]:  # it may meet another k in the next batch
-            waiting = [*(waiting if open_first else []), rows.slice(start[-1])]
-        if keep.any():
-            yield rows.filter(pa.array(keep))
-        first_k = first_k if open_first else k[start[-1]]
-        last, shared = anchor[-1], bool(several[-1])
+def _starts(words: Words, listed: pa.ListArray) -> np.ndarray:
+    """The words at which the listed runs (at, n) of each text start."""
+    many = np.diff(np.asarray(listed.offsets))
+    flat = listed.flatten()
+    at, n = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+    first = np.repeat(at + words.first[np.repeat(np.arange(len(many)), many)], n)
+    return first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,29 +175,32 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, least = (one[-1], two[-1]), first[-1]
 
 
-def copies_of(named: DataFrame) -> DataFrame:
-    """(k, whole): rows whose whole text a smaller doc_id also has."""
-    texts = named.where("text is not null").select("k", "turn", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
-    first = texts.groupBy("t1", "t2").agg(F.min("turn").alias("first"), F.max("turn").alias("last")).where("first < last").select("t1", "t2", "first")
-    return texts.join(first, ["t1", "t2"]).where("first < turn").select("k", F.lit(True).alias("whole")).distinct()
+def repeats(named: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(k, starts): the runs (at, n) of each row that a smaller doc_id also holds."""
+    spark = named.sparkSession
+    met = segments(named, window).repartition("anchor").sortWithinPartitions("anchor", "segment", "turn").mapInArrow(_compared, "k bigint, at int, n int, whole boolean")
+    listed = lambda which: F.collect_list(F.when(which, F.struct("at", "n")))
+    folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
+    met.groupBy("k").agg(listed(F.col("whole")).alias("starts"), listed(~F.col("whole")).alias("checks")).write.parquet(folder)
+    known = spark.read.parquet(folder)
+    held = runs(named, known.where(F.size("checks") > 0).select("k", "checks"), window).repartition("r1", "r2").sortWithinPartitions("r1", "r2", "turn")
+    single = held.mapInArrow(_later, "k bigint, at int").groupBy("k").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("more"))
+    return known.select("k", "starts").join(single, "k", "left").select("k", F.concat("starts", F.coalesce("more", F.array().cast("array<struct<at:int,n:int>>"))).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ...] = ("kept", "spans", "n_words", "n_removed")) -> DataFrame:
     """(doc_id, *outputs) of each row of docs(doc_id, text): kept words joined by a space; spans are the maximal repeats, in words."""
     named = _named(docs)
-    copies = copies_of(named)
-    marks = repeats(named, copies.select("k"), window).join(copies, "k", "full")
-    rows = named.join(marks, "k", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    none = F.array().cast("array<struct<at:int,n:int>>")
+    rows = named.join(repeats(named, window), "k", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = words_of(batch.column("text"))
-            starts = batch.column("starts")
-            at = np.asarray(starts.flatten()) + words.first[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(starts.offsets)))]
+            at = _starts(words, batch.column("starts"))
             change = np.bincount(at, minlength=len(words.hash) + 1) - np.bincount(at + window, minlength=len(words.hash) + 1)
             n = np.diff(words.first)
-            whole = np.asarray(batch.column("whole")) & (n >= window)
-            gone = (np.cumsum(change[:-1]) > 0) | np.repeat(whole, n)
+            gone = np.cumsum(change[:-1]) > 0
             removed = np.add.reduceat(np.append(gone, 0), words.first[:-1]) * (n > 0)
             texts = _kept(words, ~gone)
             made = {

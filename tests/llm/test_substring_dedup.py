@@ -60,14 +60,18 @@ def test_streams_do_not_depend_on_batches():
     import pyarrow as pa
 
     r = np.random.default_rng(0)
-    anchor, k, at = (r.integers(0, n, 400) for n in (40, 4, 1000))
-    order = np.lexsort((k, anchor))
-    rows = pa.table({"anchor": anchor[order], "k": k[order], "at": at[order]})
-    many = {a for a in anchor if len(set(k[anchor == a])) > 1}
-    want = sorted((int(x), int(y)) for a, x, y in zip(anchor, k, at) if a in many)
-    runs = rows.rename_columns(["r1", "turn", "at"]).append_column("r2", pa.array(anchor[order] % 2)).append_column("k", rows["k"])
-    later = sorted((int(x), int(y)) for a, x, y in zip(anchor, k, at) if x > k[anchor == a].min())
-    for size in (1, 2, 3, 7, 50, 400):
-        batches = [b for b in rows.combine_chunks().to_batches(size)]
-        assert sorted((x["k"], x["at"]) for b in S._met(iter(batches)) for x in b.to_pylist()) == want
-        assert sorted((x["k"], x["at"]) for b in S._later(iter(runs.combine_chunks().to_batches(size))) for x in b.to_pylist()) == later
+    for segments in (1, 2, 5):
+        anchor, segment, turn, at = (r.integers(0, n, 400) for n in (60, segments, 6, 10_000))
+        order = np.lexsort((turn, segment, anchor))
+        anchor, segment, turn, at = (x[order] for x in (anchor, segment, turn, at))
+        rows = pa.table({"anchor": anchor, "segment": segment, "turn": turn, "k": turn, "at": at, "n": at % 9})
+        least = lambda i: turn[(anchor == anchor[i]) & (segment == segment[i])].min()
+        whole = {i for i in range(400) if turn[i] > least(i)}
+        check = {i for i in range(400) if i not in whole and len(set(segment[anchor == anchor[i]])) > 1}
+        want = sorted((int(at[i]), i in whole) for i in whole | check)
+        runs = rows.rename_columns(["r1", "r2", "turn", "k", "at", "n"])
+        for size in (1, 2, 3, 7, 50, 400):
+            got = [x for b in S._compared(iter(rows.combine_chunks().to_batches(size))) for x in b.to_pylist()]
+            assert sorted((x["at"], x["whole"]) for x in got) == want
+            later = [x for b in S._later(iter(runs.combine_chunks().to_batches(size))) for x in b.to_pylist()]
+            assert sorted(x["at"] for x in later) == sorted(int(at[i]) for i in whole)
