@@ -381,10 +381,10 @@ def queue_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request", F.col("claim.user_id").alias("agent"), status.alias("status"))
 
 
-@C.query(f"WITH {_NOW}, s AS (SELECT event_id AS session, user_id, ts + INTERVAL 36 HOUR AS expires FROM events WHERE event_type = 'login') SELECT session, user_id FROM s, now WHERE expires > now AND user_id % 12 <> 0")
+@C.query(f"WITH {_NOW}, s AS (SELECT event_id AS session, user_id, ts + INTERVAL 36 HOUR AS expires FROM events WHERE event_type = 'signup') SELECT session, user_id FROM s, now WHERE expires > now AND user_id % 12 <> 0")
 def valid_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
-    rows = events.where("event_type = 'login'").select(F.col("event_id").alias("session"), "user_id", (F.col("ts") + F.expr("INTERVAL 36 HOUR")).alias("expires"))
+    rows = events.where("event_type = 'signup'").select(F.col("event_id").alias("session"), "user_id", (F.col("ts") + F.expr("INTERVAL 36 HOUR")).alias("expires"))
     return with_now(rows, events).where("expires > now and user_id % 12 <> 0").select("session", "user_id")
 
 

@@ -184,11 +184,11 @@ def audit_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @C.query(
-    """SELECT e.event_id, e.user_id FROM events e WHERE (event_type, user_id) IN (VALUES ('click', 7), ('view', 7), ('purchase', 11), ('login', 13)) """
+    """SELECT e.event_id, e.user_id FROM events e WHERE (event_type, user_id) IN (VALUES ('click', 7), ('view', 7), ('purchase', 11), ('signup', 13)) """
 )
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of several entities in one pass: a semi-join on (kind, id)."""
-    wanted = spark.sql("SELECT * FROM VALUES ('click', 7L), ('view', 7L), ('purchase', 11L), ('login', 13L) AS w(event_type, user_id)")
+    wanted = spark.sql("SELECT * FROM VALUES ('click', 7L), ('view', 7L), ('purchase', 11L), ('signup', 13L) AS w(event_type, user_id)")
     return load(spark, sf_dir, "events").join(F.broadcast(wanted), ["event_type", "user_id"], "left_semi").select("event_id", "user_id")
 
 
