@@ -116,7 +116,8 @@ def words_of(texts: pa.Array, lower: bool = False, letters: bool = False) -> Wor
 def run_hashes(data: np.ndarray, start: np.ndarray, long: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of bytes; the runs tile data."""
     power = np.concatenate([np.ones(1, np.uint64), np.full(int(long.max()) - 1, _BASE)]).cumprod(dtype=np.uint64)
-    values = _BYTE[data] * power[np.arange(len(data)) - np.repeat(start, long)]
+    short = np.int32 if len(data) < 1 << 31 else np.int64
+    values = _BYTE[data] * power[np.arange(len(data), dtype=short) - np.repeat(start.astype(short), long)]
     return mix(np.add.reduceat(values, start))
 
 

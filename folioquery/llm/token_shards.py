@@ -39,8 +39,8 @@ from .common import buffers, by_key, run_hashes, shared_folder, slices, table
 MODEL = "byte_bpe_50k.json"
 #: Bytes of text that make a shard, on average.
 SHARD_BYTES = 2 << 20
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 1_000_000
+#: Slots in which a worker remembers the ids of words; a new word takes the place of the one in its slot.
+SLOTS = 1 << 21
 BLOCK = 512
 #: Shards up to which the list of their first places is broadcast.
 BASES = 1_000_000
@@ -181,17 +181,9 @@ class Encoder:
         self.width = np.zeros(pieces[-1][1] + 1, np.int64)
         for piece, i in pieces:
             self.width[i] = len(piece)
-        self.known, self.first, self.many, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
-        self.flat = np.zeros(0, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
-
-    def _forget(self) -> None:
-        """Drop words that were met in one slice alone; all of them if most came again."""
-        keep = np.flatnonzero(self.again)
-        keep = keep[:0] if len(keep) > REMEMBERED // 2 else keep
-        many = self.many[keep].astype(np.int64)
-        place = np.repeat(self.first[keep] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        self.known, self.many, self.flat, self.again = self.known[keep], self.many[keep], self.flat[place], np.zeros(len(keep), bool)
-        self.first = (np.cumsum(many) - many).astype(np.int32)
+        self.name = np.zeros(SLOTS, np.uint64)  # of the word in each slot, 0 for none
+        self.first, self.many = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.flat, self.used = np.zeros(8 * SLOTS, np.uint16 if len(self.width) <= 1 << 16 else np.uint32), 0
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's end."""
@@ -207,45 +199,44 @@ class Encoder:
         start, end = border[:-1], border[1:]
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(border), pa.py_buffer(data)])
         name = run_hashes(data, start, end - start)
-        distinct, some, which = np.unique(name, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = np.ones(len(distinct), bool) if not len(self.known) else self.known[place] != distinct
-        self.again[place[~new]] = True
-        if new.any():
-            some = some[new]
-            self._learn(distinct[new], words.take(pa.array(some)), (end - start)[some], (data[start[some]] == 32) & plain[end[some] - 1])
-            place = np.searchsorted(self.known, distinct)
-        place = place[which]
-        many = self.many[place].astype(np.int64)
-        out = self.flat[np.repeat(self.first[place] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        if self.width[out].sum() != len(data):
-            raise ValueError("the ids do not tile the texts")
+        slot = (name & np.uint64(SLOTS - 1)).astype(np.int64)
+        first, many = self.first[slot].astype(np.int64), self.many[slot].astype(np.int64)
+        new = np.flatnonzero(self.name[slot] != name)
+        if len(new):
+            distinct, some, which = np.unique(name[new], return_index=True, return_inverse=True)
+            some = new[some]
+            f, m = self._learn(words.take(pa.array(some)), (end - start)[some], (data[start[some]] == 32) & plain[end[some] - 1])
+            first[new], many[new] = f[which], m[which]
+            slot = slot[some]
+            self.name[slot], self.first[slot], self.many[slot] = distinct, f, m
+        out = self.flat[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
         total = np.concatenate([[0], np.cumsum(many)])
         ends = total[np.searchsorted(border, at[1:])]
-        if len(self.known) > REMEMBERED:
-            self._forget()
+        if self.used > 7 * SLOTS:
+            self.name[:], self.used = 0, 0
         return out, ends
 
-    def _learn(self, names: np.ndarray, words: pa.Array, long: np.ndarray, regular: np.ndarray) -> None:
-        """regular words begin with a space and end before a cut, so they can stand side by side in one text."""
+    def _learn(self, words: pa.Array, long: np.ndarray, regular: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in flat the ids of each word begin, and how many they are.
+
+        regular words begin with a space and end before a cut, so they can stand side by side in one text.
+        """
         joined, total = b"".join(words.filter(pa.array(regular)).to_pylist()), np.cumsum(long[regular])
         other = [w.decode() for w in words.filter(pa.array(~regular)).to_pylist()]
         made = self.model.encode_batch_fast([joined.decode(), *other], add_special_tokens=False)
         ids = np.asarray(made[0].ids, self.flat.dtype)
-        place = np.cumsum(self.width[ids])
-        last = np.searchsorted(place, total)
-        if len(total) and not (place[last] == total).all():
-            raise ValueError("an id spans two words")
+        last = np.searchsorted(np.cumsum(self.width[ids]), total)
         last = np.concatenate([last + 1, len(ids) + np.cumsum([len(x.ids) for x in made[1:]], dtype=np.int64)])
         flat = np.concatenate([ids, *[np.asarray(x.ids, self.flat.dtype) for x in made[1:]]])
-        names, first = np.concatenate([names[regular], names[~regular]]), np.concatenate([[0], last[:-1]])
-        order = np.argsort(names)
-        at = np.searchsorted(self.known, names[order])
-        self.known = np.insert(self.known, at, names[order])
-        self.again = np.insert(self.again, at, False)
-        self.many = np.insert(self.many, at, (last - first)[order])
-        self.first = np.insert(self.first, at, first[order] + len(self.flat))
-        self.flat = np.concatenate([self.flat, flat])
+        order = np.argsort(np.concatenate([np.flatnonzero(regular), np.flatnonzero(~regular)]))
+        if not (np.cumsum(self.width[flat])[last - 1] == np.cumsum(np.concatenate([long[regular], long[~regular]]))).all():
+            raise ValueError("the ids do not tile the words")
+        start = np.concatenate([[0], last[:-1]])
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), self.flat.dtype)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        start, self.used = start + self.used, self.used + len(flat)
+        return start[order], (last - np.concatenate([[0], last[:-1]]))[order]
 
 
 @lru_cache(2)
