@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +86,12 @@ def _learn(state: tuple[np.ndarray, np.ndarray], texts: pa.Array, labels: np.nda
     return z, n
 
 
-def _learner(held: tuple[np.ndarray, np.ndarray, np.ndarray], prior: float, bits: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _learner(held: Broadcast, prior: float, bits: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a shard does in a round: start from the common state, learn from its rows, give the changes."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-        z[held[0]], n[held[0]] = held[1], held[2]
-        z0, n0 = z, n
+        z0, n0 = (x.astype(float) for x in held.value)
+        z, n = z0, n0
         for batch in slices(batches):
             z, n = _learn((z, n), batch.column("text"), np.asarray(batch.column("label")), prior, bits, shards)
         moved = [((a - b) / shards).astype(np.float16).tobytes() for a, b in ((z, z0), (n, n0))]
@@ -114,10 +114,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, round
         rows = rows.orderBy("turn").limit(sample)
     rows = checkpointed(rows.repartition(shards).sortWithinPartitions("turn"))  # a shard is a partition
     for _ in range(rounds):
-        at = np.flatnonzero(n)
-        for moved in rows.mapInArrow(_learner((at, z[at], n[at]), prior, bits, shards), "dz binary, dn binary").collect():  # 4 MB a shard
+        held = labelled.sparkSession.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
+        for moved in rows.mapInArrow(_learner(held, prior, bits, shards), "dz binary, dn binary").collect():  # 4 MB a shard
             z += np.frombuffer(moved["dz"], np.float16)
             n += np.frombuffer(moved["dn"], np.float16)
+        held.unpersist()
     w = _weights(z, n)
     at = np.flatnonzero(w)
     return at, w[at], prior
