@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -65,7 +66,13 @@ def evidence(text: Column, start: Column, end: Column, window: int = 120) -> Col
 
 
 def looked_up(key: Column, table: dict) -> Column:
-    return F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), lambda k, v: k == key)), F.lit(0))
+    """The value of key in a small literal table, null without one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use has it inside another lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _first(values: Column) -> Column:
@@ -79,13 +86,15 @@ def _fold(name: str) -> str:
 def department(raw: Column) -> Column:
     """The canonical department of a heading: equal when folded, else the first of which one is a prefix of the other."""
     name = F.regexp_replace(F.regexp_replace(stripped(collapsed(raw), r" \-–—,."), r"\(.*?\)", " "), r"(?i)\bDEPARTMENT\b", "")
-    name = stripped(collapsed(name), r" \-–—,.")
-    fold = folded(name)
     known = F.array(*[F.struct(F.lit(d).alias("name"), F.lit(_fold(d)).alias("fold")) for d in V.DEPARTMENTS])
-    equal = _first(F.filter(known, lambda d: d["fold"] == fold))["name"]
-    prefix = _first(F.filter(known, lambda d: F.startswith(fold, d["fold"]) | F.startswith(d["fold"], fold)))["name"]
-    other = F.when((F.upper(name) == name) & (F.lower(name) != name), F.initcap(name)).otherwise(name)
-    return F.when(name == "", F.lit("")).otherwise(F.coalesce(equal, prefix, other))
+
+    def canonical(name: Column) -> Column:
+        prefix = lambda fold: _first(F.filter(known, lambda d: F.startswith(fold, d["fold"]) | F.startswith(d["fold"], fold)))["name"]
+        found = _let(folded(name), lambda fold: F.coalesce(looked_up(fold, {_fold(d): d for d in V.DEPARTMENTS}), prefix(fold)))
+        other = F.when((F.upper(name) == name) & (F.lower(name) != name), F.initcap(name)).otherwise(name)
+        return F.when(name == "", F.lit("")).otherwise(F.coalesce(found, other))
+
+    return _let(stripped(collapsed(name), r" \-–—,."), canonical)
 
 
 def is_department(name: Column) -> Column:

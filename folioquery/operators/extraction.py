@@ -172,9 +172,12 @@ def winners(rows: DataFrame) -> DataFrame:
 
 def losers(rows: DataFrame) -> DataFrame:
     """Candidates whose value is not that of the winner."""
-    all_rows = ranked(rows)
-    won = all_rows.where("place = 1").select("doc_id", "field", "normalized")
-    return all_rows.join(won, ["doc_id", "field", "normalized"], "left_anti")
+    return without_winner(ranked(rows))
+
+
+def without_winner(ranked_rows: DataFrame) -> DataFrame:
+    won = F.first("normalized").over(Window.partitionBy("doc_id", "field").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ranked_rows.withColumn("_won", won).where(F.col("normalized") != F.col("_won")).drop("_won")
 
 
 def _facts_sql() -> str:

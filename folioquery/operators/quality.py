@@ -20,7 +20,7 @@ _GRID = """grid AS (
     (d.n_chars % 100) / 100.0::DOUBLE AS confidence
   FROM labels l JOIN documents d USING (doc_id), (VALUES ('quality'), ('toxic')) f(field)),
 scored AS (SELECT *, CASE WHEN asserted_absent THEN NULL ELSE expected_raw END AS expected FROM grid),
-outcomes AS (SELECT *, CASE WHEN expected IS NULL AND actual IS NULL THEN 'tn' WHEN expected IS NULL THEN 'hallucinated' WHEN actual IS NULL THEN 'missed' WHEN expected = actual THEN 'tp' ELSE 'wrong' END AS outcome FROM scored)"""
+outcomes AS MATERIALIZED (SELECT *, CASE WHEN expected IS NULL AND actual IS NULL THEN 'tn' WHEN expected IS NULL THEN 'hallucinated' WHEN actual IS NULL THEN 'missed' WHEN expected = actual THEN 'tp' ELSE 'wrong' END AS outcome FROM scored)"""
 
 
 def outcome(expected: Column, actual: Column, equal: Column) -> Column:
@@ -85,7 +85,7 @@ def target_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("all_passed"))))  # one row
 
 
-_CAUSE = """causes AS (SELECT doc_id, field, lang, source, outcome, CASE WHEN outcome = 'hallucinated' THEN 'hallucination' WHEN doc_id % 13 = 0 THEN 'ocr_failure' WHEN lang = 'es' THEN 'tamil_parsing_failure'
+_CAUSE = """causes AS MATERIALIZED (SELECT doc_id, field, lang, source, outcome, CASE WHEN outcome = 'hallucinated' THEN 'hallucination' WHEN doc_id % 13 = 0 THEN 'ocr_failure' WHEN lang = 'es' THEN 'tamil_parsing_failure'
   WHEN field = 'quality' AND doc_id % 4 = 1 THEN 'reference_misclassification' WHEN field = 'toxic' AND doc_id % 3 = 0 THEN 'table_extraction_failure' WHEN field = 'toxic' THEN 'budget_failure' ELSE 'other' END AS cause
   FROM outcomes WHERE outcome IN ('wrong', 'missed', 'hallucinated'))"""
 
@@ -124,7 +124,9 @@ def failure_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(rows, "run", "left").groupBy("run").agg(F.count("doc_id").alias("n")).orderBy("run")
 
 
-@C.query(f"WITH {_GRID}, {_CAUSE} SELECT 'source' AS by, coalesce(source, 'unknown') AS value, count(*) AS n FROM causes GROUP BY source UNION ALL SELECT 'lang', coalesce(lang, 'unknown'), count(*) FROM causes GROUP BY lang")
+@C.query(
+    f"WITH {_GRID}, {_CAUSE}, m AS MATERIALIZED (SELECT source, lang FROM causes) SELECT 'source' AS by, coalesce(source, 'unknown') AS value, count(*) AS n FROM m GROUP BY source UNION ALL SELECT 'lang', coalesce(lang, 'unknown'), count(*) FROM m GROUP BY lang"
+)
 def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped by the raw column, so a null and a literal 'unknown' stay apart."""
     rows = failures(spark, sf_dir)
@@ -139,7 +141,7 @@ def bucketed(observations: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, "bucket", "n", F.round("mean", 6).alias("mean_confidence"), F.round("right", 6).alias("accuracy"), F.round(F.col("right") - F.col("mean"), 4).alias("gap"))
 
 
-_OBSERVED = "observed AS (SELECT doc_id, field, confidence, CASE WHEN outcome IN ('tp') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct, CAST(least(floor(confidence / 0.1::DOUBLE), 9) AS BIGINT) AS bucket FROM outcomes WHERE actual IS NOT NULL)"
+_OBSERVED = "observed AS MATERIALIZED (SELECT doc_id, field, confidence, CASE WHEN outcome IN ('tp') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct, CAST(least(floor(confidence / 0.1::DOUBLE), 9) AS BIGINT) AS bucket FROM outcomes WHERE actual IS NOT NULL)"
 _BUCKET = "count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(correct), 6) AS accuracy, round(avg(correct) - avg(confidence), 4) AS gap"
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .catalog import Query
+from .operators import constraints, extraction, operations, quality, records, review, web
+from .plans import runs
+from .streaming import streams
+
+MODULES = (extraction, records, review, quality, web, operations, constraints, runs, streams)
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    """The flagship: order numbers with evidence, from generated order text to one ranked winner for each order."""
+    return extraction.order_number(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
