@@ -54,7 +54,7 @@ HEADER_HINTS = {
     "go_number": ("g.o", "go no", "order no", "number", "ms no"), "go_date": ("date",), "department": ("department", "dept"),
     "subject": ("subject", "abstract", "title", "description"),
 }
-_MONTH = "january|september|february|november|december|october|august|march|april|june|july|sept|jan|feb|mar|may|jun|jul|aug|sep|oct|nov|dec|apr"
+_MONTH = "|".join(sorted(MONTHS, key=len, reverse=True))
 GO_NUMBER = r"(?i)\bG\.?\s*[O0]\.?\s*(?:[({]\s*(Ms|Rt|D|P|2D)\s*\.?\s*[)}]|(Ms|Rt|D|P)\s*\.)?[\s.,]*(?:No\.?|Number)?\s*([0-9]{1,5})(?:\s*[/,]?\s*((?:19|20)[0-9]{2}))?"
 ORDER_NUMBER = r"(?i)\b(?:Order|Proceedings)\s+No\.?\s*([0-9]{1,5})"
 DATE_PATTERNS = (
