@@ -41,7 +41,10 @@ def region_weight(field: str, where: Column) -> Column:
     return reduce(lambda c, rw: c.when(where == rw[0], rw[1]), V.REGION_WEIGHTS[field].items(), F.when(F.lit(False), 1.0))
 
 
-def _matches(pages: DataFrame, pattern: str) -> DataFrame:
+def _matches(pages: DataFrame, pattern: str, needle: str | None = None) -> DataFrame:
+    """A row for each match; needle is a text that every match holds, which spares the pattern on other pages."""
+    if needle is not None:
+        pages = pages.where(F.contains("text", F.lit(needle)))
     found = pages.select("*", F.posexplode(T.spans(F.col("text"), pattern)).alias("turn", "m"))
     return found.select("*", "m.found", "m.start", "m.end").drop("m")
 
@@ -84,8 +87,8 @@ def dates(pages: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def departments(pages: DataFrame) -> DataFrame:
-    heading = _matches(pages, V.DEPARTMENT_HEADING).withColumn("name", T.department(F.regexp_extract("found", V.DEPARTMENT_HEADING, 1))).where("name <> ''")
-    inline = _matches(pages, V.DEPARTMENT_IN_ABSTRACT).withColumn("name", T.department(F.regexp_extract("found", V.DEPARTMENT_IN_ABSTRACT, 1)))
+    heading = _matches(pages, V.DEPARTMENT_HEADING, "DEPARTMENT").withColumn("name", T.department(F.regexp_extract("found", V.DEPARTMENT_HEADING, 1))).where("name <> ''")
+    inline = _matches(pages, V.DEPARTMENT_IN_ABSTRACT, "Department").withColumn("name", T.department(F.regexp_extract("found", V.DEPARTMENT_IN_ABSTRACT, 1)))
     inline = inline.where(T.is_department(F.col("name"))).withColumn("turn", F.col("turn") + 1000)
     shown = T.collapsed(F.col("found"))
     one = _candidates(heading, "department", F.col("name"), F.when(T.is_department(F.col("name")), 0.98).otherwise(0.80), F.lit("DEPARTMENT_HEADING"), value=shown)
