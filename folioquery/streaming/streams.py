@@ -102,7 +102,7 @@ _STATES = {"view": "new", "click": "downloaded", "signup": "parsed", "purchase":
 def status_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Entries of one key that change its status; the status held is the state. Entries of a trigger are taken in order."""
     now = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("event_id")
+    rows = pd.concat(list(frames), ignore_index=True).sort_values("event_id", ignore_index=True)
     status = rows["event_type"].map(_STATES)
     before = status.shift(1)
     before.iloc[0] = now
