@@ -7,8 +7,9 @@ the whole of it repeats; where segments of an anchor differ, they are compared r
 repeats, of WINDOW words or more. A word goes if it lies in a run that a document with a smaller doc_id also holds.
 
 No pairs are made: anchors, and then runs, are sorted and each is compared with the first of its kind alone. Shuffled are one anchor
-in five words or so with the hash of its segment, the texts once, and the runs of segments that differ; segments and runs are matched
-by 96 bits. A key that a third of all documents share lies in one partition, but a document gives it a few rows of its hundreds, and
+in five words or so with the hash of its segment, the texts once, and the runs of segments that differ. Segments of an anchor are told
+apart by 64 bits of their own, as the anchor's hash is the same for all of them; runs by 96. M unlike segments of an anchor give about
+M * M / 2**65 false matches, under one in a million at M = 5,000,000. A key that a third of all documents share lies in one partition, but a document gives it a few rows of its hundreds, and
 they stream in constant memory.
 
 Defined results: a null text has no words; fewer than WINDOW words lose nothing; equal texts lose all their words but for
@@ -79,18 +80,18 @@ def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["anchor", "segment", "turn", "k", "at", "n"],
             )
 
-    return docs.select("text", "turn", "k").mapInArrow(run, "anchor bigint, segment int, turn bigint, k bigint, at int, n int")
+    return docs.select("text", "turn", "k").mapInArrow(run, "anchor bigint, segment bigint, turn bigint, k bigint, at int, n int")
 
 
 def _range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """32-bit hashes of ranges of words: differences of a running polynomial sum, shifted to the range's start."""
+    """64-bit hashes of ranges of words: differences of a running polynomial sum, shifted to the range's start."""
     base = 0xD1342543DE82EF95
     power = np.full(len(hashes) + 1, base, np.uint64)
     back = np.full(len(hashes) + 1, pow(base, -1, 1 << 64), np.uint64)
     power[:1] = back[:1] = 1
     power, back = power.cumprod(dtype=np.uint64), back.cumprod(dtype=np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
-    return (mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

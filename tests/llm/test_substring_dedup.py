@@ -75,3 +75,14 @@ def test_streams_do_not_depend_on_batches():
             assert sorted((x["at"], x["whole"]) for x in got) == want
             later = [x for b in S._later(iter(runs.combine_chunks().to_batches(size))) for x in b.to_pylist()]
             assert sorted(x["at"] for x in later) == sorted(int(at[i]) for i in whole)
+
+
+def test_contexts_of_an_anchor_with_equal_short_hashes(spark):
+    """Each two share the anchor of five words alone; the upper 32 bits of their segments' hashes are equal."""
+    anchor = " w993 w838 w964 w27 w440 "
+    pairs = [("w803 w732 w843 w948", "w164 w927 w134 w761"), ("w56 w282 w71 w196", "w661 w224 w275 w858")], [("w71 w205 w970 w900", "w875 w684 w798 w962"), ("w190 w557 w19 w459", "w313 w311 w622 w597")]
+    for pair in pairs:
+        docs = spark.createDataFrame([(i, before + anchor + after) for i, (before, after) in enumerate(pair)], "doc_id long, text string")
+        found = S.segments(S._named(docs)).collect()
+        assert len(found) == 2 and found[0]["anchor"] == found[1]["anchor"] and found[0]["segment"] != found[1]["segment"]
+        assert [x["n_removed"] for x in S.without_repeats(docs, outputs=("n_removed",)).collect()] == [0, 0]
