@@ -1,7 +1,8 @@
 """Incremental operators as Structured Streaming queries.
 
 Each runs over a file source until it has read what is there (availableNow), with its checkpoint and output in the shared folder, and
-returns what it wrote. The results equal those of the batch SQL over the same rows. Times without a zone are cast, as watermarks need them.
+returns what it wrote. The results equal those of the batch SQL over the same rows, in whatever order files come: there are no watermarks,
+as one would drop the rows of a file older than those before it. So state holds a row for each key, window or session of the whole input.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def finished(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()
 @C.query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling days."""
-    rows = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    rows = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     out = finished(rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), "update", ("day", "event_type"))
     return out.withColumn("total", F.round("total", 4))
 
@@ -68,7 +69,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_rolling_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures in windows of seven days, one a day."""
-    rows = event_stream(spark, sf_dir).where("event_type = 'error'").withWatermark("ts", "8 days").groupBy(F.window("ts", "7 days", "1 day", "0 days")).agg(F.count(F.lit(1)).alias("n"))
+    rows = event_stream(spark, sf_dir).where("event_type = 'error'").groupBy(F.window("ts", "7 days", "1 day", "0 days")).agg(F.count(F.lit(1)).alias("n"))
     return finished(rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "n"), "update", ("start",))
 
 
@@ -81,18 +82,22 @@ def stream_upsert_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @C.query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each key once; state is dropped as the watermark passes."""
-    rows = event_stream(spark, sf_dir).withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    """Each key once; state holds the keys seen."""
+    rows = event_stream(spark, sf_dir).dropDuplicates(["user_id", "event_type"])
     return finished(rows.select("user_id", "event_type"))
 
 
+#: Spark also joins an entry that comes just at the end of the gap.
+_UNDER_6_HOURS = "5 hours 59 minutes 59 seconds 999 milliseconds 999 microseconds"
+
+
 @C.query(
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, session"""
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that end after six hours without an entry."""
-    rows = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"))
+    rows = event_stream(spark, sf_dir).groupBy(F.session_window("ts", _UNDER_6_HOURS), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"))
     return finished(rows.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n"), "complete")
 
 

@@ -1,5 +1,14 @@
+import os
+import random
+from collections import Counter, defaultdict
+from datetime import datetime, timedelta
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
+from folioquery.streaming import streams
 from folioquery.streaming.streams import status_changes
 
 
@@ -21,3 +30,57 @@ def test_status_changes_over_several_frames():
     out = pd.concat(status_changes((1,), iter([frame((1, 4, "click"), (1, 2, "view")), frame((1, 3, "click"), (1, 5, "error"))]), state))
     assert out[["event_id", "before", "status"]].values.tolist() == [[3, "new", "downloaded"], [5, "downloaded", "rejected"]]
     assert state.value == ("rejected",)
+
+
+@pytest.fixture(scope="module")
+def shuffled(tmp_path_factory):
+    """An events folder of 24 files over 120 days that come newest first, then oldest, then in no order; and its rows."""
+    r, top = random.Random(3), tmp_path_factory.mktemp("events")
+    start = datetime(2024, 1, 1)
+    rows = sorted((start + timedelta(minutes=r.randrange(120 * 1440)), r.randrange(1, 9), r.choice(["view", "click", "error"]), r.randrange(100) / 4) for _ in range(720))
+    rows = [(i, ts, user + i // 240 * 8, kind, value) for i, (ts, user, kind, value) in enumerate(rows)]  # users come and go
+    rows[41] = (41, rows[40][1] + timedelta(hours=6), 30, "view", 1.0)
+    rows[40] = (40, rows[40][1], 30, "view", 1.0)  # six hours apart to the second, so two sessions
+    order = [*range(23, 15, -1), *range(8), *r.sample(range(8, 16), 8)]
+    os.mkdir(top / "events.parquet")
+    for turn, part in enumerate(order):
+        event_id, ts, user_id, event_type, value = zip(*rows[part * 30 : part * 30 + 30], strict=True)
+        path = top / f"events.parquet/part-{part}.parquet"
+        pq.write_table(pa.table({"event_id": event_id, "ts": pa.array(ts, pa.timestamp("us")), "user_id": user_id, "event_type": event_type, "value": value, "props": ["{}"] * 30}), path)
+        os.utime(path, (1_700_000_000 + 60 * turn,) * 2)
+    return str(top), rows
+
+
+def collected(df):
+    return sorted(tuple(x) for x in df.collect())
+
+
+def test_daily_counts_of_files_in_no_order(spark, shuffled):
+    n, total = Counter(), Counter()
+    for _, ts, _, kind, value in shuffled[1]:
+        n[f"{ts:%Y-%m-%d}", kind] += 1
+        total[f"{ts:%Y-%m-%d}", kind] += value
+    assert collected(streams.stream_daily_counts(spark, shuffled[0])) == sorted((*k, n[k], total[k]) for k in n)
+
+
+def test_rolling_failures_of_files_in_no_order(spark, shuffled):
+    n = Counter(f"{ts - timedelta(days=d):%Y-%m-%d}" for _, ts, _, kind, _ in shuffled[1] if kind == "error" for d in range(7))
+    assert collected(streams.stream_rolling_failures(spark, shuffled[0])) == sorted(n.items())
+
+
+def test_first_seen_of_files_in_no_order(spark, shuffled):
+    assert collected(streams.stream_first_seen(spark, shuffled[0])) == sorted({(user, kind) for _, _, user, kind, _ in shuffled[1]})
+
+
+def test_sessions_of_files_in_no_order(spark, shuffled):
+    times, want = defaultdict(list), []
+    for _, ts, user, _, _ in shuffled[1]:
+        times[user].append(ts)
+    for user, all_of in times.items():
+        last = None
+        for ts in sorted(all_of):
+            if last is None or ts - last >= timedelta(hours=6):
+                want.append([user, f"{ts:%Y-%m-%d %H:%M:%S}", 0])
+            want[-1][2] += 1
+            last = ts
+    assert collected(streams.stream_sessions(spark, shuffled[0])) == sorted(map(tuple, want))
