@@ -15,7 +15,8 @@ Scale: texts are not shuffled; ids are, once, at two bytes each, by the shard th
 A shard is a bounded piece of work. The place of a shard's first id comes from the sizes of the shards before it.
 
 Defined results: a null text is empty and gives the end id alone; null doc_id come first, repeated doc_id in the order of
-their ids, each a document of its own; an empty table gives no shards; only doc_id and text are read.
+their ids, each a document of its own; an empty table gives no shards; only doc_id and text are read. A special token that a text
+spells out, <|endoftext|>, is its one id, as the library has it by default and op8_token_shards gives it; with plain_specials it is text like any other.
 """
 
 from __future__ import annotations
@@ -171,12 +172,12 @@ class Encoder:
     distinct words, encoded as one text, are split among the words by their lengths.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, plain_specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads cost memory
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = plain_specials
         pieces = sorted(self.model.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         self.width = np.zeros(pieces[-1][1] + 1, np.int64)
         for piece, i in pieces:
@@ -240,17 +241,17 @@ class Encoder:
 
 
 @lru_cache(2)
-def _encoder(model: str) -> Encoder:
-    return Encoder(model)
+def _encoder(model: str, plain_specials: bool = True) -> Encoder:
+    return Encoder(model, plain_specials)
 
 
-def encode(docs: DataFrame, bounds: list[int], path: str | None = None, end_id: int = 0) -> DataFrame:
+def encode(docs: DataFrame, bounds: list[int], path: str | None = None, end_id: int = 0, plain_specials: bool = True) -> DataFrame:
     """(shard, is_null, doc_id, ids) of docs(doc_id, text); ids are little-endian bytes, end_id last."""
     model = Path(path or model_path()).read_text()
     limits = np.asarray(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model)
+        encoder = _encoder(model, plain_specials)
         kind = "<u2" if len(encoder.width) <= 1 << 16 else "<u4"
         for batch in slices(batches):
             ids, ends = encoder(batch.column("text"))
@@ -266,7 +267,7 @@ def encode(docs: DataFrame, bounds: list[int], path: str | None = None, end_id:
     return source.mapInArrow(run, "shard int, has_id int, doc_id bigint, ids binary")
 
 
-def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
+def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: int = SHARD_BYTES, plain_specials: bool = True) -> None:
     """Encode docs(doc_id, text) and write their shards to folder."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
@@ -282,7 +283,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_by
         file = pack(ids, np.asarray(rows["doc_id"], np.int64), nulls, ends)
         return pa.RecordBatch.from_arrays([rows["shard"].combine_chunks()[:1], pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], ["shard", "n_ids", "file"])
 
-    made = by_key(encode(docs, sorted(bounds or []), path), ["shard"], build, "shard int, n_ids bigint, file binary", order=["has_id", "doc_id", "ids"])
+    made = by_key(encode(docs, sorted(bounds or []), path, plain_specials=plain_specials), ["shard"], build, "shard int, n_ids bigint, file binary", order=["has_id", "doc_id", "ids"])
     made.write.parquet(folder)
 
 
@@ -350,7 +351,7 @@ def locate_id(shards: DataFrame, token: int) -> DataFrame:
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, plain_specials=False)
     return documents_of(read_shards(spark, folder), ("n_tokens", "ids_crc32"))
 
 

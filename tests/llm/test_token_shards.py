@@ -72,3 +72,19 @@ def test_query_against_library(spark):
         ids = own.encode(docs[d] or "", add_special_tokens=False).ids + [0]
         assert (out[d]["start"], out[d]["n_tokens"], out[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_special_token_in_a_text_is_its_one_id(spark, tmp_path):
+    r, own, encoder = random.Random(6), Tokenizer.from_file(T.model_path()), T.Encoder(open(T.model_path()).read(), plain_specials=False)
+    special = "<|endoftext|>"
+    assert own.encode("a " + special + " b", add_special_tokens=False).ids[2:3] == [50256]
+    bits = [special, special, "<|endof", "text|>", "a", "it's", " ", "  ", "\n", "\u00fc", "\u6f22", "!", "12"]
+    texts = [*TEXTS, special, f"a {special} b", *("".join(r.choice(bits) for _ in range(r.randrange(20))) for _ in range(500))]
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, ends = encoder(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    at = 0
+    for x, ids in zip(sorted(T.op8_token_shards(spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"]), want, strict=True):
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (at, len(ids) + 1, zlib.crc32(np.asarray([*ids, 0], "<u4").tobytes()))
+        at += len(ids) + 1
