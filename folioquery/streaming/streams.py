@@ -14,14 +14,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..catalog import Catalog
 from ..sources.tables import load
 
 C = Catalog()
-NO_TIMEOUT = GroupStateTimeout.NoTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -105,7 +105,9 @@ _STATES = {"view": "new", "click": "downloaded", "signup": "parsed", "purchase":
 
 
 def status_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Entries of one key that change its status; the status held is the state. Entries of a trigger are taken in order."""
+    """Entries of one key that change its status; the status held is the state. Entries of a trigger are taken in order.
+
+    Right only where triggers come in the order of event_id; stream_status_changes does not depend on that."""
     now = state.get[0] if state.exists else None
     rows = pd.concat(list(frames), ignore_index=True).sort_values("event_id", ignore_index=True)
     status = rows["event_type"].map(_STATES)
@@ -121,9 +123,12 @@ def status_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
 l AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM s) SELECT user_id, event_id, before, status FROM l WHERE before IS NULL OR before <> status"""
 )
 def stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A status machine for each key; setting the status that holds changes nothing."""
-    rows = event_stream(spark, sf_dir).select("user_id", "event_id", "event_type").groupBy("user_id")
-    return finished(rows.applyInPandasWithState(status_changes, "user_id bigint, event_id bigint, before string, status string", "status string", "append", NO_TIMEOUT))
+    """A status machine for each key; setting the status that holds changes nothing. The stream takes the entries in, and changes are found over all of them,
+    as a file may hold entries older than those of files before it."""
+    status = F.create_map(*[F.lit(x) for pair in _STATES.items() for x in pair])[F.col("event_type")]
+    rows = finished(event_stream(spark, sf_dir).select("user_id", "event_id", status.alias("status")))
+    before = F.lag("status").over(Window.partitionBy("user_id").orderBy(F.col("event_id").asc_nulls_last()))
+    return rows.withColumn("before", before).where("before IS NULL OR before <> status").select("user_id", "event_id", "before", "status")
 
 
 @C.query("SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 0)")

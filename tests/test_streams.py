@@ -84,3 +84,13 @@ def test_sessions_of_files_in_no_order(spark, shuffled):
             want[-1][2] += 1
             last = ts
     assert collected(streams.stream_sessions(spark, shuffled[0])) == sorted(map(tuple, want))
+
+
+def test_status_changes_of_files_in_no_order(spark, shuffled):
+    names, now, want = {"view": "new", "click": "downloaded", "error": "rejected"}, {}, []
+    for event_id, _, user, kind, _ in shuffled[1]:
+        if now.get(user) != names[kind]:
+            want.append((user, event_id, now.get(user), names[kind]))
+        now[user] = names[kind]
+    out = streams.stream_status_changes(spark, shuffled[0]).collect()
+    assert sorted(map(tuple, out), key=lambda x: x[1]) == sorted(want, key=lambda x: x[1])
