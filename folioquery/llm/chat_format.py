@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints [native].
 
-A record (VARIANT, or JSON text) is described by its nested field paths, for example `messages[].role`. The paths that
-some mapping knows are sorted and hashed; the hash selects a declarative mapping, and the mapping says where
-turns, roles and texts lie. All layouts end as `turns array<struct<role,text>>`, then as one string:
+A record (VARIANT, or JSON text) is described by its nested field paths at any depth, for example `messages[].role`. Those of its paths that
+a mapping names are sorted and hashed; a record whose fingerprint is the mapping's own has all its fields, and the first such declarative
+mapping, in the order of MAPPINGS, says where turns, roles and texts lie. All layouts end as `turns array<struct<role,text>>`, then as one string:
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n   (once for each turn)
 
@@ -15,8 +15,9 @@ Scale: one hash aggregation by conversation for row-shaped input, nothing to shu
 is one string by definition, so its rows meet in one task; no other rows do.
 
 Defined results: null roles and texts are empty; rows of a conversation are ordered by turn (null first), then role, then
-text, and repeated rows stay; a record that is null, is no JSON, or has paths of no mapping gets layout null and no turns;
-an empty table gives an empty table. Fields and columns that no mapping knows are ignored.
+text, and repeated rows stay; a record that is null, is no JSON, or lacks some path of every mapping gets layout null and no turns; a text that is
+itself a list or object is its JSON, but of a list of parts with texts (`messages_parts`) it is those texts, one to a line; an empty table
+gives an empty table. Fields and columns that no mapping knows, nested ones too, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 #: layout: the list and its fields, or the fields of each turn of a flat record; roles: other names for canonical roles.
 MAPPINGS: dict[str, dict] = {
     "rows": {"list": "turns", "fields": ["turn", "role", "text"], "role": "role", "text": "text", "sort": True},
+    "messages_parts": {"list": "messages", "fields": ["role"], "role": "role", "text": "content", "parts": "text"},
     "messages": {"list": "messages", "fields": ["role", "content"], "role": "role", "text": "content"},
     "from_value": {"list": "conversations", "fields": ["from", "value"], "role": "from", "text": "value", "roles": ROLES},
     "instruction_input": {"flat": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
@@ -49,35 +51,49 @@ MAPPINGS: dict[str, dict] = {
 
 def paths_of(mapping: dict) -> list[str]:
     if "list" in mapping:
-        return sorted(f"{mapping['list']}[].{f}" for f in mapping["fields"])
+        parts = [f"{mapping['list']}[].{mapping['text']}[].{mapping['parts']}"] if "parts" in mapping else []
+        return sorted([f"{mapping['list']}[].{f}" for f in mapping["fields"]] + parts)
     return sorted(f for _, fields in mapping["flat"] for f in fields)
 
 
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a VARIANT, down to the fields of objects in lists, in order."""
-    schema = F.schema_of_variant(record)
-    nested = r"(\w+): ARRAY<OBJECT<([^<>]*)>>"
-    inner = F.transform(
-        F.regexp_extract_all(schema, F.lit(nested), F.lit(0)),
-        lambda x: F.transform(F.regexp_extract_all(F.regexp_extract(x, nested, 2), F.lit(r"(\w+): "), F.lit(1)), lambda f: F.concat(F.regexp_extract(x, nested, 1), F.lit("[]."), f)),
-    )
-    flat = F.regexp_extract_all(F.regexp_replace(schema, nested, ""), F.lit(r"(\w+): "), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(inner), flat)))
+    """The nested field paths of a VARIANT, in order: its schema is read token by token, with a stack of the prefixes that are open."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(?:`(?:[^`]|``)*`|[^<>,:` ]+): |OBJECT<|ARRAY<|>"), F.lit(0))
+    kind = "struct<open:array<string>,at:string,paths:array<string>>"
 
+    def state(opened: Column, at: Column, paths: Column) -> Column:
+        return F.struct(opened.alias("open"), at.alias("at"), paths.alias("paths")).cast(kind)
 
-def fingerprint(record: Column) -> Column:
-    known = sorted({p for m in MAPPINGS.values() for p in paths_of(m)})
-    kept = F.filter(field_paths(record), lambda p: p.isin(known))
-    return F.xxhash64(F.array_join(kept, ","))
+    def step(s: Column, token: Column) -> Column:
+        name = F.regexp_replace(F.substring(token, F.lit(1), F.length(token) - 2), "^`|`$", "")
+        here = F.concat(F.coalesce(F.try_element_at(s["open"], F.lit(-1)), F.lit("")), F.replace(name, F.lit("``"), F.lit("`")))
+        prefix = F.when(s["at"] == "", "").otherwise(F.concat(s["at"], F.lit(".")))
+        last = F.coalesce(F.try_element_at(s["open"], F.lit(-1)), F.lit(""))
+        return (
+            F.when(token == ">", state(F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1), s["at"], s["paths"]))
+            .when(token == "OBJECT<", state(F.concat(s["open"], F.array(prefix)), s["at"], s["paths"]))
+            .when(token == "ARRAY<", state(F.concat(s["open"], F.array(last)), F.concat(s["at"], F.lit("[]")), s["paths"]))
+            .otherwise(state(s["open"], here, F.concat(s["paths"], F.array(here))))
+        )
+
+    return F.array_sort(F.array_distinct(F.aggregate(tokens, state(F.array(), F.lit(""), F.array()), step, lambda s: s["paths"])))
+
+
+def fingerprint(paths: Column, mapping: dict) -> Column:
+    """The hash of those of a record's paths that the mapping names."""
+    return F.xxhash64(F.array_join(F.filter(paths, lambda p: p.isin(paths_of(mapping))), ","))
 
 
 def _turns(record: Column, mapping: dict) -> Column:
     if "list" in mapping:
         kind = ", ".join(f"`{f}`: " + ("bigint" if f == "turn" else "string") for f in mapping["fields"])
+        if "parts" in mapping:
+            kind += f", `{mapping['text']}`: array<struct<`{mapping['parts']}`: string>>"
         rows = F.try_variant_get(record, f"$.{mapping['list']}", f"array<struct<{kind}>>")
         if mapping.get("sort"):
             rows = F.sort_array(rows)
-        return F.transform(rows, lambda x: _turn(x[mapping["role"]], x[mapping["text"]], mapping.get("roles", {})))
+        text = lambda x: F.array_join(F.transform(x[mapping["text"]], lambda p: p[mapping["parts"]]), "\n") if "parts" in mapping else x[mapping["text"]]
+        return F.transform(rows, lambda x: _turn(x[mapping["role"]], text(x), mapping.get("roles", {})))
     turns = []
     for role, fields in mapping["flat"]:
         texts = [F.coalesce(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")) for f in fields]
@@ -93,12 +109,11 @@ def _turn(role: Column, text: Column, roles: dict[str, str] | None = None) -> Co
     return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def canonical(record: Column) -> tuple[Column, Column]:
-    """(layout, turns) of a VARIANT column."""
-    mark = fingerprint(record)
+def canonical(record: Column, paths: Column) -> tuple[Column, Column]:
+    """(layout, turns) of a VARIANT column with these field paths."""
     layout, turns = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.array(_turn(F.lit(""), F.lit(""))))
     for name, mapping in MAPPINGS.items():
-        is_it = mark == F.xxhash64(F.lit(",".join(paths_of(mapping))))
+        is_it = fingerprint(paths, mapping) == F.xxhash64(F.lit(",".join(paths_of(mapping))))
         layout, turns = layout.when(is_it, name), turns.when(is_it, _turns(record, mapping))
     return layout, turns
 
@@ -148,13 +163,40 @@ def read_back(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def under_mask(text: Column, runs: Column, block: int = 64) -> Column:
+    """The pieces of text under the runs that count, in order; runs are cut out block by block, so that no piece is sought from the text's start."""
+    numbers = F.when(F.size(runs) > 0, F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(numbers, lambda b: F.slice(runs, b * block + 1, F.lit(block)))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda n, r: n + r["length"])
+    cell = "array<struct<chunk:string,runs:array<struct<length:bigint,counts:boolean>>>>"
+
+    def cut(s: Column, part: Column) -> Column:
+        n = total(part)
+        chunk = F.struct(F.substring(text, (s["at"] + 1).cast("int"), n.cast("int")).alias("chunk"), part.alias("runs"))
+        return F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(chunk).cast(cell)).alias("out"))
+
+    chunks = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(cell).alias("out")), cut, lambda s: s["out"])
+
+    def pieces(x: Column) -> Column:
+        none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(s: Column, r: Column) -> Column:
+            piece = F.array(F.substring(x["chunk"], (s["at"] + 1).cast("int"), r["length"].cast("int")))
+            return F.struct((s["at"] + r["length"]).alias("at"), F.when(r["counts"], F.concat(s["out"], piece)).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(x["runs"], none, step, lambda s: s["out"])
+
+    return F.flatten(F.transform(chunks, pieces))
+
+
 def format_records(records: DataFrame, id_column: str, record_column: str) -> DataFrame:
     """id, layout, turns, formatted and loss_runs of each record (VARIANT, or JSON text)."""
     record = F.col(record_column)
     if records.schema[record_column].dataType.typeName() == "string":
         record = F.try_parse_json(record)
-    layout, turns = canonical(F.col("_record"))
+    layout, turns = canonical(F.col("_record"), F.col("_paths"))
     out = records.select(F.col(id_column).alias("_id"), record.alias("_record"))
+    out = out.select("_id", "_record", F.coalesce(field_paths(F.col("_record")), F.array().cast("array<string>")).alias("_paths"))
     out = out.select("_id", layout.alias("layout"), F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
     return out.select(F.col("_id").alias(id_column), "layout", "turns", render(F.col("turns")).alias("formatted"), loss_runs(F.col("turns")).alias("loss_runs"))
 
@@ -169,8 +211,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    out = format_records(records_of_rows(rows), "conv_id", "record").select("conv_id", "formatted", read_back(F.col("formatted")).alias("back"))
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    out = format_records(records_of_rows(rows), "conv_id", "record")
+    out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("back"), under_mask(F.col("formatted"), F.col("loss_runs")).alias("learned"))
+    loss = F.array_join(F.transform("learned", unescaped), "")
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

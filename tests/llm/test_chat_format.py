@@ -13,6 +13,7 @@ CASES = {
     "system_prompt": ({"system": "s", "prompt": "p", "response": "r"}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
     "prompt_completion": ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
     "question_answer": ({"question": "q", "answer": "a"}, [("user", "q"), ("assistant", "a")]),
+    "messages_parts": ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}, [("user", "a\nb")]),
     None: ({"unknown": 1}, []),
 }
 
@@ -60,3 +61,41 @@ def test_query_reads_its_output_back(spark):
     assert out[-7]["n_turns"] == 2 and out[-7]["loss_chars"] == len(said)
     assert out[-7]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert out[-7]["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_nested_and_unknown_fields_are_ignored(spark):
+    turns = [("user", "q"), ("assistant", "r")]
+    said = [{"role": "user", "content": "q", "meta": {"a": 1, "b": [{"role": "x"}]}}, {"role": "assistant", "content": "r", "tool_calls": [{"function": {"name": "f", "arguments": [[1]]}}]}]
+    records = [
+        {"messages": said}, {"messages": said, "odd name": {"`": {}}, "e": [], "n": None}, {"deep": {"messages": [{"role": "user"}]}, "messages": said},
+        {"prompt": "q", "response": "r", "question": "other"}, {"prompt": "q", "response": "r", "more": [{"prompt": 1.5}]},
+    ]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id int, record string")
+    out = C.format_records(frame, "id", "record").orderBy("id").collect()
+    assert [r["layout"] for r in out] == ["messages"] * 3 + ["prompt_response"] * 2
+    assert all([tuple(t) for t in r["turns"]] == turns for r in out)
+    nested = spark.createDataFrame([('{"deep": {"messages": [{"role": "u", "content": "x"}]}}',)], "record string").select(C.field_paths(F.parse_json("record")).alias("p"))
+    assert nested.first()["p"] == ["deep", "deep.messages", "deep.messages[].content", "deep.messages[].role"]
+
+
+def test_loss_is_read_under_the_mask(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"</s> {c} {t} " + "\U0001f600" * (t % 5)) for c, n in ((1, 300), (2, 1), (3, 2), (4, 43)) for t in range(n)]
+    made = C.format_records(C.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")), "conv_id", "record")
+    flipped = F.transform("loss_runs", lambda r: F.struct(r["length"].alias("length"), (~r["counts"]).alias("counts")))
+    first = F.transform("loss_runs", lambda r, i: F.struct(r["length"].alias("length"), (i == 1).alias("counts")))
+    for runs, pick in ((F.col("loss_runs"), None), (flipped, "rest"), (first, "first")):
+        for r in made.select("conv_id", "formatted", runs.alias("runs"), C.under_mask(F.col("formatted"), runs).alias("got")).collect():
+            at, want = 0, []
+            for run in r["runs"]:
+                want += [r["formatted"][at : at + run["length"]]] * run["counts"]
+                at += run["length"]
+            assert r["got"] == want and (pick != "first" or len(want) == 1)
+
+
+def test_very_long_text_and_conversation(spark):
+    texts = {0: "[INST] word </s> " * 150_000, 1: "x" * 2_000_000, **{t: f"t{t}" for t in range(2, 3000)}}
+    rows = [(9, t, "assistant" if t % 2 else "user", x) for t, x in texts.items()]
+    out = C.format_records(C.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")), "conv_id", "record")
+    got = out.select(C.read_back(F.col("formatted")).alias("back"), F.transform(C.under_mask(F.col("formatted"), F.col("loss_runs")), C.unescaped).alias("loss")).first()
+    assert [t["text"] for t in got["back"]] == [texts[t] for t in range(3000)]
+    assert got["loss"] == [texts[t] for t in range(1, 3000, 2)]
