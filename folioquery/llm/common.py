@@ -30,9 +30,11 @@ _STEP = 0xD6E8FEB86659FD93
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a new local one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors share; a new local one where it is unset on a local master, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
@@ -51,6 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(base_path(sf_dir, name))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser; each seed gives another function."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & (2**64 - 1))
