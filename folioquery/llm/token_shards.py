@@ -1,21 +1,23 @@
 """Token ids in wavelet-matrix shards.
 
-Documents are dealt by ranges of doc_id over shards of about SHARD_BYTES of text. A shard's ids, in ascending doc_id
-order with an end id after each document, become one file: bit-planes from the highest bit down, each a stable partition of
-the one above, with a count of ones before each block of 512 bits. From that file alone `WaveletMatrix` gives the id at a
-place, counts an id in a range, finds its occurrences, and restores all ids.
-
-File format, little-endian: b"WMTX", version, planes, documents, ids (4 x u32, u64 for ids), then for each plane
-the number of zero bits (u64); doc_id of each document (i64), a byte each that is 1 if doc_id is null, the end of each document
-(u64); for each plane the counts of ones (u32 per block) and the bits (8 to a byte, lowest first, padded to whole blocks).
-Spark has no writer of raw files, so a file travels as one row (shard, first ids, bytes) of a Parquet table in the shared
-folder; `read_shards` reads that table.
-
-Scale: texts are not shuffled; ids are, once, at two bytes each, by the shard that a list of doc_id quantiles names (one number per shard).
-A shard is a bounded piece of work. The place of a shard's first id comes from the sizes of the shards before it.
+Documents are put in ascending doc_id order by a range partitioning; each task encodes its range and cuts it into shards of about
+SHARD_IDS ids, an end id after each document. A shard becomes one file: its distinct ids, the most frequent first, then
+bit-planes of the places in that list, from the highest bit down, each a stable partition of the one above, with a count of ones
+before each block of 512 bits. Frequent ids have small places, so the high planes are nearly all zeros and compress well. From that file
+alone `WaveletMatrix` gives the id at a place (rank), counts an id in a range (rank), finds its occurrences (select), and restores all ids.
+
+File format, little-endian: b"WMTX", version, planes, documents, distinct ids (u32 each), ids (u64); the distinct ids (u32); for each plane
+the number of zero bits (u64) and the size of its compressed bits (u32); doc_id of each document (i64), a byte each that is 1 if doc_id
+is null, the end of each document (u64); for each plane the counts of ones (u32 per block), then its bits (8 to a byte, lowest first, padded
+to whole blocks) as one zstd frame. Spark has no writer of raw files, so a file travels as one row (part, before, n_ids, file)
+of a Parquet table in the shared folder; `read_shards` reads that table.
+
+Scale: texts are shuffled once, to ranges of (doc_id, hash of the text, row), so neither null nor repeated doc_id gather in one task. A task
+holds one shard and a slice of text. The place of a shard's first id is the sum of its part's earlier ids, kept with the file, and of all
+parts before it; of these sums there is one for each task.
 
 Defined results: a null text is empty and gives the end id alone; null doc_id come first, repeated doc_id in the order of
-their ids, each a document of its own; an empty table gives no shards; only doc_id and text are read. A special token that a text
+their texts' hashes, each a document of its own; an empty table gives no shards; only doc_id and text are read. A special token that a text
 spells out, <|endoftext|>, is its one id, as the library has it by default and op8_token_shards gives it; with plain_specials it is text like any other.
 """
 
@@ -31,21 +33,24 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buffers, by_key, run_hashes, shared_folder, slices, table
+from .common import buffers, run_hashes, shared_folder, slices, table
 
 MODEL = "byte_bpe_50k.json"
-#: Bytes of text that make a shard, on average.
-SHARD_BYTES = 2 << 20
-#: Slots in which a worker remembers the ids of words; a new word takes the place of the one in its slot.
+#: Ids after which a shard ends, at a document's end.
+SHARD_IDS = 1 << 19
+#: Bytes of text in a task's range: up to PART_BYTES where there are many, fewer to keep all cores busy.
+PART_BYTES, LEAST_PART_BYTES = 256 << 20, 8 << 20
+#: Slots in which a worker remembers the ids of words; a word has two, and one that finds both taken takes the second.
 SLOTS = 1 << 21
 BLOCK = 512
-#: Shards up to which the list of their first places is broadcast.
+#: Parts up to which the list of their first places is broadcast.
 BASES = 1_000_000
-_HEAD = struct.Struct("<4sIIIQ")
+_HEAD = struct.Struct("<4sIIIIQ")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -55,29 +60,44 @@ def model_path(name: str = MODEL) -> str:
 
 
 class WaveletMatrix:
-    def __init__(self, bits: list[np.ndarray], zeros: list[int], n: int, ranks: list[np.ndarray]):
-        self.bits, self.zeros, self.n, self.ranks = bits, zeros, n, ranks
+    """Bit-planes of the places that ids have in alphabet; packed planes are unpacked when first used."""
+
+    def __init__(self, alphabet: np.ndarray, packed: list[bytes], zeros: list[int], n: int, ranks: list[np.ndarray]):
+        self.alphabet, self.packed, self.zeros, self.n, self.ranks = alphabet, packed, zeros, n, ranks
+        self._open: dict[int, np.ndarray] = {}
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        planes = max(1, int(ids.max(initial=0)).bit_length())
-        bits, zeros, ranks = [], [], []
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        used = np.flatnonzero(counts)
+        alphabet = used[np.argsort(-counts[used], kind="stable")].astype(np.uint32)
+        place = np.zeros(len(counts), ids.dtype)
+        place[alphabet] = np.arange(len(alphabet))
+        codes, planes = place[ids], max(1, int(len(alphabet) - 1).bit_length())
+        packed, zeros, ranks = [], [], []
         for p in range(planes - 1, -1, -1):
-            one = (ids & ids.dtype.type(1 << p)) != 0
-            packed = np.packbits(one, bitorder="little")
-            packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
-            ones = np.bitwise_count(packed.reshape(-1, BLOCK // 8)).sum(1, dtype=np.uint32)
-            bits.append(packed)
+            one = (codes & codes.dtype.type(1 << p)) != 0
+            bits = np.packbits(one, bitorder="little")
+            bits = np.concatenate([bits, np.zeros(-len(bits) % (BLOCK // 8), np.uint8)])
+            ones = np.bitwise_count(bits.reshape(-1, BLOCK // 8)).sum(1, dtype=np.uint32)
+            packed.append(pa.compress(bits, "zstd", asbytes=True))
             ranks.append((np.cumsum(ones, dtype=np.uint32) - ones).astype(np.uint32))
-            zeros.append(int(len(ids) - one.sum()))
-            ids = np.concatenate([ids[np.flatnonzero(~one)], ids[np.flatnonzero(one)]])  # much faster than by masks
-        return cls(bits, zeros, len(ids), ranks)
+            high = np.flatnonzero(one)
+            zeros.append(len(codes) - len(high))
+            if p:
+                codes = np.concatenate([codes[np.flatnonzero(~one)], codes[high]])  # much faster than by masks
+        return cls(alphabet, packed, zeros, len(ids), ranks)
+
+    def bits(self, p: int) -> np.ndarray:
+        if p not in self._open:
+            self._open[p] = np.frombuffer(pa.decompress(self.packed[p], len(self.ranks[p]) * BLOCK // 8, "zstd"), np.uint8)
+        return self._open[p]
 
     def _bit(self, p: int, at: np.ndarray) -> np.ndarray:
-        return self.bits[p][at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return self.bits(p)[at >> 3] >> (at & 7).astype(np.uint8) & 1
 
     def _ones(self, p: int, at: np.ndarray) -> np.ndarray:
-        """Ones of plane p before each place."""
+        """Ones of plane p before each place (rank)."""
         at = np.asarray(at, np.int64)
         if not self.n:
             return np.zeros(at.shape, np.int64)
@@ -85,67 +105,83 @@ class WaveletMatrix:
         first = block * (BLOCK // 8)
         cells = first[..., None] + np.arange(BLOCK // 8)
         inside = np.clip(at[..., None] - cells * 8, 0, 8)
-        part = np.bitwise_count(self.bits[p][cells] & ((1 << inside) - 1).astype(np.uint8)).sum(-1, dtype=np.int64)
+        part = np.bitwise_count(self.bits(p)[cells] & ((1 << inside) - 1).astype(np.uint8)).sum(-1, dtype=np.int64)
         return self.ranks[p][block].astype(np.int64) + part
 
+    def _select(self, p: int, nth: np.ndarray, one: bool) -> np.ndarray:
+        """Where plane p has its nth (from 0) one or zero: the block by its count, the place inside it by its bits."""
+        before = self.ranks[p].astype(np.int64)
+        if not one:
+            before = np.arange(len(before)) * BLOCK - before
+        block = np.searchsorted(before, nth, side="right") - 1
+        rows = np.unpackbits(self.bits(p).reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little")
+        seen = np.cumsum(rows == one, axis=1, dtype=np.int16)
+        return block * BLOCK + (seen <= (nth - before[block])[:, None]).sum(1)
+
     def access(self, at: np.ndarray) -> np.ndarray:
         at, out = np.asarray(at, np.int64), np.zeros(np.shape(at), np.int64)
-        for p in range(len(self.bits)):
+        for p in range(len(self.packed)):
             one, before = self._bit(p, at), self._ones(p, at)
             out = out << 1 | one
             at = np.where(one == 1, self.zeros[p] + before, at - before)
-        return out
+        return self.alphabet[out].astype(np.int64)
+
+    def _place(self, token: int) -> int | None:
+        found = np.flatnonzero(self.alphabet == token)
+        return int(found[0]) if len(found) else None
 
-    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        """Where the token's occurrences in [lo, hi) lie on the last level."""
-        if token >> len(self.bits):
-            return 0, 0
-        for p in range(len(self.bits)):
+    def _range(self, code: int, lo: int, hi: int) -> tuple[int, int]:
+        """Where the occurrences in [lo, hi) of the id with that code lie on the last level."""
+        for p in range(len(self.packed)):
             before = self._ones(p, np.array([lo, hi]))
-            lo, hi = (self.zeros[p] + before).tolist() if token >> (len(self.bits) - 1 - p) & 1 else (np.array([lo, hi]) - before).tolist()
+            lo, hi = (self.zeros[p] + before).tolist() if code >> (len(self.packed) - 1 - p) & 1 else (np.array([lo, hi]) - before).tolist()
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        code = self._place(token)
+        if code is None:
+            return 0
+        a, b = self._range(code, lo, self.n if hi is None else hi)
         return b - a
 
-    def locate(self, token: int) -> np.ndarray:
-        """Places of all occurrences, by select from the last level up."""
-        a, b = self._range(token, 0, self.n)
-        at = np.arange(a, b)
-        for p in range(len(self.bits) - 1, -1, -1):
-            plane = np.unpackbits(self.bits[p], bitorder="little")[: self.n].astype(bool)
-            if token >> (len(self.bits) - 1 - p) & 1:
-                at = np.flatnonzero(plane)[at - self.zeros[p]]
-            else:
-                at = np.flatnonzero(~plane)[at]
-        return np.sort(at)
+    def locate(self, token: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Places of the occurrences in [lo, hi), by select from the last level up."""
+        code, found = self._place(token), []
+        a, b = (0, 0) if code is None else self._range(code, lo, self.n if hi is None else hi)
+        for first in range(a, b, 4096):
+            at = np.arange(first, min(b, first + 4096))
+            for p in range(len(self.packed) - 1, -1, -1):
+                one = bool(code >> (len(self.packed) - 1 - p) & 1)
+                at = self._select(p, at - self.zeros[p] if one else at, one)
+            found.append(at)
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def ids(self) -> np.ndarray:
         """All ids in order: each plane, from the last, puts the values below it back in their places."""
-        kind = np.uint16 if len(self.bits) <= 16 else np.uint32
+        kind = np.uint16 if len(self.packed) <= 16 else np.uint32
         value = np.zeros(self.n, kind)
-        for p in range(len(self.bits) - 1, -1, -1):
-            one = np.unpackbits(self.bits[p], bitorder="little")[: self.n].view(bool)
+        for p in range(len(self.packed) - 1, -1, -1):
+            one = np.unpackbits(self.bits(p), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(value)
             above[np.flatnonzero(~one)] = value[: self.zeros[p]]
-            above[np.flatnonzero(one)] = value[self.zeros[p] :] | kind(1 << (len(self.bits) - 1 - p))
+            above[np.flatnonzero(one)] = value[self.zeros[p] :] | kind(1 << (len(self.packed) - 1 - p))
             value = above
-        return value
+        return self.alphabet[value]
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, ends: np.ndarray) -> bytes:
     m = WaveletMatrix.of(ids)
-    parts = [_HEAD.pack(b"WMTX", 1, len(m.bits), len(doc_ids), m.n), np.asarray(m.zeros, "<u8").tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), ends.astype("<u8").tobytes()]
-    for rank, bits in zip(m.ranks, m.bits, strict=True):
-        parts += [rank.astype("<u4").tobytes(), bits.tobytes()]
+    parts = [_HEAD.pack(b"WMTX", 2, len(m.packed), len(doc_ids), len(m.alphabet), m.n), m.alphabet.astype("<u4").tobytes(), np.asarray(m.zeros, "<u8").tobytes()]
+    parts += [np.array([len(x) for x in m.packed], "<u4").tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), ends.astype("<u8").tobytes()]
+    for rank, bits in zip(m.ranks, m.packed, strict=True):
+        parts += [rank.astype("<u4").tobytes(), bits]
     return b"".join(parts)
 
 
 def unpack(file: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
     """The matrix, and doc_id, null mark and end of each document."""
-    magic, version, planes, docs, n = _HEAD.unpack_from(file)
-    if magic != b"WMTX" or version != 1:
+    magic, version, planes, docs, distinct, n = _HEAD.unpack_from(file)
+    if magic != b"WMTX" or version != 2:
         raise ValueError("not a token shard")
     at = _HEAD.size
 
@@ -155,13 +191,14 @@ def unpack(file: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarr
         at += out.nbytes
         return out
 
-    zeros, doc_ids, nulls, ends = take("<u8", planes), take("<i8", docs), take("u1", docs), take("<u8", docs)
-    blocks = -(-n // BLOCK)
-    ranks, bits = [], []
-    for _ in range(planes):
-        ranks.append(take("<u4", blocks))
-        bits.append(take("u1", blocks * BLOCK // 8))
-    return WaveletMatrix(bits, [int(z) for z in zeros], n, ranks), doc_ids, nulls, ends
+    alphabet, zeros, sizes = take("<u4", distinct), take("<u8", planes), take("<u4", planes)
+    doc_ids, nulls, ends = take("<i8", docs), take("u1", docs), take("<u8", docs)
+    ranks, packed = [], []
+    for size in sizes.tolist():
+        ranks.append(take("<u4", -(-n // BLOCK)))
+        packed.append(file[at : at + size])
+        at += size
+    return WaveletMatrix(alphabet, packed, [int(z) for z in zeros], n, ranks), doc_ids, nulls, ends
 
 
 class Encoder:
@@ -201,14 +238,17 @@ class Encoder:
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(border), pa.py_buffer(data)])
         name = run_hashes(data, start, end - start)
         slot = (name & np.uint64(SLOTS - 1)).astype(np.int64)
+        lost = np.flatnonzero(self.name[slot] != name)
+        slot[lost] = (name[lost] >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int64)
         first, many = self.first[slot].astype(np.int64), self.many[slot].astype(np.int64)
-        new = np.flatnonzero(self.name[slot] != name)
+        new = lost[self.name[slot[lost]] != name[lost]]
         if len(new):
             distinct, some, which = np.unique(name[new], return_index=True, return_inverse=True)
             some = new[some]
             f, m = self._learn(words.take(pa.array(some)), (end - start)[some], (data[start[some]] == 32) & plain[end[some] - 1])
             first[new], many[new] = f[which], m[which]
-            slot = slot[some]
+            home = (distinct & np.uint64(SLOTS - 1)).astype(np.int64)
+            slot = np.where(self.name[home] == 0, home, slot[some])
             self.name[slot], self.first[slot], self.many[slot] = distinct, f, m
         out = self.flat[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
         total = np.concatenate([[0], np.cumsum(many)])
@@ -245,63 +285,59 @@ def _encoder(model: str, plain_specials: bool = True) -> Encoder:
     return Encoder(model, plain_specials)
 
 
-def encode(docs: DataFrame, bounds: list[int], path: str | None = None, end_id: int = 0, plain_specials: bool = True) -> DataFrame:
-    """(shard, is_null, doc_id, ids) of docs(doc_id, text); ids are little-endian bytes, end_id last."""
+def _ranges(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ascending order of doc_id over partitions and inside them; ties by hash of the text, then by row."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-size // PART_BYTES), min(-(-size // LEAST_PART_BYTES), 4 * cores))
+    order = ["doc_id", "tie", "row"]
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
+def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_ids: int = SHARD_IDS, plain_specials: bool = True, end_id: int = 0) -> None:
+    """Encode docs(doc_id, text) and write their shards to folder as rows (part, before, n_ids, file); before counts the part's earlier ids."""
     model = Path(path or model_path()).read_text()
-    limits = np.asarray(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model, plain_specials)
-        kind = "<u2" if len(encoder.width) <= 1 << 16 else "<u4"
+        encoder, part, before = _encoder(model, plain_specials), TaskContext.get().partitionId(), 0
+        kind = np.uint16 if len(encoder.width) <= 1 << 16 else np.uint32
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def shard() -> pa.RecordBatch:
+            nonlocal before
+            ids, doc_ids, nulls, long = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            made = [pa.array([part]), pa.array([before]), pa.array([len(ids)]), pa.array([pack(ids, doc_ids, nulls, np.cumsum(long))], pa.binary())]
+            before += len(ids)
+            return pa.RecordBatch.from_arrays(made, ["part", "before", "n_ids", "file"])
+
         for batch in slices(batches):
             ids, ends = encoder(batch.column("text"))
-            ids = np.insert(ids, ends, end_id).astype(kind)
-            ends = (ends + np.arange(1, len(ends) + 1)) * ids.itemsize
-            null = np.asarray(batch.column("doc_id").is_null())
-            key = np.asarray(batch.column("doc_id").fill_null(0), np.int64)
-            shard = np.where(null, 0, np.searchsorted(limits, key))
-            flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(1 - null.astype(np.int32)), pa.array(key), flat.cast(pa.binary())], ["shard", "has_id", "doc_id", "ids"])
-
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return source.mapInArrow(run, "shard int, has_id int, doc_id bigint, ids binary")
-
-
-def write_shards(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: int = SHARD_BYTES, plain_specials: bool = True) -> None:
-    """Encode docs(doc_id, text) and write their shards to folder."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_bytes))
-    share = [i / shards for i in range(1, shards)]
-    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), share, 10 * shards)).first()[0] if share else []
-    wide = 4 if "<u4" == _id_kind(path) else 2
-
-    def build(rows: pa.Table) -> pa.RecordBatch:
-        raw = [x.as_py() for x in rows["ids"].combine_chunks()] if rows.num_rows else []
-        ids = np.frombuffer(b"".join(raw), f"<u{wide}")
-        ends = np.cumsum([len(x) // wide for x in raw])
-        nulls = 1 - np.asarray(rows["has_id"], np.int64)
-        file = pack(ids, np.asarray(rows["doc_id"], np.int64), nulls, ends)
-        return pa.RecordBatch.from_arrays([rows["shard"].combine_chunks()[:1], pa.array([len(ids)], pa.int64()), pa.array([file], pa.binary())], ["shard", "n_ids", "file"])
-
-    made = by_key(encode(docs, sorted(bounds or []), path, plain_specials=plain_specials), ["shard"], build, "shard int, n_ids bigint, file binary", order=["has_id", "doc_id", "ids"])
-    made.write.parquet(folder)
-
+            ids = np.insert(ids, ends, end_id).astype(kind, copy=False)
+            ends = ends + np.arange(1, len(ends) + 1)
+            held.append((ids, np.asarray(batch.column("doc_id").fill_null(0), np.int64), np.asarray(batch.column("doc_id").is_null()), np.diff(ends, prepend=0)))
+            if sum(len(x[0]) for x in held) >= shard_ids:
+                yield shard()
+        if held:
+            yield shard()
 
-def _id_kind(path: str | None) -> str:
-    return "<u2" if len(_encoder(Path(path or model_path()).read_text()).width) <= 1 << 16 else "<u4"
+    _ranges(docs).mapInArrow(run, "part bigint, before bigint, n_ids bigint, file binary").write.option("compression", "none").parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard, n_ids, base, file): base is the number of ids in all shards before it.
+    """(part, n_ids, base, file): base is the number of ids in all shards before it.
 
-    The list of bases has 16 bytes a shard; up to BASES of them it is broadcast, beyond that joined by a shuffle.
+    The ids of each part are summed where they lie; the list of these sums, 16 bytes for each task that wrote, is put in order by one window. Up
+    to BASES of them it is broadcast, beyond that joined by a shuffle.
     """
     files = spark.read.parquet(folder)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    if files.select("shard").count() <= BASES:
+    sums = files.groupBy("part").agg(F.sum("n_ids").alias("all_ids"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("all_ids").over(earlier), F.lit(0)).alias("first"))
+    if sums.count() <= BASES:
         bases = F.broadcast(bases)
-    return files.join(bases, "shard").select("shard", "n_ids", "base", "file")
+    return files.join(bases, "part").select("part", "n_ids", (F.col("first") + F.col("before")).alias("base"), "file")
 
 
 _OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_crc32": "bigint"}
@@ -314,7 +350,7 @@ def documents_of(shards: DataFrame, outputs: tuple[str, ...] = ("ids",)) -> Data
         for batch in batches:
             for base, file in zip(batch.column("base").to_pylist(), batch.column("file"), strict=True):
                 m, doc_ids, nulls, ends = unpack(file.as_py())
-                ids = m.ids().astype("<i4")
+                ids = m.ids().view("<i4")
                 at = np.concatenate([[0], ends.astype(np.int64)])
                 made = {
                     "ids": lambda ids=ids, at=at: pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int32())),

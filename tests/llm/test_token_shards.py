@@ -46,13 +46,15 @@ def test_shards_in_order(spark, tmp_path):
     r = random.Random(2)
     rows = [(i, t, "c") for i, t in enumerate(TEXTS)] + [(None, "null id", "c"), (3, "again", "c"), (3, "again", "c"), (-5, "first", "c")]
     r.shuffle(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
     own = lib()
-    encoded = sorted(((d is not None, d or 0, own.encode(t or "", add_special_tokens=False).ids + [0]) for d, t, _ in rows), key=lambda x: (x[0], x[1], np.asarray(x[2], "<u2").tobytes()))
+    turn = {x["text"]: x["h"] for x in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, turn[x[1]]))
+    encoded = [(d is not None, d or 0, own.encode(t or "", add_special_tokens=False).ids + [0]) for d, t, _ in ordered]
     stream = [i for _, _, ids in encoded for i in ids]
     for size in (64, 1 << 20):
         folder = str(tmp_path / f"s{size}")
-        T.write_shards(docs, folder, shard_bytes=size)
+        T.write_shards(docs, folder, shard_ids=size)
         shards = T.read_shards(spark, folder)
         out = sorted(T.documents_of(shards).collect(), key=lambda x: x["start"])
         assert [i for x in out for i in x["ids"]] == stream
@@ -64,6 +66,24 @@ def test_shards_in_order(spark, tmp_path):
     assert T.documents_of(T.read_shards(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_rows_without_id_or_with_one_id_lie_in_many_parts(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 7L END AS doc_id", "CASE WHEN id % 2 = 0 THEN 'same words here' ELSE concat('word ', id) END AS text")
+    T.write_shards(docs, str(tmp_path / "s"), shard_ids=500)
+    shards = T.read_shards(spark, str(tmp_path / "s"))
+    assert shards.agg({"n_ids": "max"}).first()[0] < 20_000
+    assert T.documents_of(shards, ("n_tokens",)).groupBy("doc_id").count().orderBy("doc_id").collect() == [(None, 2666), (7, 1334)]
+    out = T.documents_of(shards, ("n_tokens",)).orderBy("start").collect()
+    assert [x["start"] for x in out] == np.cumsum([0, *(x["n_tokens"] for x in out)])[:-1].tolist()
+
+
+def test_long_text_is_one_shard(spark, tmp_path):
+    text = "many words, and more " * 120_000  # longer than a slice
+    T.write_shards(spark.createDataFrame([(1, "a"), (2, text), (3, "b")], "doc_id long, text string"), str(tmp_path / "s"), shard_ids=100)
+    own = lib()
+    out = T.documents_of(T.read_shards(spark, str(tmp_path / "s"))).orderBy("start").collect()
+    assert [x["ids"] for x in out] == [own.encode(t, add_special_tokens=False).ids + [0] for t in ("a", text, "b")]
+
+
 def test_query_against_library(spark):
     own, at = lib(), 0
     docs = {r["doc_id"]: r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
