@@ -9,8 +9,11 @@ repeats, of WINDOW words or more. A word goes if it lies in a run that a documen
 No pairs are made: anchors, and then runs, are sorted and each is compared with the first of its kind alone. Shuffled are one anchor
 in five words or so with the hash of its segment, the texts once, and the runs of segments that differ. Segments of an anchor are told
 apart by 64 bits of their own, as the anchor's hash is the same for all of them; runs by 96. M unlike segments of an anchor give about
-M * M / 2**65 false matches, under one in a million at M = 5,000,000. A key that a third of all documents share lies in one partition, but a document gives it a few rows of its hundreds, and
-they stream in constant memory.
+M * M / 2**65 false matches, under one in a million at M = 5,000,000.
+
+Hot keys are combined before they are shuffled, in each slice of about a megabyte of text: a segment or run that a smaller doc_id of the same slice
+holds is decided there, and so is an anchor with HOT unlike segments or more, whose runs are compared singly; what is decided travels by its
+document. So one task gets a few rows of a hot key for each slice, not for each document, and they stream in constant memory.
 
 Defined results: a null text has no words; fewer than WINDOW words lose nothing; equal texts lose all their words but for
 the smallest doc_id; rows that share a doc_id do not take words from each other; a null doc_id counts as larger
@@ -32,6 +35,8 @@ from .common import Words, mix, shared_folder, slices, table, words_of
 
 WINDOW = 13
 SEED = 5
+#: Unlike segments of an anchor in one slice from which on they are compared run by run at once.
+HOT = 8
 _LAST = (1 << 63) - 1
 _OUTPUTS = {"kept": "string", "spans": "array<struct<start:int,end:int>>", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}
 
@@ -63,7 +68,11 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, segment, turn, k, at, n): each anchor of each row of docs with its n runs, the first at word at."""
+    """(anchor, segment, turn, k, at, n): each anchor of each row of docs with its n runs, the first at word at.
+
+    Rows decided in their slice have k for their anchor and n negated: those with a segment that a smaller turn has, and, with at inverted (~at),
+    those to be compared run by run, for whose anchor a row with n = 0 stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -74,15 +83,36 @@ def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at = start[first]
             doc = _owner(words, at)
             segment = _range_hashes(words.hash, at, at + n + window - 1)
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value[first].view(np.int64)), pa.array(segment), batch.column("turn").take(rows), batch.column("k").take(rows), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["anchor", "segment", "turn", "k", "at", "n"],
-            )
+            anchor = value[first].view(np.int64)
+            turn, k = (np.asarray(batch.column(c))[doc] for c in ("turn", "k"))
+            at = at - words.first[doc]
+            order = np.lexsort((turn, segment, anchor))
+            new_anchor, new_segment = _changes(anchor[order]), _changes(anchor[order], segment[order])
+            whole = turn[order] > turn[order][new_segment][np.cumsum(new_segment) - 1]
+            group = np.cumsum(new_anchor) - 1
+            check = ~whole & (np.bincount(group, new_segment) >= HOT)[group] if len(order) else whole
+            stands = order[new_anchor & check]
+            whole, check = order[whole], order[check]
+            marks = [anchor[stands], segment[stands], np.full(len(stands), _LAST), k[stands], np.zeros(len(stands)), np.zeros(len(stands))]
+            n[whole] *= -1
+            n[check] *= -1
+            at[check] = ~at[check]
+            anchor[whole], anchor[check] = k[whole], k[check]
+            columns = [np.concatenate(c).astype(t) for *c, t in zip([anchor, segment, turn, k, at, n], marks, [np.int64] * 4 + [np.int32] * 2, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "segment", "turn", "k", "at", "n"])
 
     return docs.select("text", "turn", "k").mapInArrow(run, "anchor bigint, segment bigint, turn bigint, k bigint, at int, n int")
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def _range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of ranges of words: differences of a running polynomial sum, shifted to the range's start."""
     base = 0xD1342543DE82EF95
@@ -96,9 +126,14 @@ def _range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (anchor, segment, turn): whole for those whose segment a smaller turn has; of the others, those whose anchor
-    has several segments, which are to be compared run by run."""
+    has several segments, which are to be compared run by run. Rows decided before come as they are."""
     last, least, several, waiting = None, 0, False, []
     for batch in batches:
+        at, n = (np.asarray(batch.column(c)) for c in ("at", "n"))
+        if (n < 0).any():
+            given = [pa.array(c[n < 0]) for c in (np.asarray(batch.column("k")), np.where(at < 0, ~at, at), -n, at >= 0)]
+            yield pa.RecordBatch.from_arrays(given, ["k", "at", "n", "whole"])
+            batch = batch.filter(pa.array(n >= 0))
         if not batch.num_rows:
             continue
         anchor, segment, turn = (np.asarray(batch.column(c)) for c in ("anchor", "segment", "turn"))
@@ -109,7 +144,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = np.concatenate([[least], turn[new_segment]])
         whole = turn > firsts[group]
         of_anchor = np.cumsum(new_anchor)
-        many = np.bincount(of_anchor, new_segment & ~new_anchor, of_anchor[-1] + 1) > 0
+        stands = np.asarray(batch.column("n")) == 0
+        many = np.bincount(of_anchor, (new_segment & ~new_anchor) | stands, of_anchor[-1] + 1) > 0
         many[0] |= several
         if many[0] or of_anchor[0]:
             if many[0]:
@@ -117,7 +153,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = []
         if many[0] and of_anchor[0]:  # nothing of this batch goes on with it
             many[0] = False
-        check = ~whole & many[of_anchor]
+        check = ~whole & many[of_anchor] & ~stands
+        whole &= ~stands
         if whole.any():
             yield _marked(rows.filter(pa.array(whole)), True)
         if check.any():
@@ -133,7 +170,10 @@ def _marked(rows: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
 
 
 def runs(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(r1, r2, turn, k, at): the runs of window words that places(k, checks) lists, checks being array<struct<at,n>>."""
+    """(r1, r2, turn, k, at): the runs of window words that places(k, checks) lists, checks being array<struct<at,n>>.
+
+    Of runs that a smaller turn of the same slice has, at is inverted and k stands for r1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -143,11 +183,14 @@ def runs(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
             two, _ = words.grams(window, 2)
             where = np.searchsorted(every, at)
             doc = _owner(words, at)
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one[where].view(np.int64)), pa.array(two[where].astype(np.uint32).view(np.int32)), batch.column("turn").take(rows), batch.column("k").take(rows), pa.array((at - words.first[doc]).astype(np.int32))],
-                ["r1", "r2", "turn", "k", "at"],
-            )
+            r1, r2 = one[where].view(np.int64), two[where].astype(np.uint32).view(np.int32)
+            turn, k = (np.asarray(batch.column(c))[doc] for c in ("turn", "k"))
+            at = (at - words.first[doc]).astype(np.int32)
+            order = np.lexsort((turn, r2, r1))
+            new = _changes(r1[order], r2[order])
+            later = order[turn[order] > turn[order][new][np.cumsum(new) - 1]]
+            at[later], r1[later] = ~at[later], k[later]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (r1, r2, turn, k, at)], ["r1", "r2", "turn", "k", "at"])
 
     return docs.join(places, "k").select("text", "turn", "k", "checks").mapInArrow(run, "r1 bigint, r2 int, turn bigint, k bigint, at int")
 
@@ -162,9 +205,13 @@ def _starts(words: Words, listed: pa.ListArray) -> np.ndarray:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (r1, r2, turn) those with a larger turn than the first of their run."""
+    """Of rows sorted by (r1, r2, turn) those with a larger turn than the first of their run, and those decided before."""
     last, least = None, 0
     for batch in batches:
+        at = np.asarray(batch.column("at"))
+        if (at < 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("k"))[at < 0]), pa.array(~at[at < 0])], ["k", "at"])
+            batch = batch.filter(pa.array(at >= 0))
         if not batch.num_rows:
             continue
         one, two, turn = (np.asarray(batch.column(c)) for c in ("r1", "r2", "turn"))

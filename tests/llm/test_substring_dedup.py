@@ -47,6 +47,28 @@ def test_against_brute_force(spark):
     assert S.without_repeats(df.limit(0)).count() == 0
 
 
+def test_hot_lines_and_passages(spark):
+    """One line in unlike contexts, one passage and one text, each in a third of all documents and in every slice."""
+    r = random.Random(4)
+    some = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    line, passage, text = some(19), some(80), some(50)
+    rows = [(i, [f"{some(30)} {line} {some(30)}", f"{some(20)} {passage} {some(20)}", text][i % 3]) for i in range(1500)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = S.without_repeats(docs, outputs=("n_words", "n_removed", "kept")).collect()
+    assert sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in out), key=repr) == expected(rows)
+    tasks = S.segments(S._named(docs)).where("n >= 0").groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert tasks <= 8 * S.HOT  # of 500 documents
+
+
+def test_text_longer_than_a_slice(spark):
+    r = random.Random(5)
+    text = " ".join(f"w{r.randrange(9000)}" for _ in range(250_000))
+    rows = [(1, text), (2, "start " + text[: len(text) // 2]), (3, text[-200:])]
+    out = S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), outputs=("n_words", "n_removed", "kept")).collect()
+    assert sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in out), key=repr) == expected(rows)
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(x["doc_id"], x["text"]) for x in table(spark, sf, "documents").collect()]
@@ -64,7 +86,7 @@ def test_streams_do_not_depend_on_batches():
         anchor, segment, turn, at = (r.integers(0, n, 400) for n in (60, segments, 6, 10_000))
         order = np.lexsort((turn, segment, anchor))
         anchor, segment, turn, at = (x[order] for x in (anchor, segment, turn, at))
-        rows = pa.table({"anchor": anchor, "segment": segment, "turn": turn, "k": turn, "at": at, "n": at % 9})
+        rows = pa.table({"anchor": anchor, "segment": segment, "turn": turn, "k": turn, "at": at, "n": at % 9 + 1})
         least = lambda i: turn[(anchor == anchor[i]) & (segment == segment[i])].min()
         whole = {i for i in range(400) if turn[i] > least(i)}
         check = {i for i in range(400) if i not in whole and len(set(segment[anchor == anchor[i]])) > 1}
@@ -75,6 +97,9 @@ def test_streams_do_not_depend_on_batches():
             assert sorted((x["at"], x["whole"]) for x in got) == want
             later = [x for b in S._later(iter(runs.combine_chunks().to_batches(size))) for x in b.to_pylist()]
             assert sorted(x["at"] for x in later) == sorted(int(at[i]) for i in whole)
+            decided = rows.set_column(5, "n", pa.array(np.where(np.arange(400) % 7 == 0, -3, 0 * at))).set_column(4, "at", pa.array(np.where(np.arange(400) % 14 == 0, ~at, at)))
+            got = [(x["at"], x["n"], x["whole"]) for b in S._compared(iter(decided.combine_chunks().to_batches(size))) for x in b.to_pylist()]
+            assert sorted(got) == sorted((int(at[i]), 3, i % 14 != 0) for i in range(0, 400, 7))
 
 
 def test_contexts_of_an_anchor_with_equal_short_hashes(spark):
