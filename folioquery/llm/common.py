@@ -182,19 +182,33 @@ def _joined(parts: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
 
-def group_plan(rows: DataFrame, keys: list[str], row: Column, limit: int, weight: Column | None = None, most: int = 1 << 22) -> DataFrame:
+#: Largest keys of a join that are broadcast; no other key has more than this fraction of the rows.
+HUBS = 1000
+
+
+def spread_join(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows.join(stats, keys), where stats has one row for each key and size says how many rows have it.
+
+    The rows of the HUBS largest keys stay where they are and meet a broadcast list, so a key that a third of all rows have is no task of its own.
+    """
+    added = [c for c in stats.columns if c not in keys]
+    hub = fresh("_hub", rows)
+    hubs = stats.orderBy(F.desc(size), *keys).limit(HUBS).withColumn(hub, F.lit(True))
+    met = rows.join(F.broadcast(hubs), keys, "left")
+    rest = met.where(F.col(hub).isNull()).select(rows.columns).join(stats, keys)
+    return met.where(hub).select(*rows.columns, *added).unionByName(rest.select(*rows.columns, *added))
+
+
+def group_plan(rows: DataFrame, keys: list[str], row: Column, limit: int) -> DataFrame:
     """rows with columns _own, _i, _j: every two rows of a key meet in some group (keys, _i, _j), of 2 * limit rows or so.
 
-    A key of up to limit rows (and most bytes of weight) is one group. A hotter one is dealt by the hash of row into
-    parts (_own), and each two parts make a group: no rows are dropped, and no task holds the whole key. Keys with one
-    row are left out. Give it light rows, and join the heavy columns afterwards.
+    A key of up to limit rows is one group. A hotter one is dealt by the hash of row into parts (_own), and each two parts make a group: no
+    rows are dropped, and no task holds the whole key. Keys with one row are left out. Give it light rows, and join the heavy columns afterwards.
     """
-    sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight is not None else [])
-    sizes = rows.groupBy(*keys).agg(*sums).where("_n > 1")
-    parts = F.ceil(F.col("_n") / limit) if weight is None else F.greatest(F.ceil(F.col("_n") / limit), F.ceil(F.col("_w") / most))
-    sizes = sizes.select(*keys, parts.cast("int").alias("_parts"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    out = spread_join(rows, sizes.select(*keys, "_n", F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), keys, "_n")
     own = F.pmod(F.xxhash64(F.lit("part"), row), F.col("_parts")).cast("int")
-    out = rows.join(sizes, keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    out = out.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     return out.select(*rows.columns, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
 
@@ -214,18 +228,19 @@ def roots(linked: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges(a long, b long): component is the smallest id that links lead to.
 
-    Alternates large-star and small-star rounds; each moves at most as many rows as there are edges, and a hub costs
-    no more than its edges. Rounds end when nothing changes; lineage is cut by a checkpoint in each.
+    Alternates large-star and small-star rounds; each moves at most as many rows as there are edges. Least neighbours are found with partial
+    sums before the shuffle and given back by spread_join, so a hub is no task of its own. Rounds end when nothing changes; lineage is cut by a
+    checkpoint in each.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        now = checkpointed(large.join(down, "u").select(moved.alias("u"), F.col("m").alias("v")).distinct())
+        now = checkpointed(spread_join(large, down, ["u"], "n").select(moved.alias("u"), F.col("m").alias("v")).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

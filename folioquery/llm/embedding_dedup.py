@@ -2,17 +2,20 @@
 
 Codes: unit vectors are centred and turned to their principal axes, and a rotation is learned, by alternating signs and the best
 orthogonal fit, that brings them close to the corners of a cube; the signs are balanced bits. TRAIN vectors, those of least
-hash, teach it. Bits form TABLES of code blocks; two vectors meet where some block is equal. Block width follows the
-number of vectors, so that a block value holds some BUCKET of them, and the number of blocks follows from the width: a pair just
-at the threshold meets in some table but for a chance of MISS (bits of such a pair differ with chance angle / pi).
-Whatever meets is reranked by the cosine of the original vectors in double precision, so no link is below the threshold.
+hash, teach it. Bits form TABLES of code blocks; two vectors meet where some block is equal, by their codes alone, and of those that meet only
+pairs within `radius` bits of each other over the whole code go on. Block width follows the number of vectors, so that a block value
+holds some BUCKET of them, and the number of blocks follows from the width: a pair just at the threshold meets in some table but for a chance
+of MISS (bits of such a pair differ with chance angle / pi), and lies within the radius but for a few in ten thousand.
+Vectors with such a partner are fetched, once for each table that has one, and reranked by the cosine of the original vectors in double
+precision, so no link is below the threshold.
 
 Equal vectors are one class with a weight. A pair that meets in several tables counts in the first alone. What leaves a task is a row for each
-vector (its links there, and the least class they lead to), never the pairs. A hot block value is dealt into parts, each
-two parts to a task (see group_plan).
+vector (whether it has a partner; then its links there, and the least class they lead to), never the pairs. A hot block value is dealt into parts,
+each two parts to a task (see group_plan).
 
-Scale: a vector is shuffled once for each table, about ten times; comparisons are some BUCKET for each vector and table. Links
-inside a cluster of n unlike vectors need its n * n / 2 comparisons, as each is to be counted.
+Scale: codes of some ten bytes are shuffled once for each table; the number of tables grows as n**0.22 at 0.9 (11 for 50,000 vectors, 200 for
+10**10). Comparisons of codes are some BUCKET for each vector and table. Links inside a cluster of n unlike vectors need its n * n / 2
+comparisons, as each is to be counted.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components has no links and is its own component;
 vectors of unlike length are never linked; rows with null or repeated vec_id keep a row each, and n_links counts the other
@@ -23,7 +26,7 @@ vec_id and embedding are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,15 @@ PART = 512
 ROUNDS = 30
 
 
+def radius(bits: int, threshold: float) -> int:
+    """Bits in which a pair at the threshold differs but for a chance of a few in ten thousand."""
+    apart = acos(max(-1.0, min(1.0, threshold))) / pi
+    return min(bits, ceil(bits * apart + 3.5 * sqrt(bits * apart * (1 - apart))))
+
+
 def plan_tables(n: int, threshold: float) -> tuple[int, int]:
     """Bits of a block, and number of blocks."""
-    width = min(20, max(4, ceil(log2(max(n, 1) / BUCKET)))) if n > BUCKET else 4
+    width = min(30, max(4, ceil(log2(max(n, 1) / BUCKET)))) if n > BUCKET else 4
     agree = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** width
     return width, max(1, ceil(log(MISS) / log(1 - agree))) if agree < 1 else 1
 
@@ -68,15 +77,15 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.nd
     return mean, np.concatenate(parts, 1)[:, :bits]
 
 
-def _codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
+def _bits(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     mean, projection = model
-    bits = ((x - mean) @ projection >= 0).astype(np.int32).reshape(len(x), -1, width)
-    return bits @ (1 << np.arange(width, dtype=np.int32))
+    return ((x - mean) @ projection >= 0).astype(np.uint8)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vectors(vec_id, embedding) as (vec_id, n_links, component_id, kept)."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if element in ("float", "double") else F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
     size = F.size("v")
     valid = F.coalesce(F.col("v").isNotNull() & (size > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -89,7 +98,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     width, tables = plan_tables(classes.count(), threshold)
     d = sizes[0]["d"]
     sample = classes.where(F.size("v") == d).orderBy(F.xxhash64("k1")).limit(TRAIN).select("v").toArrow()["v"].combine_chunks()
-    model = learn_rotations(unit(np.asarray(sample.flatten()).reshape(-1, d)), width * tables)
+    model = learn_rotations(unit(np.asarray(sample.flatten(), float).reshape(-1, d)), width * tables)
+    reach = radius(width * tables, threshold)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -97,37 +107,55 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             long = np.diff(np.asarray(batch.column("v").offsets))
             for n in np.unique(long).tolist():
                 some = batch.filter(pa.array(long == n))
-                x = unit(np.asarray(some.column("v").flatten()).reshape(-1, n))
+                x = unit(np.asarray(some.column("v").flatten(), float).reshape(-1, n))
                 if n != d and n not in others:  # the few vectors of another length get random rotations
                     r = np.random.default_rng(n)
                     others[n] = np.zeros(n), np.concatenate([np.linalg.qr(r.standard_normal((n, n)))[0] for _ in range(-(-width * tables // n))], 1)[:, : width * tables]
-                codes = _codes(x, model if n == d else others[n], width)
+                bits = _bits(x, model if n == d else others[n])
+                codes = bits.reshape(len(x), -1, width).astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
                 blocks = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(codes.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([some.column("cid"), some.column("weight"), pa.array(np.full(len(x), n, np.int32)), blocks, pa.array([a.tobytes() for a in x], pa.binary())], ["cid", "weight", "d", "codes", "x"])
+                packed = pa.array([a.tobytes() for a in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("cid"), pa.array(np.full(len(x), n, np.int32)), blocks, packed], ["cid", "d", "codes", "bits"])
 
-    coded = checkpointed(classes.select("cid", "weight", "v").mapInArrow(encode, "cid bigint, weight bigint, d int, codes array<int>, x binary"))
-    posts = coded.select("cid", "d", F.posexplode("codes").alias("t", "code"))
-    met = group_plan(posts, ["d", "t", "code"], F.col("cid"), PART).join(coded.drop("d"), "cid")
+    coded = checkpointed(classes.select("cid", "v").mapInArrow(encode, "cid bigint, d int, codes array<int>, bits binary"))
+    keys = ["d", "t", "code", "_i", "_j"]
+    met = group_plan(coded.select("cid", "d", F.posexplode("codes").alias("t", "code")), ["d", "t", "code"], F.col("cid"), PART).join(coded.select("cid", "bits"), "cid")
 
-    def work(group: pa.Table) -> pa.RecordBatch | None:
+    def near(group: pa.Table) -> np.ndarray:
+        """Which two rows of a group lie within the radius and meet in no table before this one."""
         t, side = group["t"][0].as_py(), np.asarray(group["_own"])
-        x = np.frombuffer(b"".join(group["x"].to_pylist())).reshape(group.num_rows, -1)
-        codes = np.asarray(group["codes"].combine_chunks().flatten()).reshape(group.num_rows, -1)
-        cid, weight = np.asarray(group["cid"]), np.asarray(group["weight"])
-        linked = x @ x.T >= threshold
-        np.fill_diagonal(linked, False)
+        bits = np.unpackbits(np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint8).reshape(group.num_rows, -1), axis=1, count=width * tables)
+        sign = bits.astype(np.float32) * 2 - 1
+        close = sign @ sign.T >= width * tables - 2 * reach
+        np.fill_diagonal(close, False)
         if group["_i"][0] != group["_j"][0]:
-            linked &= side[:, None] != side[None]
+            close &= side[:, None] != side[None]
+        a, b = np.nonzero(close) if t else ((), ())
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            same = (bits[x] == bits[y])[:, : t * width].reshape(len(x), t, width).all(2).any(1)
+            close[x[same], y[same]] = False
+        return close
+
+    def partners(group: pa.Table) -> pa.RecordBatch | None:
+        some = pa.array(np.flatnonzero(near(group).any(1)))
+        return group.select([*keys, "_own", "cid"]).take(some).combine_chunks().to_batches()[0] if len(some) else None
+
+    fetched = by_key(met.select(*keys, "_own", "cid", "bits"), keys, partners, "d int, t int, code int, _i int, _j int, _own int, cid bigint")
+    fetched = checkpointed(fetched).join(coded.select("cid", "bits"), "cid").join(classes.select("cid", "weight", "v"), "cid")
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        x = unit(np.asarray(group["v"].combine_chunks().flatten(), float).reshape(group.num_rows, -1))
+        cid, weight = np.asarray(group["cid"]), np.asarray(group["weight"])
+        linked = near(group) & (x @ x.T >= threshold)
         if not linked.any():
             return None
-        a, b = np.nonzero(linked)
-        new = ~(codes[a, :t] == codes[b, :t]).any(1) if t else np.ones(len(a), bool)
-        count = np.bincount(a[new], weight[b[new]], len(cid)).astype(np.int64)
+        count = linked @ weight
         root = cid[roots(linked)]
-        some = np.flatnonzero((count > 0) | (root != cid))
+        some = np.flatnonzero(count > 0)
         return pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(count[some]), pa.array(root[some])], ["cid", "n", "root"])
 
-    found = checkpointed(by_key(met.select("d", "t", "code", "_i", "_j", "_own", "cid", "weight", "codes", "x"), ["d", "t", "code", "_i", "_j"], work, "cid bigint, n bigint, root bigint"))
+    found = checkpointed(by_key(fetched.select(*keys, "_own", "cid", "weight", "bits", "v"), keys, work, "cid bigint, n bigint, root bigint"))
     linked = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("cid"), F.col("component").alias("root"))
     named = classes.select("k1", "k2", "cid", "least", "weight").join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = named.join(found.groupBy("cid").agg(F.sum("n").alias("n")), "cid", "left")

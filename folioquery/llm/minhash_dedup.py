@@ -4,17 +4,18 @@ A text's set holds its distinct shingles of five lower-cased words. Texts with e
 signature of COORDS minima, that is COORDS (coordinate, value) pairs, and is posted under its prefix: the COORDS - floor + 1 of them that
 the fewest classes have. In that common order two classes that agree on at least `floor` coordinates agree within both
 prefixes, so none is lost, and pairs that very many classes have are mostly skipped.
-Within a posting list agreements are counted over whole signatures; pairs at the floor or above are candidates, and lists of one
-class are skipped. `floor` is the largest count that a pair at the threshold reaches but for a chance of MISS.
+Within a posting list the collisions of each two classes are counted coordinate by coordinate, merging the runs of equal values and skipping classes
+that can no longer reach the floor; pairs at the floor or above are candidates. `floor` is the largest count that a pair at the threshold
+reaches but for a chance of MISS.
 
-Candidates are merged to clusters first, so that each class's full set travels once; within a cluster every two sets are
-compared exactly. What leaves a task is a spanning forest of its links, never the pairs: a group of n near copies yields
-fewer than n rows. In a hot posting list all classes are compared with a pivot, and only those that stay apart meet the rest; a
-hot cluster is dealt into parts, each two parts to a task (see group_plan).
+Candidates are merged to clusters, so that each class's full set travels once or twice. A cluster of up to PART classes is compared exactly in one
+task. A larger one is dealt into parts, each of which is compared with itself and with the cluster's pivot; only classes that are then outside the
+cluster's largest verified component meet the rest, part by part. What leaves a task is a spanning forest of its links, never the pairs: a
+group of n near copies yields fewer than n rows. Hot posting lists are treated the same way, by signatures.
 
 Scale: signatures of a hundred bytes and 64-bit postings are shuffled, texts once (to find the full sets of classes with a candidate).
-Exact copies cost a hash each, as they share a class. A cluster of n unlike near copies needs its n * n / 2 comparisons, spread over
-n / PART squared tasks; that is the one part that is not linear.
+Exact copies cost a hash each, as they share a class. n unlike near copies cost n * PART comparisons where they link with each other or
+with the pivot; m classes of such a cluster that stay apart cost m * n more, in m * n / PART**2 tasks. No join has a key of its own task (see spread_join).
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component; fewer than
 five words make one shingle; rows with repeated doc_id are judged by their own texts, and one component_id counts for
@@ -29,10 +30,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_key, checkpointed, components, group_plan, mix, roots, slices, table, words_of
+from .common import Words, by_key, checkpointed, components, fresh, mix, roots, slices, spread_join, table, words_of
 
 SHINGLE = 5
 COORDS = 24
@@ -89,7 +90,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def features(docs: DataFrame, coords: int = COORDS) -> DataFrame:
-    """(doc_id, k, n_shingles, c1, c2, sig): k names the row's doc_id and text, (c1, c2) the set, sig is its signature."""
+    """(doc_id, k, n_shingles, c1, c2, sig): k names the row's doc_id and text by 128 bits, (c1, c2) the set, sig is its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -101,11 +102,16 @@ def features(docs: DataFrame, coords: int = COORDS) -> DataFrame:
                 ["doc_id", "k", "n_shingles", "c1", "c2", "sig"],
             )
 
-    return _named(docs).mapInArrow(run, "doc_id bigint, k bigint, n_shingles bigint, c1 bigint, c2 bigint, sig binary")
+    return _named(docs).mapInArrow(run, "doc_id bigint, k struct<a:bigint,b:bigint>, n_shingles bigint, c1 bigint, c2 bigint, sig binary")
+
+
+def _name() -> Column:
+    row = (F.col("doc_id").cast("bigint"), F.col("text"))
+    return F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit("second"), *row).alias("b"))
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("k"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _name().alias("k"))
 
 
 def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> DataFrame:
@@ -120,22 +126,19 @@ def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> D
     value = lambda j: F.substring(hexed, F.lit(8 * j + 1), F.lit(8))
     every = classes.select("cid", F.explode(F.array(*[F.xxhash64(F.lit(j), value(j)) for j in range(coords)])).alias("post"))
     counts = every.groupBy("post").agg(F.count(F.lit(1)).alias("held"))
-    rarest = every.join(counts, "post").groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("held", "post"))), 1, coords - floor + 1).alias("prefix"))
+    rarest = spread_join(every, counts, ["post"], "held").groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("held", "post"))), 1, coords - floor + 1).alias("prefix"))
     posts = rarest.select("cid", F.explode(F.filter("prefix", lambda x: x["held"] > 1)).alias("it")).select("cid", "it.post")
     lists = posts.groupBy("post").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("n > 1")
-    posts = checkpointed(posts.join(lists, "post"))
+    posts = checkpointed(spread_join(posts, lists, ["post"], "n"))
     sig = classes.select("cid", "sig")
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
         cid = np.asarray(group["cid"])
         rows = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(len(cid), coords)
         if len(cid) <= 32:
-            same = (rows[:, None] == rows[None]).sum(2)
-        else:
-            same = np.zeros((len(cid), len(cid)), np.uint8)
-            for c in range(coords):
-                same += rows[:, None, c] == rows[None, :, c]
-        return forest(cid, same >= floor)
+            return forest(cid, (rows[:, None] == rows[None]).sum(2) >= floor)
+        at, same = collisions(rows, floor)
+        return forest(cid[at], same >= floor)
 
     def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +154,8 @@ def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> D
     label = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("label"))
     long = long.select("post", "cid", "n").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     largest = long.groupBy("post", "label").count().groupBy("post").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    largest = largest.where("most < n").select("post", "largest", F.ceil(F.col("n") / LIST).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / LIST).cast("int").alias("outer"))
-    rest = long.select("post", "cid", "label").join(largest, "post")
+    largest = largest.where("most < n").select("post", "largest", "n", F.ceil(F.col("n") / LIST).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / LIST).cast("int").alias("outer"))
+    rest = spread_join(long.select("post", "cid", "label"), largest, ["post"], "n")
     part = F.xxhash64(F.lit("part"), "cid")
     inner = rest.select("post", "cid", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("_i"), F.pmod(part, F.col("parts")).cast("int").alias("_j"))
     outer = rest.where("label <> largest").select("post", "cid", F.pmod(part, F.col("outer")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_j"))
@@ -160,6 +163,24 @@ def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> D
     return edges.unionByName(by_key(met, ["post", "_i", "_j"], work, kind))
 
 
+def collisions(rows: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that may have floor equal coordinates with another one, and how many each two of them have."""
+    at, coords = np.arange(len(rows)), rows.shape[1]
+    same = np.zeros((len(rows), len(rows)), np.uint8)
+    for c in range(coords):
+        value, run, size = np.unique(rows[at, c], return_inverse=True, return_counts=True)
+        if len(value) < len(at):
+            some = np.flatnonzero(size[run] > 1)  # a value that one class has collides with none
+            cells = (slice(None), slice(None)) if len(some) == len(at) else np.ix_(some, some)
+            same[cells] += run[some, None] == run[None, some]
+        if c % 6 == 5 and c + 1 < coords:
+            best = same - np.diag(np.diagonal(same))
+            near = best.max(1, initial=0) + coords - c - 1 >= floor
+            if not near.all():
+                at, same = at[near], same[np.ix_(near, near)]
+    return at, same
+
+
 def forest(ids: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
     root = ids[roots(linked)]
     far = np.flatnonzero(root != ids)
@@ -169,18 +190,39 @@ def forest(ids: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
 def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the pairs within clusters(cid, cluster) whose full sets reach the threshold."""
     inside = classes.join(clusters, "cid").select("cid", "k", "n_shingles", "cluster")
-    plan = group_plan(inside, ["cluster"], F.col("cid"), PART, F.col("n_shingles") * 8, PART_BYTES)
-    plan = plan.groupBy("cid", "k", "cluster").agg(F.collect_list(F.struct("_i", "_j")).alias("groups"))
+    sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.min(F.struct("cid", "k")).alias("pivot")).where("n > 1")
+    parts = lambda n: F.greatest(F.ceil(n / PART), F.ceil(F.col("weight") * 8 / PART_BYTES * n / F.col("n")), F.lit(1)).cast("int")
+    members = checkpointed(spread_join(inside.select("cid", "k", "cluster"), sizes.withColumn("parts", parts(F.col("n"))), ["cluster"], "n"))
+    part = F.xxhash64(F.lit("part"), "cid")
+    own = members.select("cid", "k", "cluster", F.pmod(part, F.col("parts")).cast("int").alias("_i"))
+    pivots = members.where("parts > 1 AND cid = pivot.cid").select("cid", "k", "cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_i"))
+    groups = own.unionByName(pivots).distinct().withColumn("_j", F.col("_i"))
+    edges = checkpointed(_linked(docs, groups, percent))
+
+    label = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("label"))
+    big = members.where("parts > 1").select("cid", "k", "cluster", "n", "weight", "parts").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    largest = big.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    largest = largest.where(F.col("most") < F.col("all"))
+    if largest.isEmpty():
+        return edges
+    rest = spread_join(big, largest, ["cluster"], "all").withColumn("outer", parts(F.col("all") - F.col("most")))
+    inner = rest.select("cid", "k", "cluster", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("_i"), F.pmod(part, F.col("parts")).cast("int").alias("_j"))
+    outer = rest.where("label <> largest").select("cid", "k", "cluster", F.pmod(part, F.col("outer")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_j"))
+    return edges.unionByName(_linked(docs, inner.unionByName(outer).distinct(), percent))
+
+
+def _linked(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs within each group of groups(cid, k, cluster, _i, _j) whose full sets reach the threshold."""
+    kind = "array<struct<cluster:bigint,_i:int,_j:int>>"
+    plan = groups.groupBy("cid", "k").agg(F.collect_list(F.struct("cluster", "_i", "_j")).cast(kind).alias("groups"))
     texts = _named(docs).select("k", "text").join(plan, "k")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingles(words_of(batch.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("cluster"), batch.column("groups"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "cluster", "groups", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("groups"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "groups", "set"])
 
-    kind = "array<struct<_i:int,_j:int>>"
-    rows = texts.select("cid", "cluster", F.col("groups").cast(kind).alias("groups"), "text").mapInArrow(sets_of, f"cid bigint, cluster bigint, groups {kind}, set binary")
-    rows = rows.select("cid", "cluster", "set", F.inline("groups"))
+    rows = texts.select("cid", "groups", "text").mapInArrow(sets_of, f"cid bigint, groups {kind}, set binary").select("cid", "set", F.inline("groups"))
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
         cid, first = np.unique(np.asarray(group["cid"]), return_index=True)
@@ -232,9 +274,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates keeps: of each group the rows with its least doc_id."""
-    drop = near_duplicates(docs, percent).where("not kept").select(F.col("k").alias("_k")).distinct()
-    return docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).join(drop, "_k", "left_anti").drop("_k")
+    """The rows of docs, all columns, that near_duplicates keeps: of each group the rows with its least doc_id.
+
+    Rows to drop are named by 128 bits of hashes of doc_id and text, so no row goes because its name equals another's by chance.
+    """
+    name = fresh("key", docs)
+    drop = near_duplicates(docs, percent).where("not kept").select(F.col("k").alias(name)).distinct()
+    return docs.withColumn(name, _name()).join(drop, name, "left_anti").select(docs.columns)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

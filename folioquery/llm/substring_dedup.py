@@ -12,8 +12,8 @@ apart by 64 bits of their own, as the anchor's hash is the same for all of them;
 M * M / 2**65 false matches, under one in a million at M = 5,000,000.
 
 Hot keys are combined before they are shuffled, in each slice of about a megabyte of text: a segment or run that a smaller doc_id of the same slice
-holds is decided there, and so is an anchor with HOT unlike segments or more, whose runs are compared singly; what is decided travels by its
-document. So one task gets a few rows of a hot key for each slice, not for each document, and they stream in constant memory.
+holds is decided there, and so is an anchor with HOT unlike segments or more, whose runs are compared singly; what is decided goes to any
+task. So one task gets a few rows of a hot key for each slice, not for each document, and they stream in constant memory.
 
 Defined results: a null text has no words; fewer than WINDOW words lose nothing; equal texts lose all their words but for
 the smallest doc_id; rows that share a doc_id do not take words from each other; a null doc_id counts as larger
@@ -70,7 +70,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(anchor, segment, turn, k, at, n): each anchor of each row of docs with its n runs, the first at word at.
 
-    Rows decided in their slice have k for their anchor and n negated: those with a segment that a smaller turn has, and, with at inverted (~at),
+    Rows decided in their slice have a random anchor and n negated: those with a segment that a smaller turn has, and, with at inverted (~at),
     those to be compared run by run, for whose anchor a row with n = 0 stands.
     """
 
@@ -97,7 +97,8 @@ def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             n[whole] *= -1
             n[check] *= -1
             at[check] = ~at[check]
-            anchor[whole], anchor[check] = k[whole], k[check]
+            decided = np.concatenate([whole, check])
+            anchor[decided] = mix((k[decided] + at[decided]).view(np.uint64)).view(np.int64)  # any task will do
             columns = [np.concatenate(c).astype(t) for *c, t in zip([anchor, segment, turn, k, at, n], marks, [np.int64] * 4 + [np.int32] * 2, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "segment", "turn", "k", "at", "n"])
 
@@ -172,7 +173,7 @@ def _marked(rows: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
 def runs(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
     """(r1, r2, turn, k, at): the runs of window words that places(k, checks) lists, checks being array<struct<at,n>>.
 
-    Of runs that a smaller turn of the same slice has, at is inverted and k stands for r1.
+    Of runs that a smaller turn of the same slice has, at is inverted and r1 random.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def runs(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
             order = np.lexsort((turn, r2, r1))
             new = _changes(r1[order], r2[order])
             later = order[turn[order] > turn[order][new][np.cumsum(new) - 1]]
-            at[later], r1[later] = ~at[later], k[later]
+            at[later], r1[later] = ~at[later], mix((k[later] + at[later]).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (r1, r2, turn, k, at)], ["r1", "r2", "turn", "k", "at"])
 
     return docs.join(places, "k").select("text", "turn", "k", "checks").mapInArrow(run, "r1 bigint, r2 int, turn bigint, k bigint, at int")

@@ -44,7 +44,7 @@ MODEL = "byte_bpe_50k.json"
 #: Ids after which a shard ends, at a document's end.
 SHARD_IDS = 1 << 19
 #: Bytes of text in a task's range: up to PART_BYTES where there are many, fewer to keep all cores busy.
-PART_BYTES, LEAST_PART_BYTES = 256 << 20, 8 << 20
+PART_BYTES, LEAST_PART_BYTES = 128 << 20, 8 << 20
 #: Slots in which a worker remembers the ids of words; a word has two, and one that finds both taken takes the second.
 SLOTS = 1 << 21
 BLOCK = 512

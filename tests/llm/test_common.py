@@ -21,3 +21,12 @@ def test_components_against_union_find(spark):
         df = spark.createDataFrame(edges, "a long, b long")
         out = C.components(df).collect()
         assert len(out) == len(want) and {o["id"]: o["component"] for o in out} == want
+
+
+def test_spread_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(C, "HUBS", 3)
+    rows = spark.range(600).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 7 = 0 THEN 2 ELSE id % 50 END AS k", "id AS x", "1 AS _hub")
+    stats = rows.groupBy("k").count().where("k <> 5")
+    want = rows.join(stats, "k").select("k", "x", "_hub", "count").collect()
+    assert sorted(C.spread_join(rows, stats, ["k"], "count").collect()) == sorted(want)
+    assert C.spread_join(rows.limit(0), stats.limit(0), ["k"], "count").count() == 0

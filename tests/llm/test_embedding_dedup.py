@@ -68,6 +68,14 @@ def test_recall_at_the_threshold(spark):
     assert found >= 0.93 * 2_000
 
 
+def test_few_vectors_are_fetched(spark):
+    """Of vectors without a near one only those within the radius by chance leave the tables."""
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((3_000, 64)))]
+    assert run(spark, rows, "float") == [(i, 0, i) for i in sorted(range(3_000), key=lambda i: repr((i, 0, i)))]
+    assert E.radius(88, 0.9) == 25 and E.radius(10, -1.0) == 10
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert E.near_vectors(df).count() == 0

@@ -80,10 +80,43 @@ def test_groups_of_copies_ties_and_edges(spark, monkeypatch):
 def test_empty_and_dedup(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert M.near_duplicates(none).count() == 0
-    df = spark.createDataFrame([(1, "a b c d e f", "x"), (0, "A b c d e f", "y"), (2, None, "z"), (3, "", "z")], "doc_id long, text string, root string")
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (0, "A b c d e f", "y"), (2, None, "z"), (3, "", "z")], "doc_id long, text string, key string")
     assert {tuple(x) for x in M.deduplicated(df).collect()} == {(0, "A b c d e f", "y"), (2, None, "z"), (3, "", "z")}
 
 
+def test_chain_of_candidates_that_stay_apart(spark, monkeypatch):
+    """Texts on one template: all are candidates of each other by a low floor, and few are links."""
+    monkeypatch.setattr(M, "PART", 12)
+    monkeypatch.setattr(M, "LIST", 8)
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(120):
+        w, at = list(base), r.randrange(150)
+        w[at : at + 24] = [f"own{i // 3}_{j}" for j in range(24)]
+        texts.append(" ".join(w))
+    check(spark, list(enumerate(texts)), 85)
+
+
+def test_collisions_against_all_pairs():
+    r = np.random.default_rng(3)
+    for values, floor in ((2, 12), (3, 9), (50, 3), (10**6, 4)):
+        rows = r.integers(0, values, (150, 24)).astype(np.uint32)
+        rows[70:80] = rows[70]
+        want = (rows[:, None] == rows[None]).sum(2) >= floor
+        at, same = M.collisions(rows, floor)
+        got = np.zeros((150, 150), bool)
+        got[np.ix_(at, at)] = same >= floor
+        np.fill_diagonal(want, False)
+        np.fill_diagonal(got, False)
+        assert (got == want).all()
+
+
+def test_text_longer_than_a_slice(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    check(spark, [(1, long), (2, long + " end"), (3, "start " + long[: len(long) // 2])], 85)
+
+
 def test_intersections_in_blocks():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 60, 30).astype(np.uint64)) for _ in range(9)] + [np.zeros(0, np.uint64)]
