@@ -20,10 +20,14 @@ def grams(w):
 def expected(docs, items, threshold=0.8):
     """(row, item) -> greatest similarity, over every window of the item's length."""
     split = [(i, words(t)) for i, t in items]
+    sharing, short = {}, [k for k, (_, item) in enumerate(split) if len(item) < 5]
+    for k, (_, item) in enumerate(split):
+        for g in grams(item):
+            sharing.setdefault(g, []).append(k)
     out = {}
     for row, (_, text) in enumerate(docs):
         w = words(text)
-        for i, item in split:
+        for i, item in (split[k] for k in {*short, *(k for g in grams(w) for k in sharing.get(g, ()))}):
             if not item or not w:
                 continue
             want, best = grams(item), 0
@@ -62,29 +66,62 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, start int")
     bench = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, k string")
     rows = Counter((d, i, round(s, 9)) for (row, i), s in want.items() for d in [docs[row][0]])
-    for item_rows in (1000, 5):
-        out = D.contaminated(df, bench, item_rows=item_rows).collect()
-        assert Counter((x["doc_id"], x["item_id"], round(x["similarity"], 9)) for x in out) == rows
+    out = D.contaminated(df, bench).collect()
+    assert Counter((x["doc_id"], x["item_id"], round(x["similarity"], 9)) for x in out) == rows
+    clean = D.uncontaminated(df, bench)
+    assert clean.columns == df.columns
+    leaks = {row for row, _ in want}
+    assert Counter(tuple(x) for x in clean.collect()) == Counter((d, t, 1) for row, (d, t) in enumerate(docs) if row not in leaks)
+    assert D.uncontaminated(df.limit(0), bench).count() == 0 and D.uncontaminated(df, bench.limit(0)).count() == len(docs)
     assert D.contaminated(df.limit(0), bench).count() == 0
     assert D.contaminated(df, bench.limit(0)).count() == 0
 
 
-def test_blocks_find_all_within_radius():
+def test_blocks_find_all_within_radius(spark):
     r = np.random.default_rng(2)
     prints = r.integers(0, 2**64, 50, dtype=np.uint64)
-    items = D.Items(list(range(50)), [r.integers(0, 2**63, 9).astype(np.uint64) for _ in range(50)])
-    group = items.by_length[9]
-    group["prints"] = prints
-    group["blocks"] = {}
-    for m, p in enumerate(prints.tolist()):
-        for b in range(D.BLOCKS):
-            group["blocks"].setdefault((b, p >> int(D._CUTS[b]) & (1 << int(D._CUTS[b + 1] - D._CUTS[b])) - 1), []).append(m)
+    probes = []
     for flips in (0, 5, D.RADIUS, D.RADIUS + 1):
         for m in range(50):
             probe = int(prints[m])
             for bit in r.choice(64, flips, replace=False).tolist():
                 probe ^= 1 << bit
-            assert ((0, m) in set(items.near(9, np.array([probe], np.uint64)))) == (flips <= D.RADIUS)
+            probes.append((len(probes), m, flips, probe - (1 << 64) if probe >> 63 else probe))
+    one = spark.createDataFrame(probes, "p int, m int, flips int, print long").select("p", "m", "flips", D._posts(False))
+    two = spark.createDataFrame(list(enumerate(prints.view(np.int64).tolist())), "i int, print long").select("i", D._posts(True))
+    met = {(x["p"], x["i"]) for x in one.join(two, ["block", "value"]).select("p", "i").distinct().collect()}
+    assert all((p, m) in met for p, m, flips, _ in probes if flips <= D.RADIUS)
+
+
+def test_filter_says_yes_to_all_it_knows(spark):
+    r = np.random.default_rng(4)
+    sets = [(n, r.integers(0, 2**64, 40, dtype=np.uint64)) for n in (3, 9, 9, 30)]
+    contents = spark.createDataFrame([(n, x.tobytes()) for n, x in sets], "n int, shingles binary")
+    for most in (1 << 16, 1 << 28):
+        known = D.filter_of(contents, most)
+        assert all(known.has(D._of_length(x, n)).all() and (n < 5 or known.has(x).all()) for n, x in sets)
+        assert known.has(r.integers(0, 2**64, 10_000, dtype=np.uint64)).mean() < 0.01 and not known.has(D._of_length(sets[3][1], 9)).any()
+
+
+def test_many_items_and_recall_near_the_threshold(spark):
+    """25,000 items; passages edited to be just above or below the threshold, in copies too; a text longer than a slice."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    make = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(make(r.choice([8, 12, 20, 21, 40, 90, 200])))) for i in range(25_000)]
+    docs = []
+    for n in range(700):
+        w = items[r.randrange(25_000)][1].split()
+        k = max(1, len(w) // 9 - 4)
+        at = r.randrange(len(w))
+        w = r.choice([w, w[:at] + make(1) + w[at + 1 :], w[:at] + make(k) + w[at + k :], w[k:], w[: -k - 1], w[:at] + make(2) + w[at:]])
+        docs.append((n, " ".join(make(30) + w + make(20))))
+    docs += [(700 + i, docs[5][1]) for i in range(300)] + [(1000, " ".join(make(200_000) + items[7][1].split() + make(5)))]
+    out = {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(docs[row][0], i): round(s, 9) for (row, i), s in expected(docs, items).items()}
+    assert len(want) > 550 and (1000, 7) in want and all(want.get(x) == s for x, s in out.items())
+    missed = len(set(want) - set(out)) / len(want)
+    assert missed <= 0.005, missed
 
 
 def test_query_against_brute_force(spark):

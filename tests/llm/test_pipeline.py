@@ -63,6 +63,18 @@ def test_odd_rows_pass_all_stages(spark):
     for _, stage in P.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), schema)
         assert docs.count() == len(rows)
-        assert all(stage(spark, docs.limit(0), SF).count() == 0 for _, stage in P.STAGES[1:])
+        assert all(stage(spark, docs.limit(0), SF).count() == 0 for _, stage in P.STAGES)
     assert sorted(r["text"] or "" for r in docs.collect())[2:4] == ["[assign]", "[assign]"]
     assert P.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    docs = table(spark, SF, "documents").limit(60)
+    extra = ["key", "k", "t", "text_name", "blob", "spans", "_spans", "c1", "cluster", "score", "label", "_hub", "n", "row"]
+    odd = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in extra])
+    for _, stage in P.STAGES[:-1]:
+        odd = stage(spark, odd, SF)
+        assert odd.columns == [*docs.columns, *extra]
+        odd = spark.createDataFrame(odd.collect(), odd.schema)
+    rows = odd.collect()
+    assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in extra)
