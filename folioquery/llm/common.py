@@ -189,14 +189,16 @@ HUBS = 1000
 def spread_join(rows: DataFrame, stats: DataFrame, keys: list[str], size: str) -> DataFrame:
     """rows.join(stats, keys), where stats has one row for each key and size says how many rows have it.
 
-    The rows of the HUBS largest keys stay where they are and meet a broadcast list, so a key that a third of all rows have is no task of its own.
+    The HUBS largest keys are broadcast; their rows get a random salt that no row of stats has, so a key that a third of all rows have is spread
+    over all tasks.
     """
     added = [c for c in stats.columns if c not in keys]
-    hub = fresh("_hub", rows)
-    hubs = stats.orderBy(F.desc(size), *keys).limit(HUBS).withColumn(hub, F.lit(True))
-    met = rows.join(F.broadcast(hubs), keys, "left")
-    rest = met.where(F.col(hub).isNull()).select(rows.columns).join(stats, keys)
-    return met.where(hub).select(*rows.columns, *added).unionByName(rest.select(*rows.columns, *added))
+    hub, salt, found = (fresh(name, rows.join(stats.limit(0), keys)) for name in ("_hub", "_salt", "_found"))
+    hubs = stats.orderBy(F.desc(size), *keys).limit(HUBS).select(*keys, F.struct(*added).alias(hub))
+    salted = rows.join(F.broadcast(hubs), keys, "left").withColumn(salt, F.when(F.col(hub).isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*rows.columns).bitwiseOR(1)))
+    others = stats.select(*keys, F.lit(0).cast("bigint").alias(salt), F.struct(*added).alias(found))
+    met = salted.join(others, [*keys, salt], "left").select(*rows.columns, F.coalesce(hub, found).alias(found)).where(F.col(found).isNotNull())
+    return met.select(*rows.columns, *[F.col(found)[c].alias(c) for c in added])
 
 
 def group_plan(rows: DataFrame, keys: list[str], row: Column, limit: int) -> DataFrame:
@@ -229,7 +231,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges(a long, b long): component is the smallest id that links lead to.
 
     Alternates large-star and small-star rounds; each moves at most as many rows as there are edges. Least neighbours are found with partial
-    sums before the shuffle and given back by spread_join, so a hub is no task of its own. Rounds end when nothing changes; lineage is cut by a
+    minima before the shuffle and given back by spread_join, so a hub is no task of its own; then each vertex has only the few smaller ones that
+    its neighbours named. Rounds end when nothing changes; lineage is cut by a
     checkpoint in each.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -238,9 +241,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = spread_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        now = checkpointed(spread_join(large, down, ["u"], "n").select(moved.alias("u"), F.col("m").alias("v")).distinct())
+        now = checkpointed(large.join(down, "u").select(moved.alias("u"), F.col("m").alias("v")).distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -114,8 +114,8 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _name().alias("k"))
 
 
-def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> DataFrame:
-    """(a, b): edges whose components are those of the pairs of classes(cid, sig) that agree on the floor or more.
+def candidate_clusters(classes: DataFrame, percent: int, coords: int = COORDS) -> DataFrame:
+    """(id, component): the components of the pairs of classes(cid, sig) that agree on the floor or more.
 
     Lists of up to LIST classes are compared in one task each. In a longer list every class is first compared with the list's
     pivot, its least class; classes that are then connected, through any lists, are skipped, and only those outside the
@@ -151,16 +151,20 @@ def candidate_edges(classes: DataFrame, percent: int, coords: int = COORDS) -> D
     long = posts.where(F.col("n") > LIST)
     pairs = long.where("cid <> pivot").select("cid", "pivot").distinct().join(sig, "cid").join(sig.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
     edges = checkpointed(short.unionByName(pairs.select("cid", "pivot", "sig", "pivot_sig").mapInArrow(with_pivot, kind)))
-    label = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("label"))
+    clusters = components(edges)
+    label = clusters.select(F.col("id").alias("cid"), F.col("component").alias("label"))
     long = long.select("post", "cid", "n").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     largest = long.groupBy("post", "label").count().groupBy("post").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
     largest = largest.where("most < n").select("post", "largest", "n", F.ceil(F.col("n") / LIST).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / LIST).cast("int").alias("outer"))
+    largest = checkpointed(largest)
+    if largest.isEmpty():
+        return clusters
     rest = spread_join(long.select("post", "cid", "label"), largest, ["post"], "n")
     part = F.xxhash64(F.lit("part"), "cid")
     inner = rest.select("post", "cid", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("_i"), F.pmod(part, F.col("parts")).cast("int").alias("_j"))
     outer = rest.where("label <> largest").select("post", "cid", F.pmod(part, F.col("outer")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_j"))
     met = inner.unionByName(outer).distinct().join(sig, "cid").select("post", "_i", "_j", "cid", "sig")
-    return edges.unionByName(by_key(met, ["post", "_i", "_j"], work, kind))
+    return components(clusters.toDF("a", "b").unionByName(by_key(met, ["post", "_i", "_j"], work, kind)))
 
 
 def collisions(rows: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +191,8 @@ def forest(ids: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(root[far])], ["a", "b"]) if len(far) else None
 
 
-def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the pairs within clusters(cid, cluster) whose full sets reach the threshold."""
+def confirmed_clusters(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(id, component): the components of the pairs within clusters(cid, cluster) whose full sets reach the threshold."""
     inside = classes.join(clusters, "cid").select("cid", "k", "n_shingles", "cluster")
     sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.min(F.struct("cid", "k")).alias("pivot")).where("n > 1")
     parts = lambda n: F.greatest(F.ceil(n / PART), F.ceil(F.col("weight") * 8 / PART_BYTES * n / F.col("n")), F.lit(1)).cast("int")
@@ -197,18 +201,17 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, clusters: DataFrame, pe
     own = members.select("cid", "k", "cluster", F.pmod(part, F.col("parts")).cast("int").alias("_i"))
     pivots = members.where("parts > 1 AND cid = pivot.cid").select("cid", "k", "cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_i"))
     groups = own.unionByName(pivots).distinct().withColumn("_j", F.col("_i"))
-    edges = checkpointed(_linked(docs, groups, percent))
-
-    label = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("label"))
+    linked = components(_linked(docs, groups, percent))
+    label = linked.select(F.col("id").alias("cid"), F.col("component").alias("label"))
     big = members.where("parts > 1").select("cid", "k", "cluster", "n", "weight", "parts").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     largest = big.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    largest = largest.where(F.col("most") < F.col("all"))
+    largest = checkpointed(largest.where(F.col("most") < F.col("all")))
     if largest.isEmpty():
-        return edges
+        return linked
     rest = spread_join(big, largest, ["cluster"], "all").withColumn("outer", parts(F.col("all") - F.col("most")))
     inner = rest.select("cid", "k", "cluster", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("_i"), F.pmod(part, F.col("parts")).cast("int").alias("_j"))
     outer = rest.where("label <> largest").select("cid", "k", "cluster", F.pmod(part, F.col("outer")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_j"))
-    return edges.unionByName(_linked(docs, inner.unionByName(outer).distinct(), percent))
+    return components(linked.toDF("a", "b").unionByName(_linked(docs, inner.unionByName(outer).distinct(), percent)))
 
 
 def _linked(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -263,8 +266,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = checkpointed(features(docs))
     classes = rows.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
-    clusters = components(candidate_edges(classes, percent)).select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
-    linked = components(confirmed_edges(docs, classes, clusters, percent)).select(F.col("id").alias("cid"), F.col("component").alias("root"))
+    clusters = candidate_clusters(classes, percent).select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
+    linked = confirmed_clusters(docs, classes, clusters, percent).select(F.col("id").alias("cid"), F.col("component").alias("root"))
     named = classes.select("cid", "c1", "c2", "least").join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("c1", "c2", "component_id", F.lit(True).alias("_some"))
