@@ -44,15 +44,16 @@ def digits(text: Column) -> Column:
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<found,start,end>> of all matches; the pattern must not match an empty string."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    kind = "array<struct<found:string,start:int,end:int>>"
+    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("before"))
 
-    def one(x: Column, i: Column) -> Column:
-        start = total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-        return F.struct(x.alias("found"), start.alias("start"), (start + F.length(x)).alias("end"))
+    def step(done: Column, x: Column) -> Column:
+        start = done["at"] + F.length(x["before"])
+        end = start + F.length(x["found"])
+        one = F.array(F.struct(x["found"].alias("found"), start.alias("start"), end.alias("end")))
+        return F.when(x["found"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], one.cast(kind)).alias("out")))
 
-    return F.transform(found, one)
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda done: done["out"])
 
 
 def first_at(text: Column, pattern: str) -> Column:

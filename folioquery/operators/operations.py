@@ -349,12 +349,31 @@ def system_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return down.unionByName(failed).unionByName(full)
 
 
+_CLONES = """have AS (SELECT s_name AS name FROM supplier UNION SELECT s_name || ' (clone)' FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT s_name || ' (clone 2)' FROM supplier WHERE s_suppkey % 4 = 0 UNION SELECT s_name || ' (clone 4)' FROM supplier WHERE s_suppkey % 4 = 0)"""
+
+
+def cloned(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """(name, clone): the first of "name (clone)", "name (clone 2)", ... that have(name) lacks.
+
+    Names that look like clones are parsed to (name, number) and meet their origin in one join; the least number missing is the clone's.
+    """
+    rx = r"(?s)^(.*) \(clone(?: ([1-9][0-9]*))?\)$"
+    number = F.when(F.regexp_extract("name", rx, 2) == "", F.lit(1)).otherwise(F.regexp_extract("name", rx, 2).try_cast("int"))
+    taken = have.where(F.col("name").rlike(rx)).select(F.regexp_extract("name", rx, 1).alias("name"), number.alias("n")).where("n = 1 OR n >= 2")
+    taken = taken.groupBy("name").agg(F.collect_set("n").alias("taken"))
+    out = wanted.join(taken, "name", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("taken") + 1), F.col("taken")))
+    return out.select("name", F.concat("name", F.when(free == 1, " (clone)").otherwise(F.concat(F.lit(" (clone "), free.cast("string"), F.lit(")")))).alias("clone"))
+
+
 @C.query(
-    "SELECT s_suppkey AS id, s_name || CASE WHEN row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) > 1 THEN ' (copy ' || row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) || ')' ELSE '' END AS name FROM supplier"
+    f"WITH {_CLONES} SELECT s_name AS name, s_name || CASE WHEN s_name || ' (clone)' NOT IN (FROM have) THEN ' (clone)' WHEN s_name || ' (clone 2)' NOT IN (FROM have) THEN ' (clone 2)' WHEN s_name || ' (clone 3)' NOT IN (FROM have) THEN ' (clone 3)' END AS clone FROM supplier"
 )
 def clone_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.when(n > 1, F.concat(F.lit(" (copy "), n.cast("string"), F.lit(")"))).otherwise("")).alias("name"))
+    """Names for clones of all sources, some of which have clones already."""
+    names = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"))
+    made = [names.select("name")] + [names.where(f"s_suppkey % {m} = 0").select(F.concat("name", F.lit(f" (clone{x})")).alias("name")) for m, x in ((2, ""), (4, " 2"), (4, " 4"))]
+    return cloned(names.select("name"), reduce(DataFrame.unionByName, made))
 
 
 _LIFE = "life AS (SELECT event_id, user_id, CAST(event_id * 7 % 5 AS INT) AS stage, lag(CAST(event_id * 7 % 5 AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)"

@@ -189,27 +189,35 @@ def acquisition_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_merged(pages: DataFrame, ocr: DataFrame, floor: float = 0.35) -> DataFrame:
-    """pages(doc_id, page, text) where weak pages take their OCR text if it is longer and sure enough."""
-    both = pages.join(ocr.select("doc_id", "page", F.col("text").alias("ocr_text"), "word_confidence"), ["doc_id", "page"], "left")
+    """pages(doc_id, page, text) where weak pages take the text of their newest OCR run if it is longer and sure enough. ocr(doc_id, page, run, text, word_confidence)"""
+    latest = ocr.groupBy("doc_id", "page").agg(F.max_by(F.struct(F.col("text").alias("ocr_text"), "word_confidence"), "run").alias("latest"))
+    both = pages.join(latest.select("doc_id", "page", "latest.*"), ["doc_id", "page"], "left")
     better = (F.length("text") < WEAK_CHARS) & (F.length("ocr_text") > F.length("text")) & (F.col("word_confidence") >= floor)
     better = F.coalesce(better, F.lit(False))
     return both.select("doc_id", "page", F.when(better, F.col("ocr_text")).otherwise(F.col("text")).alias("text"), better.alias("improved"), F.when(better, F.col("word_confidence")).alias("word_confidence"))
 
 
-_OCR = """digital AS (SELECT conv_id AS doc_id, turn // 2 AS page, substr(text, 1, CAST(20 * (turn % 7) + 20 AS BIGINT)) AS text FROM conversations WHERE role = 'user' AND turn % 2 = 0),
-ocr AS (SELECT conv_id AS doc_id, turn // 2 AS page, text, (turn % 5 + 1) / 6.0::DOUBLE AS word_confidence FROM conversations WHERE role = 'assistant' AND turn % 2 = 1),
+_OCR = """digital AS (SELECT conv_id AS doc_id, turn AS page, text FROM conversations WHERE role = 'user'),
+runs AS (SELECT conv_id AS doc_id, turn - 1 - turn % 2 AS page, turn AS run, text, (turn % 5 + 1) / 6.0::DOUBLE AS word_confidence FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn - 1, turn, text, (turn % 5 + 1) / 6.0::DOUBLE FROM conversations WHERE role = 'assistant'),
+ocr AS (SELECT doc_id, page, text, word_confidence FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY run DESC) = 1),
 merged AS (SELECT d.doc_id, d.page, coalesce(length(d.text) < 80 AND length(o.text) > length(d.text) AND o.word_confidence >= 0.35, false) AS improved, d.text AS digital, o.text AS ocr_text, o.word_confidence FROM digital d LEFT JOIN ocr o USING (doc_id, page))"""
 
 
 @C.query(f"WITH {_OCR} SELECT doc_id, CAST(page AS BIGINT) AS page, improved, CASE WHEN improved THEN ocr_text ELSE digital END AS text FROM merged")
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as pages: what users say is the digital text, what assistants answer the OCR text of the page."""
-    said = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") / 2).cast("bigint").alias("page"), "turn", "role", "text")
-    digital = said.where("role = 'user' and turn % 2 = 0").select("doc_id", "page", F.substring("text", F.lit(1), (20 * (F.col("turn") % 7) + 20).cast("int")).alias("text"))
-    ocr = said.where("role = 'assistant' and turn % 2 = 1").select("doc_id", "page", "text", ((F.col("turn") % 5 + 1) / 6.0).alias("word_confidence"))
+    """Turns as pages: what users say is the digital text, what assistants answer the OCR runs of the page before."""
+    digital, ocr = _read_pages(spark, sf_dir)
     return ocr_merged(digital, ocr).select("doc_id", "page", "improved", "text")
 
 
+def _read_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    said = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", "text")
+    turn = F.col("turn")
+    answers = said.where("role = 'assistant'").select("doc_id", turn.alias("run"), "text", ((turn % 5 + 1) / 6.0).alias("word_confidence"), F.explode(F.array(turn - 1, turn - 1 - turn % 2)).alias("page"))
+    return said.where("role = 'user'").select("doc_id", turn.alias("page"), "text"), answers.distinct()
+
+
 @C.query(
     f"""WITH {_OCR}, s AS (SELECT doc_id, count(*) AS n_pages, sum(length(CASE WHEN improved THEN ocr_text ELSE digital END)) AS n_chars, sum(CASE WHEN length(CASE WHEN improved THEN ocr_text ELSE digital END) < 80 THEN 1 ELSE 0 END) AS n_empty, sum(CASE WHEN improved THEN 1 ELSE 0 END) AS n_improved, avg(CASE WHEN improved THEN word_confidence END) AS words FROM merged GROUP BY doc_id)
 SELECT doc_id, n_improved > 0 AS ocr_applied, CAST(n_improved AS BIGINT) AS n_improved, n_empty > 0 AS still_needs_ocr,
@@ -217,9 +225,7 @@ SELECT doc_id, n_improved > 0 AS ocr_applied, CAST(n_improved AS BIGINT) AS n_im
 )
 def ocr_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with improved pages, scored anew and discounted by the OCR's own confidence."""
-    said = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") / 2).cast("bigint").alias("page"), "turn", "role", "text")
-    digital = said.where("role = 'user' and turn % 2 = 0").select("doc_id", "page", F.substring("text", F.lit(1), (20 * (F.col("turn") % 7) + 20).cast("int")).alias("text"))
-    ocr = said.where("role = 'assistant' and turn % 2 = 1").select("doc_id", "page", "text", ((F.col("turn") % 5 + 1) / 6.0).alias("word_confidence"))
+    digital, ocr = _read_pages(spark, sf_dir)
     merged = ocr_merged(digital, ocr)
     base = quality(merged, V.BACKEND_CEILINGS["pdfplumber"], 8).select("doc_id", "confidence")
     own = merged.groupBy("doc_id").agg(F.sum(F.col("improved").cast("bigint")).alias("n_improved"), F.max(F.length("text") < WEAK_CHARS).alias("still_needs_ocr"), F.avg("word_confidence").alias("words"))
