@@ -39,12 +39,15 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Run to the end of the input. In update mode the last row of each key counts; complete mode rewrites all."""
+    """Run to the end of the input. In update mode the last row of each key counts; complete mode rewrites all.
+
+    Each batch writes a folder of its own anew, so one that is run again after a failure adds nothing twice.
+    """
     spark = stream.sparkSession
     folder = shared_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("int")).write.mode("append" if mode != "complete" else "overwrite").parquet(f"{folder}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/_batch={number if mode != 'complete' else 0}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
