@@ -94,8 +94,11 @@ def _learner(held: Broadcast, prior: float, bits: int, shards: int) -> Callable[
         z, n = z0, n0
         for batch in slices(batches):
             z, n = _learn((z, n), batch.column("text"), np.asarray(batch.column("label")), prior, bits, shards)
-        moved = [((a - b) / shards).astype(np.float16).tobytes() for a, b in ((z, z0), (n, n0))]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in moved], ["dz", "dn"])
+        with np.errstate(over="ignore"):
+            moved = [((a - b) / shards).astype(np.float16) for a, b in ((z, z0), (n, n0))]
+        if not all(np.isfinite(x).all() for x in moved):
+            raise ValueError("a shard has more rows than half-precision sums hold: take more shards")
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in moved], ["dz", "dn"])
 
     return learn
 

@@ -1,3 +1,6 @@
+import pytest
+import random
+import math
 import zlib
 
 import numpy as np
@@ -46,3 +49,63 @@ def test_sample_is_bounded(spark):
     assert len(at) == len(weight) <= 1 << T.BITS
     score = {r["doc_id"]: r["score"] for r in T.score(docs, (at, weight, bias)).collect()}
     assert np.mean([(s > 0.5) == (i % 3 == 0) for i, s in score.items()]) > 0.95
+
+
+def plain_ftrl(rows, prior, z=None, n=None, times=1):
+    """One pass of FTRL-proximal over (coordinates, label), written out per coordinate."""
+    z, n = dict(z or {}), dict(n or {})
+    for cells, y in rows:
+        w = {}
+        for c in cells:
+            zc = z.get(c, 0.0)
+            w[c] = 0.0 if abs(zc) <= T.L1 else -(zc - math.copysign(T.L1, zc)) / ((T.BETA + math.sqrt(n.get(c, 0.0))) / T.ALPHA + T.L2)
+        g = 1 / (1 + math.exp(-(prior + sum(w.values())))) - y
+        for c in cells:
+            new = n.get(c, 0.0) + times * g * g
+            z[c] = z.get(c, 0.0) + times * g - (math.sqrt(new) - math.sqrt(n.get(c, 0.0))) / T.ALPHA * w[c]
+            n[c] = new
+    return z, n
+
+
+def labelled_texts():
+    r = random.Random(12)
+    make = lambda bad: " ".join(r.choice(["calm", "kind", "river", "stone", "walk"] + ["vile", "awful"] * 2 * bad) for _ in range(r.randrange(3, 25)))
+    return [(i, make(i % 4 == 0), int(i % 4 == 0)) for i in range(300)]
+
+
+def test_learning_equals_plain_ftrl():
+    rows = labelled_texts()
+    cells, first = T.features(T.words_of(pa.array([t for _, t, _ in rows]), lower=True))
+    want_z, want_n = plain_ftrl([(cells[a:b].tolist(), y) for a, b, (_, _, y) in zip(first[:-1], first[1:], rows)], -1.0)
+    z, n = T._learn((np.zeros(1 << T.BITS), np.zeros(1 << T.BITS)), pa.array([t for _, t, _ in rows]), np.array([y for _, _, y in rows]), -1.0, T.BITS)
+    assert set(np.flatnonzero(n).tolist()) == set(want_n)
+    assert all(abs(z[c] - want_z[c]) < 1e-9 and abs(n[c] - want_n[c]) < 1e-9 for c in want_n)
+
+
+def test_training_equals_plain_rounds(spark):
+    """With one shard a round is one pass in the order of the hash; sums travel in half precision, so weights agree to a few thousandths."""
+    rows = labelled_texts()
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    at, weight, prior = T.train(frame, shards=1, rounds=3)
+    order = [r["doc_id"] for r in frame.selectExpr("doc_id", "xxhash64('order', doc_id, text, label) AS h").orderBy("h").collect()]
+    cells, first = T.features(T.words_of(pa.array([rows[i][1] for i in order]), lower=True))
+    seen = [(cells[a:b].tolist(), rows[i][2]) for a, b, i in zip(first[:-1], first[1:], order)]
+    z, n = {}, {}
+    for _ in range(3):
+        z, n = plain_ftrl(seen, prior, z, n)
+    want = {c: -(x - math.copysign(T.L1, x)) / ((T.BETA + math.sqrt(n[c])) / T.ALPHA + T.L2) for c, x in z.items() if abs(x) > T.L1}
+    got = dict(zip(at.tolist(), weight.tolist()))
+    assert want and all(abs(got.get(c, 0.0) - want.get(c, 0.0)) < 0.02 for c in {*got, *want})
+    assert len(set(got) ^ set(want)) <= 0.05 * len(want)
+
+
+def test_too_many_rows_for_half_precision_raise(spark):
+    big = np.zeros(4)
+    held = type("Held", (), {"value": (big.astype(np.float32), big.astype(np.float32))})()
+    learn = T._learner(held, 0.0, 2, 1)
+    T_learn, T._learn = T._learn, lambda *_: (big + 1e6, big)
+    try:
+        with pytest.raises(ValueError, match="more shards"):
+            list(learn(iter([pa.RecordBatch.from_pydict({"text": ["a"], "label": [1]})])))
+    finally:
+        T._learn = T_learn
