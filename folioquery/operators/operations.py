@@ -280,34 +280,57 @@ def status_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", code.alias("code"), W.status_cause(code).alias("cause"))
 
 
-#: (phase, exception, root cause, confidence, stage that failed)
+#: Fixed values: (phase, exception, root cause, confidence, stage that failed).
 EXCEPTIONS = [
+    ("url", "ValueError", "URL_VALIDATION_FAILED", "HIGH", "REQUEST_CREATED"), ("policy", "SourceRejected", "POLICY_BLOCKED", "HIGH", "POLICY_VALIDATION"),
+    ("redirect", "SourceRejected", "REDIRECT_POLICY_BLOCKED", "HIGH", "REDIRECT_VALIDATION"),
     ("dns", "gaierror", "DNS_RESOLUTION_FAILED", "HIGH", "DNS_RESOLUTION"), ("dns", "TimeoutError", "DNS_RESOLUTION_FAILED", "MEDIUM", "DNS_RESOLUTION"),
     ("tcp", "ConnectionRefusedError", "TCP_CONNECTION_FAILED", "HIGH", "TCP_CONNECT"), ("tcp", "TimeoutError", "CONNECT_TIMEOUT", "MEDIUM", "TCP_CONNECT"),
     ("tcp", "HostUnreachable", "REMOTE_HOST_UNREACHABLE", "HIGH", "TCP_CONNECT"), ("tcp", "OSError", "TCP_CONNECTION_FAILED", "MEDIUM", "TCP_CONNECT"),
+    ("tls", "SSLCertVerificationError", "TLS_HANDSHAKE_FAILED", "HIGH", "TLS_HANDSHAKE"),
     ("tls", "SSLError", "TLS_HANDSHAKE_FAILED", "HIGH", "TLS_HANDSHAKE"), ("tls", "TimeoutError", "CONNECT_TIMEOUT", "MEDIUM", "TLS_HANDSHAKE"),
     ("http", "ReadTimeout", "READ_TIMEOUT", "HIGH", "HTTP_RESPONSE_RECEIVED"), ("http", "RemoteProtocolError", "REMOTE_SERVER_DROPPED_CONNECTION", "HIGH", "HTTP_RESPONSE_RECEIVED"),
-    ("http", "ConnectTimeout", "CONNECT_TIMEOUT", "LOW", "TCP_CONNECT"),
+    ("http", "ConnectionResetError", "REMOTE_SERVER_DROPPED_CONNECTION", "HIGH", "HTTP_RESPONSE_RECEIVED"), ("http", "ConnectTimeout", "CONNECT_TIMEOUT", "LOW", "TCP_CONNECT"),
 ]
 UNKNOWN = {"dns": ("DNS_RESOLUTION_FAILED", "DNS_RESOLUTION"), "tcp": ("TCP_CONNECTION_FAILED", "TCP_CONNECT"), "tls": ("TLS_HANDSHAKE_FAILED", "TLS_HANDSHAKE"), "http": ("UNKNOWN_FAILURE", "HTTP_REQUEST_SENT")}
 
 
 def classified(failures: DataFrame) -> DataFrame:
-    """failures(phase, exception, ...) with root_cause, confidence and failure_stage; an unlisted exception takes its phase's cause at LOW."""
+    """failures(phase, exception, code, ...) with root_cause, confidence and failure_stage.
+
+    A status code decides where there is one: a cause of its own names no failed stage. An unlisted exception takes its phase's cause at LOW.
+    """
     known = failures.sparkSession.createDataFrame(EXCEPTIONS, "phase string, exception string, root_cause string, confidence string, failure_stage string")
     other = failures.sparkSession.createDataFrame([(p, *x) for p, x in UNKNOWN.items()], "phase string, other_cause string, other_stage string")
     out = failures.join(F.broadcast(known), ["phase", "exception"], "left").join(F.broadcast(other), "phase", "left")
-    out = out.withColumn("root_cause", F.coalesce("root_cause", "other_cause")).withColumn("failure_stage", F.coalesce("failure_stage", "other_stage"))
-    return out.withColumn("confidence", F.coalesce("confidence", F.lit("LOW"))).drop("other_cause", "other_stage")
+    answered, own = F.col("code").isNotNull(), W.status_cause(F.col("code"))
+    cause = F.when(answered, F.coalesce(own, F.lit("UNKNOWN_FAILURE"))).otherwise(F.coalesce("root_cause", "other_cause", F.lit("UNKNOWN_FAILURE")))
+    stage = F.when(answered, F.when(own.isNull(), "REDIRECT_VALIDATION")).otherwise(F.coalesce("failure_stage", "other_stage", F.lit("HTTP_REQUEST_SENT")))
+    sure = F.when(answered, F.when(own.isNull(), "LOW").otherwise("HIGH")).otherwise(F.coalesce("confidence", F.lit("LOW")))
+    return out.withColumns({"root_cause": cause, "failure_stage": stage, "confidence": sure}).drop("other_cause", "other_stage")
+
+
+_PHASES = ("dns", "tcp", "tls", "http", "url", "policy", "redirect")
+_RAISED = ("gaierror", "TimeoutError", "ReadTimeout", "ConnectionRefusedError", "HostUnreachable", "OSError", "SSLError", "SSLCertVerificationError", "RemoteProtocolError", "ConnectionResetError", "ConnectTimeout", "SourceRejected", "ValueError")
 
 
 @C.query(
-    "WITH f AS (SELECT event_id, ['dns', 'tcp', 'tls', 'http'][event_id % 4 + 1] AS phase, ['gaierror', 'TimeoutError', 'ReadTimeout'][event_id % 3 + 1] AS exception FROM events) SELECT event_id, CASE WHEN phase = 'dns' THEN 'DNS_RESOLUTION_FAILED' WHEN phase IN ('tcp', 'tls') AND exception = 'TimeoutError' THEN 'CONNECT_TIMEOUT' WHEN phase = 'tcp' THEN 'TCP_CONNECTION_FAILED' WHEN phase = 'tls' THEN 'TLS_HANDSHAKE_FAILED' WHEN exception = 'ReadTimeout' THEN 'READ_TIMEOUT' ELSE 'UNKNOWN_FAILURE' END AS root_cause, CASE WHEN phase = 'dns' AND exception = 'gaierror' THEN 'HIGH' WHEN phase <> 'http' AND exception = 'TimeoutError' THEN 'MEDIUM' WHEN phase = 'http' AND exception = 'ReadTimeout' THEN 'HIGH' ELSE 'LOW' END AS confidence FROM f"
+    f"""WITH f AS (SELECT event_id, {list(_PHASES)}[event_id % 7 + 1] AS phase, {list(_RAISED)}[event_id % 13 + 1] AS exception, CASE WHEN event_id % 3 = 0 THEN 390 + event_id % 130 END AS code FROM events),
+known AS (SELECT * FROM f WHERE code IS NULL),
+one AS (SELECT event_id, CASE WHEN phase = 'dns' THEN 'DNS_RESOLUTION_FAILED' WHEN phase IN ('tcp', 'tls') AND exception = 'TimeoutError' THEN 'CONNECT_TIMEOUT' WHEN phase = 'tcp' AND exception = 'HostUnreachable' THEN 'REMOTE_HOST_UNREACHABLE' WHEN phase = 'tcp' THEN 'TCP_CONNECTION_FAILED'
+  WHEN phase = 'tls' THEN 'TLS_HANDSHAKE_FAILED' WHEN phase = 'http' AND exception = 'ReadTimeout' THEN 'READ_TIMEOUT' WHEN phase = 'http' AND exception IN ('RemoteProtocolError', 'ConnectionResetError') THEN 'REMOTE_SERVER_DROPPED_CONNECTION' WHEN phase = 'http' AND exception = 'ConnectTimeout' THEN 'CONNECT_TIMEOUT'
+  WHEN phase = 'url' AND exception = 'ValueError' THEN 'URL_VALIDATION_FAILED' WHEN phase = 'policy' AND exception = 'SourceRejected' THEN 'POLICY_BLOCKED' WHEN phase = 'redirect' AND exception = 'SourceRejected' THEN 'REDIRECT_POLICY_BLOCKED' ELSE 'UNKNOWN_FAILURE' END AS root_cause,
+  CASE WHEN (phase, exception) IN (('dns', 'gaierror'), ('tcp', 'ConnectionRefusedError'), ('tcp', 'HostUnreachable'), ('tls', 'SSLError'), ('tls', 'SSLCertVerificationError'), ('http', 'ReadTimeout'), ('http', 'RemoteProtocolError'), ('http', 'ConnectionResetError'), ('url', 'ValueError'), ('policy', 'SourceRejected'), ('redirect', 'SourceRejected')) THEN 'HIGH'
+  WHEN (phase, exception) IN (('dns', 'TimeoutError'), ('tcp', 'TimeoutError'), ('tls', 'TimeoutError'), ('tcp', 'OSError')) THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  CASE WHEN phase = 'dns' THEN 'DNS_RESOLUTION' WHEN phase = 'tcp' THEN 'TCP_CONNECT' WHEN phase = 'tls' THEN 'TLS_HANDSHAKE' WHEN phase = 'http' AND exception IN ('ReadTimeout', 'RemoteProtocolError', 'ConnectionResetError') THEN 'HTTP_RESPONSE_RECEIVED' WHEN phase = 'http' AND exception = 'ConnectTimeout' THEN 'TCP_CONNECT'
+  WHEN phase = 'url' AND exception = 'ValueError' THEN 'REQUEST_CREATED' WHEN phase = 'policy' AND exception = 'SourceRejected' THEN 'POLICY_VALIDATION' WHEN phase = 'redirect' AND exception = 'SourceRejected' THEN 'REDIRECT_VALIDATION' ELSE 'HTTP_REQUEST_SENT' END AS failure_stage FROM known)
+SELECT * FROM one UNION ALL SELECT event_id, CASE WHEN code = 403 THEN 'HTTP_403_BLOCKED' WHEN code = 404 THEN 'HTTP_404' WHEN code >= 500 THEN 'HTTP_500' ELSE 'UNKNOWN_FAILURE' END, CASE WHEN code IN (403, 404) OR code >= 500 THEN 'HIGH' ELSE 'LOW' END, CASE WHEN code IN (403, 404) OR code >= 500 THEN NULL ELSE 'REDIRECT_VALIDATION' END FROM f WHERE code IS NOT NULL"""
 )
 def exception_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phase with every exception, and status codes: all fourteen causes."""
     k = F.col("event_id")
-    rows = load(spark, sf_dir, "events").select(k, picked(("dns", "tcp", "tls", "http"), k).alias("phase"), picked(("gaierror", "TimeoutError", "ReadTimeout"), k).alias("exception"))
-    return classified(rows).select("event_id", "root_cause", "confidence")
+    rows = load(spark, sf_dir, "events").select(k, picked(_PHASES, k).alias("phase"), picked(_RAISED, k).alias("exception"), F.when(k % 3 == 0, k % 130 + 390).alias("code"))
+    return classified(rows).select("event_id", "root_cause", "confidence", "failure_stage")
 
 
 @C.query(

@@ -41,3 +41,8 @@ def test_unresolved_names_give_nothing(spark):
     got = sorted(tuple(r) for r in W.in_scope(requests, regions, nations, active, by_district).collect())
     assert got == [("all", 1), ("all", 2), ("d", 1), ("s", 2)]
     assert W.in_scope(requests, regions, nations, active, by_district, ("health",)).count() == 0
+
+
+def test_all_fourteen_causes_occur(spark):
+    out = O.exception_causes(spark, "/root/testdata/sf0.001").select("root_cause").distinct().collect()
+    assert len(out) == 14
