@@ -70,15 +70,18 @@ def sync_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @C.query(
-    """WITH i AS (SELECT sha256(text) AS sha256, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS turn, length(text) < 80 AS needs_ocr, doc_id % 2 = 0 AS has_ocr, doc_id % 5 <> 0 AS pending FROM documents)
-SELECT doc_id, sha256, CASE WHEN turn = 1 THEN 'parse' WHEN pending AND needs_ocr AND has_ocr THEN 'reparse' ELSE 'skip' END AS action FROM i"""
+    """WITH i AS (SELECT sha256(text) AS sha256, doc_id, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS first, length(text) < 80 AS needs_ocr, doc_id % 2 = 0 AS has_ocr, doc_id % 5 <> 0 AS pending FROM documents)
+SELECT doc_id, sha256, CASE WHEN first THEN 'parse' WHEN pending AND needs_ocr AND has_ocr THEN 'reparse' ELSE 'skip' END AS action FROM i"""
 )
 def reingest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same content again changes nothing, unless it is pending, needs OCR, and OCR came with it."""
+    """The same content again changes nothing, unless it is pending, needs OCR, and OCR came with it. The least id of a content is an aggregate
+    joined back, so that content which very many documents share is summed before it is shuffled and may be split when joined."""
     sha = F.sha2("text", 256)
-    rows = load(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256"), (F.length("text") < 80).alias("needs_ocr")).withColumn("turn", F.row_number().over(Window.partitionBy("sha256").orderBy("doc_id")))
+    rows = load(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256"), (F.length("text") < 80).alias("needs_ocr"))
+    least = rows.groupBy(F.col("sha256").alias("content")).agg(F.min("doc_id").alias("first"))
+    rows = rows.join(least, rows.sha256.eqNullSafe(least.content))
     again = (F.col("doc_id") % 5 != 0) & F.col("needs_ocr") & (F.col("doc_id") % 2 == 0)
-    return rows.select("doc_id", "sha256", F.when(F.col("turn") == 1, "parse").when(again, "reparse").otherwise("skip").alias("action"))
+    return rows.select("doc_id", "sha256", F.when(F.col("doc_id") == F.col("first"), "parse").when(again, "reparse").otherwise("skip").alias("action"))
 
 
 @C.query(

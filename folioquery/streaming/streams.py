@@ -25,8 +25,10 @@ C = Catalog()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir, which all executors share; a local one where that is unset on a local master, as in tests."""
     top = spark.sparkContext.getCheckpointDir()
+    if top is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top}/stream-{uuid.uuid4().hex}" if top else tempfile.mkdtemp(prefix="spark-")
 
 

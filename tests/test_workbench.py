@@ -1,4 +1,7 @@
+from datetime import datetime
+
 import pytest
+from pyspark.sql import functions as F
 
 from folioquery.operators import operations as O
 from folioquery.operators import records as R
@@ -46,3 +49,18 @@ def test_unresolved_names_give_nothing(spark):
 def test_all_fourteen_causes_occur(spark):
     out = O.exception_causes(spark, "/root/testdata/sf0.001").select("root_cause").distinct().collect()
     assert len(out) == 14
+
+
+def test_entries_within_jobs(spark):
+    """Jobs of any length against a count of every pair, with entries that share a time and times that are null."""
+    minutes = [0, 0, 0, 59, 60, 61, 61, 359, 360, 1500, 1860]
+    log = spark.createDataFrame([(m, int(i % 3 == 0)) for i, m in enumerate(minutes)] + [(None, 1)], "m int, e int")
+    stamp = F.expr("timestampadd(MINUTE, m, TIMESTAMP '2026-01-01 00:00:00')")
+    summed = log.select(stamp.alias("ts"), "e").groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("errors"))
+    ends = [0, 1, 60, 61, 362, 1499, 1860, 5000]
+    out = O.entries_until(summed, spark.createDataFrame([(m,) for m in ends], "m int").select(stamp.alias("ts")))
+    got = {int((r["ts"] - datetime(2026, 1, 1)).total_seconds() // 60): (r["n"], r["errors"], r["n_here"]) for r in out.collect()}
+    assert set(got) == set(ends) | set(minutes)
+    for m, (n, errors, here) in got.items():
+        upto = [i for i, x in enumerate(minutes) if x <= m]
+        assert (n, errors, here) == (len(upto), sum(i % 3 == 0 for i in upto), minutes.count(m))
