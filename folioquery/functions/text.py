@@ -42,18 +42,26 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+_MARK, _OTHER = "\x01", "\x02"
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<found,start,end>> of all matches; the pattern must not match an empty string."""
+    """array<struct<found,start,end>> of all matches; the pattern must not match an empty string.
+
+    The pattern runs once: matches are set between marks, so that every second piece is one. A mark in the text itself counts as another control sign.
+    """
     kind = "array<struct<found:string,start:int,end:int>>"
-    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("before"))
+    odd = F.contains(text, F.lit(_MARK))
+    marked = F.regexp_replace(F.when(odd, F.replace(text, F.lit(_MARK), F.lit(_OTHER))).otherwise(text), pattern, f"{_MARK}$0{_MARK}")
 
     def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["before"])
-        end = start + F.length(x["found"])
-        one = F.array(F.struct(x["found"].alias("found"), start.alias("start"), end.alias("end")))
-        return F.when(x["found"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], one.cast(kind)).alias("out")))
+        end = done["at"] + F.length(x)
+        found = F.when(odd, F.substring(text, done["at"] + 1, F.length(x))).otherwise(x)
+        one = F.array(F.struct(found.alias("found"), done["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), (~done["inside"]).alias("inside"), F.when(done["inside"], F.concat(done["out"], one.cast(kind))).otherwise(done["out"]).alias("out"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda done: done["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(kind).alias("out"))
+    return F.aggregate(F.split(marked, _MARK, -1), begin, step, lambda done: done["out"])
 
 
 def first_at(text: Column, pattern: str) -> Column:
@@ -71,7 +79,7 @@ def looked_up(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, also where use has it inside another lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -91,11 +99,11 @@ def department(raw: Column) -> Column:
 
     def canonical(name: Column) -> Column:
         prefix = lambda fold: _first(F.filter(known, lambda d: F.startswith(fold, d["fold"]) | F.startswith(d["fold"], fold)))["name"]
-        found = _let(folded(name), lambda fold: F.coalesce(looked_up(fold, {_fold(d): d for d in V.DEPARTMENTS}), prefix(fold)))
+        found = let(folded(name), lambda fold: F.coalesce(looked_up(fold, {_fold(d): d for d in V.DEPARTMENTS}), prefix(fold)))
         other = F.when((F.upper(name) == name) & (F.lower(name) != name), F.initcap(name)).otherwise(name)
         return F.when(name == "", F.lit("")).otherwise(F.coalesce(found, other))
 
-    return _let(stripped(collapsed(name), r" \-–—,."), canonical)
+    return let(stripped(collapsed(name), r" \-–—,."), canonical)
 
 
 def is_department(name: Column) -> Column:

@@ -1,11 +1,12 @@
 """Field extraction: pages to candidates, candidates to one value for each field.
 
-A candidate is a row (doc_id, field, page, value, normalized, start, end, confidence, method, turn). All windows are by document
-(and field), so one shuffle by doc_id serves regions, agreement and ranking; patterns run JVM-side inside one projection a field.
+A candidate is a row (doc_id, field, page, value, normalized, start, end, confidence, method, turn, evidence). All windows are by document
+(and field), so one shuffle by doc_id serves regions, agreement and ranking; all patterns of all fields run in one projection over each page.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,113 +42,156 @@ def region_weight(field: str, where: Column) -> Column:
     return reduce(lambda c, rw: c.when(where == rw[0], rw[1]), V.REGION_WEIGHTS[field].items(), F.when(F.lit(False), 1.0))
 
 
-def _matches(pages: DataFrame, pattern: str, needle: str | None = None) -> DataFrame:
-    """A row for each match; needle is a text that every match holds, which spares the pattern on other pages."""
-    if needle is not None:
-        pages = pages.where(F.contains("text", F.lit(needle)))
-    found = pages.select("*", F.posexplode(T.spans(F.col("text"), pattern)).alias("turn", "m"))
-    return found.select("*", "m.found", "m.start", "m.end").drop("m")
+@dataclass
+class Rule:
+    """How matches of one kind become candidates; the columns are over a row of page, match (found, start, end) and region. A null normalized drops the match."""
 
+    field: str
+    spans: Column
+    normalized: Column
+    base: Column
+    method: Column
+    weighted: bool = True
+    value: Column | None = None
+    first_turn: int = 0
+
+
+def _spans(pattern: str, needle: str | None = None) -> Column:
+    """Matches on a page; needle is a cheap pattern that every match holds, which spares the other one on most pages."""
+    text = F.col("text")
+    return T.spans(text if needle is None else F.when(text.rlike(needle), text), pattern)
 
-def _candidates(rows: DataFrame, field: str, normalized: Column, base: Column, method: Column, weighted: bool = True, value: Column | None = None) -> DataFrame:
-    where = region(F.col("start"))
-    weight = page_weight(F.col("page")) * region_weight(field, where) if weighted else F.lit(1.0)
-    return rows.select(
-        "doc_id", F.lit(field).alias("field"), "page", F.trim("found" if value is None else value).alias("value"), normalized.alias("normalized"), "start", "end",
-        F.round(base * weight, 4).alias("confidence"), (F.concat_ws("@", method, where) if weighted else method).alias("method"), F.col("turn").cast("int").alias("turn"),
-        T.evidence(F.col("text"), F.col("start"), F.col("end")).alias("evidence"),
-    )
 
+def _part(rx: str, i: int) -> Column:
+    return F.regexp_extract("found", rx, i)
 
-def numbers(pages: DataFrame) -> DataFrame:
-    """Order numbers; a bare order number counts on a page only while the document has no candidate yet."""
-    part = lambda rx, i: F.regexp_extract("found", rx, i)
-    full = _matches(pages, V.GO_NUMBER)
-    raw = F.concat(part(V.GO_NUMBER, 1), part(V.GO_NUMBER, 2))
+
+def numbers() -> list[Rule]:
+    """Order numbers; a bare order number counts on a page only while the document has no candidate yet (open, see with_open_pages)."""
+    raw = F.concat(_part(V.GO_NUMBER, 1), _part(V.GO_NUMBER, 2))
     series = F.when(raw != "", F.coalesce(T.looked_up(F.upper(raw), V.SERIES), raw))
-    named = F.when(series.isNull(), F.concat(F.lit("G.O. No."), part(V.GO_NUMBER, 3))).otherwise(F.concat(F.lit("G.O.("), series, F.lit(") No."), part(V.GO_NUMBER, 3)))
-    strong = _candidates(full, "go_number", named, F.when(series.isNull(), 0.86).otherwise(0.98), F.when(series.isNull(), "GO_NUMBER_FULL").otherwise("GO_NUMBER_FULL+series"))
+    named = F.when(series.isNull(), F.concat(F.lit("G.O. No."), _part(V.GO_NUMBER, 3))).otherwise(F.concat(F.lit("G.O.("), series, F.lit(") No."), _part(V.GO_NUMBER, 3)))
+    loose = T.spans(F.when(F.col("open"), F.col("text")), V.ORDER_NUMBER)
+    return [
+        Rule("go_number", _spans(V.GO_NUMBER), named, F.when(series.isNull(), 0.86).otherwise(0.98), F.when(series.isNull(), "GO_NUMBER_FULL").otherwise("GO_NUMBER_FULL+series")),
+        Rule("go_number", loose, F.concat(F.lit("Order No."), _part(V.ORDER_NUMBER, 1)), F.lit(0.55), F.lit("ORDER_NUMBER_LOOSE")),
+    ]
+
+
+def with_open_pages(pages: DataFrame) -> DataFrame:
+    """pages with open: neither a full number up to this page nor a bare one before it."""
     so_far = Window.partitionBy("doc_id").orderBy("page")
     has = pages.withColumn("full", F.col("text").rlike(V.GO_NUMBER)).withColumn("loose", F.col("text").rlike(V.ORDER_NUMBER))
     has = has.withColumn("any_full", F.max("full").over(so_far)).withColumn("any_loose", F.max("loose").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
-    open_pages = has.where(~F.col("any_full") & ~F.coalesce("any_loose", F.lit(False))).drop("full", "loose", "any_full", "any_loose")
-    loose = _candidates(_matches(open_pages, V.ORDER_NUMBER), "go_number", F.concat(F.lit("Order No."), part(V.ORDER_NUMBER, 1)), F.lit(0.55), F.lit("ORDER_NUMBER_LOOSE"))
-    return strong.unionByName(loose)
+    return has.withColumn("open", ~F.col("any_full") & ~F.coalesce("any_loose", F.lit(False))).drop("full", "loose", "any_full", "any_loose")
 
 
-def dates(pages: DataFrame, as_of: str = AS_OF) -> DataFrame:
+def dates(as_of: str = AS_OF) -> list[Rule]:
     out = []
     for i, (name, rx, base) in enumerate(V.DATE_PATTERNS):
-        part = lambda n, rx=rx: F.regexp_extract("found", rx, n)
-        month = T.looked_up(F.lower(part(2)), V.MONTHS) if "TEXTUAL" in name else part(2).cast("int")
-        day = T.built_date(part(1).cast("int"), month, part(3).cast("int"))
-        rows = _matches(pages, rx).withColumn("day", day).where((F.col("day") <= F.lit(as_of).cast("date"))).withColumn("turn", F.col("turn") + 1000 * i)
-        out.append(_candidates(rows, "go_date", F.col("day").cast("string"), F.lit(base), F.lit(name)))
-    return reduce(DataFrame.unionByName, out)
-
-
-def departments(pages: DataFrame) -> DataFrame:
-    heading = _matches(pages, V.DEPARTMENT_HEADING, "DEPARTMENT").withColumn("name", T.department(F.regexp_extract("found", V.DEPARTMENT_HEADING, 1))).where("name <> ''")
-    inline = _matches(pages, V.DEPARTMENT_IN_ABSTRACT, "Department").withColumn("name", T.department(F.regexp_extract("found", V.DEPARTMENT_IN_ABSTRACT, 1)))
-    inline = inline.where(T.is_department(F.col("name"))).withColumn("turn", F.col("turn") + 1000)
+        month = T.looked_up(F.lower(_part(rx, 2)), V.MONTHS) if "TEXTUAL" in name else _part(rx, 2).cast("int")
+        day = T.built_date(_part(rx, 1).cast("int"), month, _part(rx, 3).cast("int"))
+        out.append(Rule("go_date", _spans(rx), F.when(day <= F.lit(as_of).cast("date"), day.cast("string")), F.lit(base), F.lit(name), first_turn=1000 * i))
+    return out
+
+
+def departments() -> list[Rule]:
+    name = F.col("normalized")
+    heading = F.nullif(T.department(_part(V.DEPARTMENT_HEADING, 1)), F.lit(""))
+    inline = T.let(T.department(_part(V.DEPARTMENT_IN_ABSTRACT, 1)), lambda n: F.when(T.is_department(n), n))
     shown = T.collapsed(F.col("found"))
-    one = _candidates(heading, "department", F.col("name"), F.when(T.is_department(F.col("name")), 0.98).otherwise(0.80), F.lit("DEPARTMENT_HEADING"), value=shown)
-    return one.unionByName(_candidates(inline, "department", F.col("name"), F.lit(0.90), F.lit("DEPARTMENT_IN_ABSTRACT"), value=shown))
+    return [
+        Rule("department", _spans(V.DEPARTMENT_HEADING, "DEPARTMENT"), heading, F.when(T.is_department(name), 0.98).otherwise(0.80), F.lit("DEPARTMENT_HEADING"), value=shown),
+        Rule("department", _spans(V.DEPARTMENT_IN_ABSTRACT, "Department"), inline, F.lit(0.90), F.lit("DEPARTMENT_IN_ABSTRACT"), value=shown, first_turn=1000),
+    ]
 
 
-def subjects(pages: DataFrame) -> DataFrame:
+def subjects() -> list[Rule]:
     """The abstract, or the paragraph that ends with the issuing formula; weighted by page alone."""
-    block = F.regexp_extract("text", V.ABSTRACT_BLOCK, 1)
-    body = T.stripped(T.collapsed(block))
-    text, tail_at = F.col("text"), T.first_at(F.col("text"), V.ORDERS_ISSUED)
-    tail_end = tail_at + F.length(F.regexp_extract("text", V.ORDERS_ISSUED, 0))
-    head = F.substring(text, F.lit(1), tail_at)
-    para = F.when(F.contains(head, F.lit("\n\n")), F.length(head) - F.length(F.substring_index(head, "\n\n", -1))).otherwise(0)
-    tail = T.stripped(T.collapsed(F.substring(text, para + 1, tail_end - para)))
-    rows = pages.withColumn("body", body).withColumn("tail", F.when(tail_at.isNotNull() & F.length(tail).between(15, 1200), tail))
-    rows = rows.withColumn("found", F.when(F.col("body") != "", F.col("body")).otherwise(F.col("tail"))).where("found is not null")
-    rows = rows.withColumn("start", F.when(F.col("body") != "", F.instr("text", block) - 1).otherwise(para)).withColumn("end", F.when(F.col("body") != "", F.col("start") + F.length(block)).otherwise(tail_end)).withColumn("turn", F.lit(0))
-    base = F.when(F.col("body") != "", 0.95).otherwise(0.72) * page_weight(F.col("page"))
-    return _candidates(rows, "subject", F.col("found"), base, F.when(F.col("body") != "", "ABSTRACT_BLOCK").otherwise("ORDERS_ISSUED_TAIL"), weighted=False)
-
-
-def budgets(pages: DataFrame) -> DataFrame:
-    amount = F.replace(F.regexp_extract("found", V.MONEY, 1), F.lit(","), F.lit("")).try_cast("double")
-    unit = F.lower(F.regexp_extract("found", V.MONEY, 2))
-    rows = _matches(pages, V.MONEY).withColumn("unit", unit).withColumn("total", amount * F.coalesce(T.looked_up(unit, V.UNITS), F.lit(1))).where("total > 0")
-    bonus = F.least(F.length(F.col("total").cast("decimal(38,0)").cast("string")) / 12.0, F.lit(0.25))
-    method = F.concat(F.lit("MONEY_NUMERIC"), F.when(F.col("unit") != "", F.concat(F.lit("+"), F.col("unit"))).otherwise(""))
-    return _candidates(rows, "budget", F.format_string("%.2f", "total"), F.least(0.70 + bonus, F.lit(0.95)), method, weighted=False)
+    text, none = F.col("text"), F.array().cast("array<struct<found:string,start:int,end:int>>")
+    cut = lambda found, start, end: F.array(F.struct(found.alias("found"), start.cast("int").alias("start"), end.cast("int").alias("end")))
+
+    def block(b: Column) -> Column:
+        at = F.position(b, text) - 1
+        return T.let(T.stripped(T.collapsed(b)), lambda body: F.when(body != "", cut(body, at, at + F.length(b))).otherwise(none))
+
+    def tail(at: Column) -> Column:
+        end = at + F.length(F.regexp_extract("text", V.ORDERS_ISSUED, 0))
+        head = F.substring(text, F.lit(1), at)
+        para = F.when(F.contains(head, F.lit("\n\n")), F.length(head) - F.length(F.substring_index(head, "\n\n", -1))).otherwise(0)
+        found = lambda p: T.let(T.stripped(T.collapsed(F.substring(text, p + 1, end - p))), lambda t: F.when(F.length(t).between(15, 1200), cut(t, p, end)))
+        return T.let(para, found)
+
+    abstract = T.let(F.regexp_extract("text", V.ABSTRACT_BLOCK, 1), block)
+    issued = F.when(F.size(abstract) == 0, T.let(T.first_at(text, V.ORDERS_ISSUED), lambda at: F.when(at.isNotNull(), tail(at))))
+    weighed = lambda base: F.lit(base) * page_weight(F.col("page"))
+    return [
+        Rule("subject", abstract, F.col("found"), weighed(0.95), F.lit("ABSTRACT_BLOCK"), weighted=False),
+        Rule("subject", issued, F.col("found"), weighed(0.72), F.lit("ORDERS_ISSUED_TAIL"), weighted=False),
+    ]
+
+
+def budgets() -> list[Rule]:
+    amount = F.replace(_part(V.MONEY, 1), F.lit(","), F.lit("")).try_cast("double")
+    unit = F.lower(_part(V.MONEY, 2))
+    total = amount * F.coalesce(T.looked_up(unit, V.UNITS), F.lit(1))
+    bonus = F.least(F.length(total.cast("decimal(38,0)").cast("string")) / 12.0, F.lit(0.25))
+    method = F.concat(F.lit("MONEY_NUMERIC"), F.when(unit != "", F.concat(F.lit("+"), unit)).otherwise(""))
+    shown = T.let(total, lambda t: F.when(t > 0, F.format_string("%.2f", t)))
+    return [Rule("budget", _spans(V.MONEY), shown, F.least(0.70 + bonus, F.lit(0.95)), method, weighted=False)]
 
 
 def _district_pattern() -> str:
     names = sorted([*V.DISTRICTS, *V.DISTRICT_ALIASES], key=len, reverse=True)
-    return rf"(?i)\b({'|'.join(names)})\b(\s+District)?"
+    first = "".join(sorted({n[0].lower() for n in names}))  # looked at before the names are tried one by one
+    return rf"(?i)\b(?=[{first}])({'|'.join(names)})\b(\s+District)?"
 
 
-def districts(pages: DataFrame) -> DataFrame:
-    """One candidate for each district, at its first mention; mentions and the word District add confidence."""
+def districts() -> list[Rule]:
+    """Mentions; at_first_mention makes one candidate of those of a district. Until then confidence is what the word District adds."""
     rx = _district_pattern()
-    rows = _matches(pages, rx).withColumn("name", T.district(F.regexp_extract("found", rx, 1))).where("name is not null")
-    by = Window.partitionBy("doc_id", "name")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("first", F.row_number().over(by.orderBy("page", "start"))).where("first = 1")
-    bonus = F.least((F.col("n") - 1) * 0.05, F.lit(0.15)) + F.when(F.regexp_extract("found", rx, 2) != "", 0.10).otherwise(0.0)
-    return _candidates(rows, "district", F.col("name"), F.least(0.70 + bonus, F.lit(0.95)), F.lit("DISTRICT_GAZETTEER"), weighted=False)
+    return [Rule("district", _spans(rx), T.district(_part(rx, 1)), F.when(_part(rx, 2) != "", 0.10).otherwise(0.0), F.lit("DISTRICT_GAZETTEER"), weighted=False)]
 
 
-def schemes(pages: DataFrame) -> DataFrame:
-    name = F.concat(F.regexp_extract("found", V.SCHEME, 1), F.regexp_extract("found", V.SCHEME, 2))
-    rows = _matches(pages, V.SCHEME).withColumn("name", F.regexp_replace(F.trim(name), r"(?i)^((?:the|under|of|and|for)\s+)+", "")).where(F.length("name") >= 6)
-    keyword = F.col("name").rlike(V.SCHEME_KEYWORD)
-    return _candidates(rows, "scheme_name", T.collapsed(F.col("name")), F.when(keyword, 0.80).otherwise(0.60), F.when(keyword, "SCHEME_NAME+keyword").otherwise("SCHEME_NAME+quoted"), weighted=False, value=F.col("name"))
+def at_first_mention(rows: DataFrame) -> DataFrame:
+    """One candidate for each district, at its first mention; mentions and the word District add confidence."""
+    by = Window.partitionBy("doc_id", "field", "normalized")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_first", F.row_number().over(by.orderBy("page", "start"))).where("field <> 'district' or _first = 1")
+    raised = F.round(F.least(0.70 + (F.least((F.col("_n") - 1) * 0.05, F.lit(0.15)) + F.col("confidence")), F.lit(0.95)), 4)
+    return rows.withColumn("confidence", F.when(F.col("field") == "district", raised).otherwise(F.col("confidence"))).drop("_n", "_first")
+
+
+def schemes() -> list[Rule]:
+    name = F.regexp_replace(F.trim(F.concat(_part(V.SCHEME, 1), _part(V.SCHEME, 2))), r"(?i)^((?:the|under|of|and|for)\s+)+", "")
+    keyword = name.rlike(V.SCHEME_KEYWORD)
+    shown = T.let(name, lambda n: F.when(F.length(n) >= 6, T.collapsed(n)))
+    return [Rule("scheme_name", _spans(V.SCHEME, V.SCHEME_SIGN), shown, F.when(keyword, 0.80).otherwise(0.60), F.when(keyword, "SCHEME_NAME+keyword").otherwise("SCHEME_NAME+quoted"), weighted=False, value=name)]
 
 
 EXTRACTORS = {"go_number": numbers, "go_date": dates, "department": departments, "subject": subjects, "budget": budgets, "district": districts, "scheme_name": schemes}
 
 
 def candidates(pages: DataFrame, fields: tuple[str, ...] = V.ALL_FIELDS) -> DataFrame:
-    known = with_regions(pages)
-    return reduce(DataFrame.unionByName, [EXTRACTORS[f](known) for f in fields])
+    """Candidates of the fields, from one pass over pages(doc_id, page, text)."""
+    rules = [r for f in fields for r in EXTRACTORS[f]()]
+    kind = "array<struct<rule:int,turn:int,found:string,start:int,end:int>>"
+
+    def tagged(k: int, rule: Rule) -> Column:
+        one = lambda m, i: F.struct(F.lit(k).alias("rule"), (i + rule.first_turn).alias("turn"), m["found"].alias("found"), m["start"].alias("start"), m["end"].alias("end"))
+        return F.coalesce(F.transform(rule.spans, one).cast(kind), F.array().cast(kind))
+
+    known = with_regions(with_open_pages(pages) if "go_number" in fields else pages)
+    rows = known.select("doc_id", "page", "text", "read_at", "order_at", "carried", F.inline(F.concat(*[tagged(k, r) for k, r in enumerate(rules)])))
+    by_rule = lambda of: reduce(lambda c, kr: c.when(F.col("rule") == kr[0], of(kr[1])), enumerate(rules), F.when(F.lit(False), None))
+    # an array of one, so that a dropped match leaves no row and nothing is computed twice for a filter
+    rows = rows.select("*", F.explode(F.filter(F.array(by_rule(lambda r: r.normalized)), lambda x: x.isNotNull())).alias("normalized")).withColumn("where", region(F.col("start")))
+    weight = lambda r: page_weight(F.col("page")) * region_weight(r.field, F.col("where")) if r.weighted else F.lit(1.0)
+    out = rows.select(
+        "doc_id", by_rule(lambda r: F.lit(r.field)).alias("field"), "page", F.trim(by_rule(lambda r: F.col("found") if r.value is None else r.value)).alias("value"), "normalized", "start", "end",
+        F.round(by_rule(lambda r: r.base * weight(r)), 4).alias("confidence"), by_rule(lambda r: F.concat_ws("@", r.method, "where") if r.weighted else r.method).alias("method"), "turn",
+        T.evidence(F.col("text"), F.col("start"), F.col("end")).alias("evidence"),
+    )
+    return at_first_mention(out) if "district" in fields else out
 
 
 def agreed(rows: DataFrame, confidence: str = "confidence", to: str = "confidence") -> DataFrame:
