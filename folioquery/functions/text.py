@@ -56,12 +56,13 @@ def spans(text: Column, pattern: str) -> Column:
 
     def step(done: Column, x: Column) -> Column:
         end = done["at"] + F.length(x)
-        found = F.when(odd, F.substring(text, done["at"] + 1, F.length(x))).otherwise(x)
-        one = F.array(F.struct(found.alias("found"), done["at"].alias("start"), end.alias("end")))
+        one = F.array(F.struct(x.alias("found"), done["at"].alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), (~done["inside"]).alias("inside"), F.when(done["inside"], F.concat(done["out"], one.cast(kind))).otherwise(done["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(kind).alias("out"))
-    return F.aggregate(F.split(marked, _MARK, -1), begin, step, lambda done: done["out"])
+    out = F.aggregate(F.split(marked, _MARK, -1), begin, step, lambda done: done["out"])
+    as_it_was = lambda m: F.struct(F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("found"), m["start"].alias("start"), m["end"].alias("end"))
+    return let(out, lambda ms: F.when(odd, F.transform(ms, as_it_was)).otherwise(ms))
 
 
 def first_at(text: Column, pattern: str) -> Column:

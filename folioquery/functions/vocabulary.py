@@ -72,7 +72,6 @@ SCHEME = (
     r"""(?:["'“‘])([A-Z][^"'”’\n]{5,90}?)(?:["'”’])|\b((?:[A-Z][A-Za-z'’.\-]*|of|and|for|the)"""
     r"""(?:\s+(?:[A-Z][A-Za-z'’.\-]*|of|and|for|the)){0,5}\s+(?:Scheme|Thittam|Mission|Yojana|Programme|Project))\b"""
 )
-SCHEME_SIGN = r"""["'“‘]|Scheme|Thittam|Mission|Yojana|Programme|Project"""
 SCHEME_KEYWORD = r"(?i)\b(Scheme|Thittam|Mission|Yojana|Programme|Project)\b"
 READ_MARKER = r"(?im)^[ \t]*Read\s*[:\-]"
 ORDER_MARKER = r"(?m)^[ \t]*ORDER\s*[:\-]"

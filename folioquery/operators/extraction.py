@@ -57,9 +57,9 @@ class Rule:
 
 
 def _spans(pattern: str, needle: str | None = None) -> Column:
-    """Matches on a page; needle is a cheap pattern that every match holds, which spares the other one on most pages."""
-    text = F.col("text")
-    return T.spans(text if needle is None else F.when(text.rlike(needle), text), pattern)
+    """Matches on a page; needle is a text that every match holds, which spares the pattern on other pages."""
+    found = T.spans(F.col("text"), pattern)
+    return found if needle is None else F.when(F.contains("text", F.lit(needle)), found)
 
 
 def _part(rx: str, i: int) -> Column:
@@ -165,7 +165,7 @@ def schemes() -> list[Rule]:
     name = F.regexp_replace(F.trim(F.concat(_part(V.SCHEME, 1), _part(V.SCHEME, 2))), r"(?i)^((?:the|under|of|and|for)\s+)+", "")
     keyword = name.rlike(V.SCHEME_KEYWORD)
     shown = T.let(name, lambda n: F.when(F.length(n) >= 6, T.collapsed(n)))
-    return [Rule("scheme_name", _spans(V.SCHEME, V.SCHEME_SIGN), shown, F.when(keyword, 0.80).otherwise(0.60), F.when(keyword, "SCHEME_NAME+keyword").otherwise("SCHEME_NAME+quoted"), weighted=False, value=name)]
+    return [Rule("scheme_name", _spans(V.SCHEME), shown, F.when(keyword, 0.80).otherwise(0.60), F.when(keyword, "SCHEME_NAME+keyword").otherwise("SCHEME_NAME+quoted"), weighted=False, value=name)]
 
 
 EXTRACTORS = {"go_number": numbers, "go_date": dates, "department": departments, "subject": subjects, "budget": budgets, "district": districts, "scheme_name": schemes}

@@ -45,6 +45,8 @@ def test_tail_paragraph_without_abstract(spark):
 def test_spans_and_departments(spark):
     row = spark.range(1).select(T.spans(F.lit("ab12cd3ü45"), "[0-9]+").alias("s")).first()["s"]
     assert [tuple(x) for x in row] == [("12", 2, 4), ("3", 6, 7), ("45", 8, 10)]
+    row = spark.range(1).select(T.spans(F.lit("\x01a\x01b\x02c7"), "[a-z\x01]+|7").alias("s")).first()["s"]
+    assert [tuple(x) for x in row] == [("a", 1, 2), ("b", 3, 4), ("c", 5, 6), ("7", 6, 7)]
     cases = {"PUBLIC WORKS": "Public Works", "PUBLIC": "Public", "ENERGY (A-1) DEPARTMENT": "Energy", "SPACE AFFAIRS": "Space Affairs", " - ": "", "Finance & more": "Finance"}
     df = spark.createDataFrame(list(cases.items()), "raw string, want string")
     assert all(r["want"] == r["got"] for r in df.select("want", T.department(F.col("raw")).alias("got")).collect())
