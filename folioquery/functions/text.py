@@ -72,7 +72,7 @@ def first_at(text: Column, pattern: str) -> Column:
 
 def evidence(text: Column, start: Column, end: Column, window: int = 120) -> Column:
     left = F.greatest(start - window // 2, F.lit(0))
-    return collapsed(F.trim(F.substring(text, left + 1, F.least(end + window, F.length(text)) - left)))
+    return F.trim(collapsed(F.substring(text, left + 1, F.least(end + window, F.length(text)) - left)))
 
 
 def looked_up(key: Column, table: dict) -> Column:

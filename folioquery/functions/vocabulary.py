@@ -75,7 +75,7 @@ SCHEME = (
 SCHEME_KEYWORD = r"(?i)\b(Scheme|Thittam|Mission|Yojana|Programme|Project)\b"
 READ_MARKER = r"(?im)^[ \t]*Read\s*[:\-]"
 ORDER_MARKER = r"(?m)^[ \t]*ORDER\s*[:\-]"
-TABLE_LINE = r"(?:\S+(?:[ \t]{2,}|\t))(?:\S+(?:[ \t]{2,}|\t)){1,}\S+"
+TABLE_LINE = r"\S(?:[ \t]{2,}|\t)\S+(?:[ \t]{2,}|\t)\S"
 PDF_HANDLER = r"(?i)(?:download|viewfile|getfile|fileview|attachment|/go/|documents?)"
 ORDER_WORD = r"(?i)\b(?:g\.?o\.?|order|ms\.?\s*no|நிர்வாக|ஆணை)\b"
 PAGINATION = r"(?i)(?:[?&](?:page|pageno|start|offset)=\d+)"

@@ -14,6 +14,7 @@ from ..functions import vocabulary as V
 from ..functions import web as W
 from ..sources.tables import load, picked
 from .records import zero_filled
+from .web import BLOCKED, SUFFIXES
 
 C = Catalog()
 STAGES = ("DISCOVERED", "ACTIVE", "CERTIFIED", "PUBLISHED", "RETIRED")
@@ -228,16 +229,47 @@ def certification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zero_filled(counts, "status", CERTIFICATION)
 
 
+def certified(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """(source, result) of sources(source, address, host) and runs(source, run, code, size, links, files, ok).
+
+    The newest run tells whether a source answers, leads to documents and lets them be loaded; its host must be approved and be the one registered.
+    It is steady if the newest two runs differ in size by half at most and, of three runs or more, four fifths of the last five went well.
+    Without an answer, a good host or links it fails; with all five it is certified, else in part.
+    """
+    by = Window.partitionBy("source").orderBy(F.desc("run"))
+    last = runs.withColumn("place", F.row_number().over(by)).where("place <= 5")
+    at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    seen = last.groupBy("source").agg(
+        at(1, "code").alias("code"), at(1, "links").alias("links"), at(1, "files").alias("files"), at(1, "size").alias("a"), at(2, "size").alias("b"), F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("rate")
+    )
+    rows = sources.join(seen, "source", "left")
+    authentic = W.approved(F.col("address"), SUFFIXES, BLOCKED) & W.host(F.col("address")).eqNullSafe(F.col("host"))
+    must = (F.coalesce("code", F.lit(0)) == 200) & authentic & (F.coalesce("links", F.lit(0)) > 0)
+    size, before = F.coalesce("a", F.lit(0)), F.coalesce("b", "a", F.lit(0))
+    steady = (F.abs(size - before) / F.greatest(size, before, F.lit(1)) <= 0.5) & F.coalesce((F.col("n") < 3) | (F.col("rate") >= 0.8), F.lit(True))
+    return rows.select("source", F.when(~must, "FAILED").when((F.coalesce("files", F.lit(0)) > 0) & steady, "CERTIFIED").otherwise("PARTIALLY_CERTIFIED").alias("result"))
+
+
+_RUNS = """runs AS (SELECT o_custkey AS source, o_orderkey AS run, CASE WHEN o_orderstatus = 'P' THEN 503 ELSE 200 END AS code, CAST(floor(o_totalprice) AS BIGINT) AS size, coalesce(n, 0) AS links, coalesce(files, 0) AS files, o_orderpriority <> '5-LOW' AS ok
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS files FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
+
+
 @C.query(
-    """WITH c AS (SELECT s_suppkey AS id, s_suppkey % 7 <> 0 AS connects, s_suppkey % 11 <> 0 AS authentic, s_suppkey % 5 <> 0 AS discovers, s_suppkey % 3 <> 0 AS downloads, abs(s_suppkey % 20 - 10) / greatest(s_suppkey % 20, 10, 1) <= 0.5 AS steady FROM supplier)
-SELECT id, CASE WHEN NOT (connects AND authentic AND discovers) THEN 'FAILED' WHEN downloads AND steady THEN 'CERTIFIED' ELSE 'PARTIALLY_CERTIFIED' END AS result FROM c"""
+    f"""WITH {_RUNS}, s AS (SELECT c_custkey AS source, CASE c_nationkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN c_custkey % 10 <> 0 ELSE c_custkey % 2 = 0 END AS authentic FROM customer),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run DESC) AS place FROM runs),
+h AS (SELECT source, avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate, count(*) AS n FROM p WHERE place <= 5 GROUP BY source)
+SELECT s.source, CASE WHEN NOT authentic OR coalesce(a.code, 0) <> 200 OR coalesce(a.links, 0) = 0 THEN 'FAILED' WHEN a.files > 0 AND abs(a.size - coalesce(b.size, a.size)) / greatest(a.size, coalesce(b.size, a.size), 1) <= 0.5 AND (h.n < 3 OR h.rate >= 0.8) THEN 'CERTIFIED' ELSE 'PARTIALLY_CERTIFIED' END AS result
+FROM s LEFT JOIN p a ON a.source = s.source AND a.place = 1 LEFT JOIN p b ON b.source = s.source AND b.place = 2 LEFT JOIN h ON h.source = s.source"""
 )
 def source_certification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five checks: without the first three it fails, with all it is certified, else in part. Drift is the change of size between two fetches."""
-    k = F.col("s_suppkey")
-    drift = F.abs(k % 20 - 10) / F.greatest(k % 20, F.lit(10), F.lit(1))
-    must, rest = (k % 7 != 0) & (k % 11 != 0) & (k % 5 != 0), (k % 3 != 0) & (drift <= 0.5)
-    return load(spark, sf_dir, "supplier").select(k.alias("id"), F.when(~must, "FAILED").when(rest, "CERTIFIED").otherwise("PARTIALLY_CERTIFIED").alias("result"))
+    """Customers as sources and their orders as runs: items are links, shipped ones files; some addresses are blocked, unknown, or not the registered ones."""
+    item = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("l_linestatus") == "F").alias("files"))
+    code = F.when(F.col("o_orderstatus") == "P", 503).otherwise(200)
+    runs = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("source"), code.alias("code"), F.floor("o_totalprice").alias("size"), (F.col("o_orderpriority") != "5-LOW").alias("ok")).join(item, "run", "left")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    address = F.when(n % 4 == 0, "HTTPS://a.Example.com/x").when(n % 4 == 1, "https://news.example.com/").when(n % 4 == 2, "http://example.org").when(k % 2 == 0, "http://me@b.example.org:80/").otherwise("https://example.org.bad.net/")
+    host = F.when(n % 4 == 0, "a.example.com").when(n % 4 == 1, "news.example.com").when(n % 4 == 2, F.when(k % 10 == 0, "old.example.org").otherwise("example.org")).when(k % 2 == 0, "b.example.org").otherwise("example.org.bad.net")
+    return certified(load(spark, sf_dir, "customer").select(k.alias("source"), address.alias("address"), host.alias("host")), runs)
 
 
 @C.query(
@@ -383,7 +415,8 @@ def department_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.query(
     """WITH a AS (SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) AS n, sum(value) AS bytes FROM events)
 SELECT 'source_down' AS type, errors AS n FROM a WHERE errors > 0 UNION ALL SELECT 'certification_failure', (SELECT count(*) FROM labels WHERE quality = 0) FROM a WHERE (SELECT count(*) FROM labels WHERE quality = 0) > 0
-UNION ALL SELECT 'storage_threshold', CAST(round(bytes) AS BIGINT) FROM a WHERE bytes > 1000"""
+UNION ALL SELECT 'storage_threshold', CAST(round(bytes) AS BIGINT) FROM a WHERE bytes > 1000
+UNION ALL SELECT 'ocr_failure', count(*) FROM documents WHERE length(text) < 80 AND NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'ocr') HAVING count(*) > 0"""
 )
 def system_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each condition that holds."""
@@ -391,7 +424,10 @@ def system_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     down = events.agg(F.count_if(F.col("event_type") == "error").alias("n")).select(F.lit("source_down").alias("type"), "n").where("n > 0")
     failed = load(spark, sf_dir, "labels").agg(F.count_if(F.col("quality") == 0).alias("n")).select(F.lit("certification_failure").alias("type"), "n").where("n > 0")
     full = events.agg(F.sum("value").alias("bytes")).where("bytes > 1000").select(F.lit("storage_threshold").alias("type"), F.round("bytes").cast("bigint").alias("n"))
-    return down.unionByName(failed).unionByName(full)
+    ran = events.where("event_type = 'ocr'").agg(F.count(F.lit(1)).alias("ran"))
+    waiting = load(spark, sf_dir, "documents").where("length(text) < 80").agg(F.count(F.lit(1)).alias("n"))
+    unread = waiting.crossJoin(F.broadcast(ran)).where("n > 0 and ran = 0").select(F.lit("ocr_failure").alias("type"), "n")  # one row each
+    return down.unionByName(failed).unionByName(full).unionByName(unread)
 
 
 _CLONES = """have AS (SELECT s_name AS name FROM supplier UNION SELECT s_name || ' (clone)' FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT s_name || ' (clone 2)' FROM supplier WHERE s_suppkey % 4 = 0 UNION SELECT s_name || ' (clone 4)' FROM supplier WHERE s_suppkey % 4 = 0)"""

@@ -159,7 +159,10 @@ def script_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_flags(pages: DataFrame, mention: str = r"(?i)\bANNEXURE\b") -> DataFrame:
-    """Whether a document is heavy on annexures (over 5 pages, or 2 mentions) or on tables (6 lines of 3 columns)."""
+    """Whether a document is heavy on annexures (over 5 pages, or 2 mentions) or on tables (6 lines of 3 columns).
+
+    The pattern of such lines looks only at the edges of columns, so a line of any length without gaps is read once.
+    """
     mentions = F.sum(F.size(F.regexp_extract_all("text", F.lit(mention), F.lit(0))))
     lines = F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(V.TABLE_LINE))))
     return pages.groupBy("doc_id").agg(((F.count(F.lit(1)) > 5) | (mentions >= 2)).alias("annexure_heavy"), (lines >= 6).alias("table_heavy"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +10,7 @@ from ..catalog import Catalog
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..sources.tables import load, picked
+from ..streaming.streams import shared_folder
 from .operations import _SCOPE, _SUPPLY, scope, sources
 
 C = Catalog()
@@ -119,8 +117,7 @@ def merged_annotations(names: DataFrame, existing: DataFrame, supplied: DataFram
 )
 def annotation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An existing file merged with supplied values, written as CSV and read again."""
-    top = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    folder, name, key = f"{top}/annotations-{uuid.uuid4().hex}", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.col("doc_id").cast("string")
+    folder, name, key = shared_folder(spark), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.col("doc_id").cast("string")
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang")
     write = lambda rows, part: rows.write.option("header", True).option("escape", '"').csv(f"{folder}/{part}")
     write(docs.where("doc_id % 5 = 0").select(name, F.concat(F.lit(" old "), key).alias("go_number"), F.col("lang").alias("subject")), "existing")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import Query
-from .operators import constraints, extraction, governance, operations, quality, records, review, web, workbench
+from .operators import administration, constraints, extraction, governance, operations, quality, records, review, web, workbench
 from .plans import runs
 from .streaming import streams
 
-MODULES = (extraction, records, review, quality, web, operations, governance, constraints, workbench, runs, streams)
+MODULES = (extraction, records, review, quality, web, operations, governance, constraints, workbench, administration, runs, streams)
 
 
 def entry(spark: SparkSession) -> DataFrame:
