@@ -165,7 +165,7 @@ def values_match(field: Column, expected: Column, actual: Column) -> Column:
 
 
 def script_counts(text: Column, first: str, second: str = "A-Za-z") -> tuple[Column, Column]:
-    count = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]", "")).cast("bigint")
+    count = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("bigint")
     return count(first), count(second)
 
 

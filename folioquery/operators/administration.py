@@ -14,10 +14,11 @@ from ..catalog import Catalog
 from ..functions import text as T
 from ..functions import vocabulary as V
 from ..sources.tables import load, order_facts, order_pages, picked
+from ..streaming.streams import shared_folder
 from . import extraction
 from .extraction import FACTS
-from .operations import _SCOPE, STAGES, scope
-from .records import category_flags
+from .operations import _SCOPE, STAGES, scope, with_now
+from .records import category_flags, stored
 from .review import FIELDS, fields
 from .web import anchors, counters, links, listing_rows
 from .workbench import _bucket
@@ -477,4 +478,92 @@ def certification_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("source"), F.col("event_id").alias("run"), F.col("event_type").alias("result"), place.alias("place")).where("place <= 20")
 
 
+# what is written once
+
+
+def store_once(offered: DataFrame, folder: str) -> DataFrame:
+    """Write the contents of offered(sha256, size) that folder(sha256, size) lacks; what was offered, written, there before, and there with another size."""
+    spark = offered.sparkSession
+    distinct = offered.groupBy("sha256").agg(F.max("size").alias("size"))
+    have = spark.read.schema("sha256 string, size bigint").parquet(folder).withColumnRenamed("size", "held")
+    met = distinct.join(have, "sha256", "left")
+    new = met.where("held IS NULL").agg(F.count(F.lit(1)).alias("n_written"))
+    counts = met.agg(F.count("held").alias("n_held"), F.count_if(F.col("held") != F.col("size")).alias("n_mismatch")).crossJoin(new)  # one row each
+    report = counts.crossJoin(offered.agg(F.count(F.lit(1)).alias("n_offered")))
+    kept = spark.createDataFrame(report.select("n_offered", "n_written", "n_held", "n_mismatch").collect(), "n_offered bigint, n_written bigint, n_held bigint, n_mismatch bigint")  # one row, taken before the folder changes
+    met.where("held IS NULL").select("sha256", "size").write.mode("append").parquet(folder)
+    return kept
+
+
+@C.query(
+    """WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), a AS (SELECT DISTINCT sha256 FROM h WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT sha256 FROM h)
+SELECT 1 AS pass, (SELECT count(*) FROM h WHERE doc_id % 2 = 0) AS n_offered, (SELECT count(*) FROM a) AS n_written, 0 AS n_held, 0 AS n_mismatch
+UNION ALL SELECT 2, (SELECT count(*) FROM h), (SELECT count(*) FROM b) - (SELECT count(*) FROM a), (SELECT count(*) FROM a), 0 UNION ALL SELECT 3, (SELECT count(*) FROM h), 0, (SELECT count(*) FROM b), 0"""
+)
+def write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored by content in three passes: half of them, all, and all again."""
+    offered, folder = stored(load(spark, sf_dir, "documents")), shared_folder(spark) + "/store"
+    spark.createDataFrame([], "sha256 string, size bigint").write.parquet(folder)
+    parts = [offered.where("doc_id % 2 = 0"), offered, offered]
+    return _union([store_once(rows, folder).select(F.lit(i).alias("pass"), "*") for i, rows in enumerate(parts, 1)])
+
+
+def persist(rows: DataFrame, folder: str, version: str) -> None:
+    """Extraction results of one version, in place of those that the version left before; other versions stay."""
+    rows.withColumn("version", F.lit(version)).write.partitionBy("version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+
+
+@C.query(f"WITH {FACTS} SELECT version, count(*) AS n, count(DISTINCT doc_id) AS n_documents, CAST(sum(CASE WHEN won THEN 1 ELSE 0 END) AS BIGINT) AS n_won FROM (SELECT doc_id, 'v1' AS version, true AS won FROM facts UNION ALL SELECT doc_id, 'v2', true FROM facts UNION ALL SELECT doc_id, 'v2', false FROM facts WHERE form <> 3) GROUP BY version")
+def persisted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners of a first version, then winners and losers of a second that is run twice."""
+    ranked = extraction.ranked(extraction.candidates(order_pages(order_facts(spark, sf_dir)), ("go_number",)))
+    kept = ranked.select("doc_id", "field", "normalized", (F.col("place") == 1).alias("won"))
+    folder = shared_folder(spark) + "/candidates"
+    persist(kept.where("won"), folder, "v1")
+    for _ in range(2):
+        persist(kept, folder, "v2")
+    rows = spark.read.parquet(folder).groupBy("version")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_documents"), F.sum(F.col("won").cast("bigint")).alias("n_won"))
+
+
+@C.query(
+    f"""WITH {FACTS} SELECT doc_id, ['go_number', 'go_date', 'budget', 'district', 'subject', 'department'][doc_id % 6 + 1] AS field, doc_id % 4 <> 0 AS matched FROM facts"""
+)
+def field_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of each order as annotated and as written otherwise; every fourth is another value."""
+    k, n = F.col("doc_id"), F.col("number").cast("string")
+    other = k % 4 == 0
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    plain = lambda c: c.cast("bigint").cast("string")
+    after = F.when(F.col("district") == "Chennai", "Theni").otherwise("Chennai")
+    pairs = {  # field: (expected, the same otherwise, another)
+        "go_number": (text("G.O.(Ms) No.", n), text("G.O. Ms No. ", n), text("G.O.(Rt) No.", n)),
+        "go_date": (F.date_format("dated", "dd.MM.yyyy"), F.col("dated").cast("string"), F.date_add("dated", 1).cast("string")),
+        "budget": (text("Rs.", plain(F.col("amount")), " lakh"), plain(F.col("amount") * 100000), plain(F.col("amount") * 100000 + 2)),
+        "district": (text(F.upper("district"), " "), F.col("district"), after),
+        "subject": (text("Works of ", F.col("district"), " - ", n), text("Finance - Works of ", F.col("district"), " - ", n, " - Orders"), text("Roads of ", F.col("district"), " - ", n)),
+        "department": (F.upper("department"), text(F.col("department"), "."), text(F.col("department"), " Works")),
+    }
+    rows = order_facts(spark, sf_dir).withColumn("field", picked(tuple(pairs), k))
+    chosen = lambda i: reduce(lambda c, fp: c.when(F.col("field") == fp[0], fp[1][i]), pairs.items(), F.when(F.lit(False), ""))
+    rows = rows.select(k, "field", chosen(0).alias("expected"), F.when(other, chosen(2)).otherwise(chosen(1)).alias("actual"))
+    return rows.select(k, "field", T.values_match(F.col("field"), F.col("expected"), F.col("actual")).alias("matched"))
+
+
+_LOGS = ("crawl", "download", "extraction", "sync", "certification")
+
+
+@C.query(
+    f"""WITH now AS (SELECT max(ts) AS now FROM events), l AS (SELECT unnest({list(_LOGS)}) AS log), f AS (SELECT {list(_LOGS)}[event_id % 6 + 1] AS log, ts FROM events WHERE event_type = 'error' AND event_id % 6 < 5)
+SELECT l.log, count(*) FILTER (ts >= date_trunc('day', now)) AS today, count(*) FILTER (ts >= now - INTERVAL 7 DAY) AS week, count(*) FILTER (ts >= now - INTERVAL 30 DAY) AS month FROM l CROSS JOIN now LEFT JOIN f ON f.log = l.log GROUP BY l.log"""
+)
+def failure_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of five logs today, in 7 and in 30 days; a log without any has a row too."""
+    events = load(spark, sf_dir, "events")
+    failed = events.where("event_type = 'error' and event_id % 6 < 5").select(picked((*_LOGS, ""), F.col("event_id")).alias("log"), "ts")
+    every = spark.createDataFrame([(x,) for x in _LOGS], "log string")
+    since = lambda n: F.count_if(F.col("ts") >= F.col("now") - F.expr(f"INTERVAL {n} DAY"))
+    return with_now(every.join(failed, "log", "left"), events).groupBy("log").agg(F.count_if(F.to_date("ts") >= F.to_date("now")).alias("today"), since(7).alias("week"), since(30).alias("month"))
+
+
 QUERIES, ORACLE_SQL = C.queries, C.oracle_sql

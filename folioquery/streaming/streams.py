@@ -1,7 +1,7 @@
 """Incremental operators as Structured Streaming queries.
 
 Each runs over a file source until it has read what is there (availableNow), with its checkpoint and output in the shared folder, and
-returns what it wrote. The results equal those of the batch SQL over the same rows, in whatever order files come: there are no watermarks,
+returns what it wrote; given the folder of an earlier run it reads on from there. The results equal those of the batch SQL over the same rows, in whatever order files come: there are no watermarks,
 as one would drop the rows of a file older than those before it. So state holds a row for each key, window or session of the whole input.
 """
 
@@ -40,13 +40,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+def finished(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
     """Run to the end of the input. In update mode the last row of each key counts; complete mode rewrites all.
 
-    Each batch writes a folder of its own anew, so one that is run again after a failure adds nothing twice.
+    Each batch writes a folder of its own anew, so one that is run again after a failure adds nothing twice. A folder that an earlier
+    run used, in the shared storage, is gone on with: only files that are new are read, and the result holds those of before too.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/_batch={number if mode != 'complete' else 0}")
@@ -62,34 +63,34 @@ def finished(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()
 
 
 @C.query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_daily_counts(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Tumbling days."""
     rows = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    out = finished(rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), "update", ("day", "event_type"))
+    out = finished(rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), "update", ("day", "event_type"), folder=folder)
     return out.withColumn("total", F.round("total", 4))
 
 
 @C.query(
     "WITH w AS (SELECT event_id, user_id, unnest(generate_series(CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 6 DAY, CAST(date_trunc('day', ts) AS TIMESTAMP), INTERVAL 1 DAY)) AS start FROM events WHERE event_type = 'error') SELECT strftime(start, '%Y-%m-%d') AS start, count(*) AS n FROM w GROUP BY 1"
 )
-def stream_rolling_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_rolling_failures(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Failures in windows of seven days, one a day."""
     rows = event_stream(spark, sf_dir).where("event_type = 'error'").groupBy(F.window("ts", "7 days", "1 day", "0 days")).agg(F.count(F.lit(1)).alias("n"))
-    return finished(rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "n"), "update", ("start",))
+    return finished(rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "n"), "update", ("start",), folder=folder)
 
 
 @C.query("SELECT user_id, event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS times FROM events GROUP BY user_id, event_type")
-def stream_upsert_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_upsert_seen(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Insert on first sight, afterwards only the last sight moves."""
     rows = event_stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count(F.lit(1)).alias("times"))
-    return finished(rows, "update", ("user_id", "event_type"))
+    return finished(rows, "update", ("user_id", "event_type"), folder=folder)
 
 
 @C.query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
-def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_first_seen(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Each key once; state holds the keys seen."""
     rows = event_stream(spark, sf_dir).dropDuplicates(["user_id", "event_type"])
-    return finished(rows.select("user_id", "event_type"))
+    return finished(rows.select("user_id", "event_type"), folder=folder)
 
 
 #: Spark also joins an entry that comes just at the end of the gap.
@@ -100,10 +101,10 @@ _UNDER_6_HOURS = "5 hours 59 minutes 59 seconds 999 milliseconds 999 microsecond
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, session"""
 )
-def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_sessions(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Sessions that end after six hours without an entry."""
     rows = event_stream(spark, sf_dir).groupBy(F.session_window("ts", _UNDER_6_HOURS), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"))
-    return finished(rows.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n"), "complete")
+    return finished(rows.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n"), "complete", folder=folder)
 
 
 _STATES = {"view": "new", "click": "downloaded", "signup": "parsed", "purchase": "verified", "error": "rejected"}
@@ -127,30 +128,30 @@ def status_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     f"""WITH s AS (SELECT user_id, event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES.items())} END AS status FROM events),
 l AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM s) SELECT user_id, event_id, before, status FROM l WHERE before IS NULL OR before <> status"""
 )
-def stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_status_changes(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """A status machine for each key; setting the status that holds changes nothing. The stream takes the entries in, and changes are found over all of them,
     as a file may hold entries older than those of files before it."""
     status = F.create_map(*[F.lit(x) for pair in _STATES.items() for x in pair])[F.col("event_type")]
-    rows = finished(event_stream(spark, sf_dir).select("user_id", "event_id", status.alias("status")))
+    rows = finished(event_stream(spark, sf_dir).select("user_id", "event_id", status.alias("status")), folder=folder)
     before = F.lag("status").over(Window.partitionBy("user_id").orderBy(F.col("event_id").asc_nulls_last()))
     return rows.withColumn("before", before).where("before IS NULL OR before <> status").select("user_id", "event_id", "before", "status")
 
 
 @C.query("SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 0)")
-def stream_pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_pending_work(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """New entries without a record yet: the stream anti-joins a table."""
     done = load(spark, sf_dir, "customer").where("c_nationkey = 0").select(F.col("c_custkey").alias("user_id"))
     rows = event_stream(spark, sf_dir).where("event_type = 'click'").join(done, "user_id", "left_anti")
-    return finished(rows.select("event_id", "user_id"))
+    return finished(rows.select("event_id", "user_id"), folder=folder)
 
 
 @C.query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 9 = 0 AS failed FROM events")
-def stream_failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_failure_isolation(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """A bad item is marked and never stops the batch: what cannot be read becomes null."""
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     broken = F.when(F.col("event_id") % 9 == 0, F.lit("{")).otherwise(F.col("props"))
     rows = event_stream(spark, sf_dir).withColumn("failed", F.get_json_object(broken, "$.k").isNull())
-    return finished(rows.select("event_id", k.alias("k"), "failed"))
+    return finished(rows.select("event_id", k.alias("k"), "failed"), folder=folder)
 
 
 def upserted(target: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:

@@ -94,3 +94,20 @@ def test_status_changes_of_files_in_no_order(spark, shuffled):
         now[user] = names[kind]
     out = streams.stream_status_changes(spark, shuffled[0]).collect()
     assert sorted(map(tuple, out), key=lambda x: x[1]) == sorted(want, key=lambda x: x[1])
+
+
+def test_a_second_run_goes_on_from_the_first(spark, shuffled, tmp_path):
+    """Of 24 files, 15 are there at the first run; the second reads the other nine alone and gives what one run over all gives."""
+    names = sorted(os.listdir(f"{shuffled[0]}/events.parquet"), key=lambda n: os.path.getmtime(f"{shuffled[0]}/events.parquet/{n}"))
+    names, part = [n for n in names if n.endswith(".parquet") and not n.startswith(".")], tmp_path / "part"
+    os.makedirs(part / "events.parquet")
+    jobs = (streams.stream_daily_counts, streams.stream_first_seen, streams.stream_sessions, streams.stream_status_changes)
+    for n in names[:15]:
+        os.link(f"{shuffled[0]}/events.parquet/{n}", part / "events.parquet" / n)
+    first = {f.__name__: collected(f(spark, str(part), str(tmp_path / f.__name__))) for f in jobs}
+    for n in names[15:]:
+        os.link(f"{shuffled[0]}/events.parquet/{n}", part / "events.parquet" / n)
+    for f in jobs:
+        again = collected(f(spark, str(part), str(tmp_path / f.__name__)))
+        assert again == collected(f(spark, shuffled[0])) != first[f.__name__]
+        assert collected(f(spark, str(part), str(tmp_path / f.__name__))) == again  # nothing new, nothing twice
