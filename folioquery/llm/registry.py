@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, embedding_dedup, exact_dedup, importance_sampling, minhash_dedup, secret_scan, sentence_pieces, substring_dedup, token_shards, toxicity, url_filter
+from . import chat_format, decontamination, embedding_dedup, exact_dedup, importance_sampling, minhash_dedup, secret_scan, sentence_pieces, spelling_variants, substring_dedup, token_shards, toxicity, url_filter
 
-MODULES = (embedding_dedup, toxicity, chat_format, decontamination, substring_dedup, sentence_pieces, secret_scan, token_shards, minhash_dedup, url_filter, importance_sampling, exact_dedup)
+MODULES = (embedding_dedup, toxicity, chat_format, decontamination, substring_dedup, sentence_pieces, secret_scan, token_shards, minhash_dedup, url_filter, spelling_variants, importance_sampling, exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
