@@ -24,8 +24,9 @@ _NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240521)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: 64 random bits for each byte at each of the first places of a word; later places are hashed with the byte.
+_PLACES = 64
+_BYTE_AT = _rng.integers(0, 2**64, _PLACES * 256, dtype=np.uint64)
 _STEP = 0xD6E8FEB86659FD93
 
 
@@ -123,11 +124,20 @@ def words_of(texts: pa.Array, lower: bool = False, letters: bool = False) -> Wor
 
 
 def run_hashes(data: np.ndarray, start: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; the runs tile data."""
-    power = np.concatenate([np.ones(1, np.uint64), np.full(int(long.max()) - 1, _BASE)]).cumprod(dtype=np.uint64)
-    short = np.int32 if len(data) < 1 << 31 else np.int64
-    values = _BYTE[data] * power[np.arange(len(data), dtype=short) - np.repeat(start.astype(short), long)]
-    return mix(np.add.reduceat(values, start))
+    """A 64-bit hash of each run of bytes; the runs tile data.
+
+    A sum of random numbers, one for each byte at its place, so no arrangement of bytes cancels as powers of a base would modulo 2**64.
+    """
+    short = np.int32 if len(data) < 1 << 23 else np.int64
+    at = np.arange(len(data), dtype=short) - np.repeat(start.astype(short), long)
+    at <<= 8
+    at |= data
+    beyond = np.flatnonzero(at >= len(_BYTE_AT)) if long.max() > _PLACES else at[:0]
+    later = mix(at[beyond].astype(np.uint64), 7)
+    at[beyond] = 0
+    values = _BYTE_AT[at]
+    values[beyond] = later
+    return mix(np.add.reduceat(values, start) + long.astype(np.uint64))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

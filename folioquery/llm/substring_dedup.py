@@ -62,6 +62,10 @@ def _owner(words: Words, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(words.first, at, side="right") - 1
 
 
+#: What names a row: its doc_id and, as doc_ids may repeat, 64 bits of doc_id and text.
+NAME = ["turn", "k"]
+
+
 def _named(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("bigint")
     return docs.select(doc_id.alias("doc_id"), "text", F.xxhash64(doc_id, "text").alias("k"), F.coalesce(doc_id, F.lit(_LAST)).alias("turn"))
@@ -132,13 +136,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, n = (np.asarray(batch.column(c)) for c in ("at", "n"))
         if (n < 0).any():
-            given = [pa.array(c[n < 0]) for c in (np.asarray(batch.column("k")), np.where(at < 0, ~at, at), -n, at >= 0)]
-            yield pa.RecordBatch.from_arrays(given, ["k", "at", "n", "whole"])
+            given = [pa.array(c[n < 0]) for c in (*(np.asarray(batch.column(c)) for c in NAME), np.where(at < 0, ~at, at), -n, at >= 0)]
+            yield pa.RecordBatch.from_arrays(given, [*NAME, "at", "n", "whole"])
             batch = batch.filter(pa.array(n >= 0))
         if not batch.num_rows:
             continue
         anchor, segment, turn = (np.asarray(batch.column(c)) for c in ("anchor", "segment", "turn"))
-        rows = batch.select(["k", "at", "n"])
+        rows = batch.select([*NAME, "at", "n"])
         new_anchor = np.concatenate([[last is None or anchor[0] != last[0]], anchor[1:] != anchor[:-1]])
         new_segment = new_anchor | np.concatenate([[last is None or segment[0] != last[1]], segment[1:] != segment[:-1]])
         group = np.cumsum(new_segment)  # 0 goes on with the batch before
@@ -167,11 +171,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(rows: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, whole))], ["k", "at", "n", "whole"])
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, whole))], [*NAME, "at", "n", "whole"])
 
 
 def runs(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(r1, r2, turn, k, at): the runs of window words that places(k, checks) lists, checks being array<struct<at,n>>.
+    """(r1, r2, turn, k, at): the runs of window words that places(turn, k, checks) lists, checks being array<struct<at,n>>.
 
     Of runs that a smaller turn of the same slice has, at is inverted and r1 random.
     """
@@ -193,7 +197,7 @@ def runs(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
             at[later], r1[later] = ~at[later], mix((k[later] + at[later]).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (r1, r2, turn, k, at)], ["r1", "r2", "turn", "k", "at"])
 
-    return docs.join(places, "k").select("text", "turn", "k", "checks").mapInArrow(run, "r1 bigint, r2 int, turn bigint, k bigint, at int")
+    return docs.join(places, NAME).select("text", "turn", "k", "checks").mapInArrow(run, "r1 bigint, r2 int, turn bigint, k bigint, at int")
 
 
 def _starts(words: Words, listed: pa.ListArray) -> np.ndarray:
@@ -211,7 +215,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = np.asarray(batch.column("at"))
         if (at < 0).any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("k"))[at < 0]), pa.array(~at[at < 0])], ["k", "at"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.asarray(batch.column(c))[at < 0]) for c in NAME], pa.array(~at[at < 0])], [*NAME, "at"])
             batch = batch.filter(pa.array(at >= 0))
         if not batch.num_rows:
             continue
@@ -220,28 +224,28 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = turn[start]
         if (one[0], two[0]) == last:
             first[0] = least
-        yield batch.select(["k", "at"]).filter(pa.array(turn > np.repeat(first, np.diff(np.append(start, len(one))))))
+        yield batch.select([*NAME, "at"]).filter(pa.array(turn > np.repeat(first, np.diff(np.append(start, len(one))))))
         last, least = (one[-1], two[-1]), first[-1]
 
 
 def repeats(named: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k, starts): the runs (at, n) of each row that a smaller doc_id also holds."""
+    """(turn, k, starts): the runs (at, n) of each row that a smaller doc_id also holds."""
     spark = named.sparkSession
-    met = segments(named, window).repartition("anchor").sortWithinPartitions("anchor", "segment", "turn").mapInArrow(_compared, "k bigint, at int, n int, whole boolean")
+    met = segments(named, window).repartition("anchor").sortWithinPartitions("anchor", "segment", "turn").mapInArrow(_compared, "turn bigint, k bigint, at int, n int, whole boolean")
     listed = lambda which: F.collect_list(F.when(which, F.struct("at", "n")))
     folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
-    met.groupBy("k").agg(listed(F.col("whole")).alias("starts"), listed(~F.col("whole")).alias("checks")).write.parquet(folder)
+    met.groupBy(*NAME).agg(listed(F.col("whole")).alias("starts"), listed(~F.col("whole")).alias("checks")).write.parquet(folder)
     known = spark.read.parquet(folder)
-    held = runs(named, known.where(F.size("checks") > 0).select("k", "checks"), window).repartition("r1", "r2").sortWithinPartitions("r1", "r2", "turn")
-    single = held.mapInArrow(_later, "k bigint, at int").groupBy("k").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("more"))
-    return known.select("k", "starts").join(single, "k", "left").select("k", F.concat("starts", F.coalesce("more", F.array().cast("array<struct<at:int,n:int>>"))).alias("starts"))
+    held = runs(named, known.where(F.size("checks") > 0).select(*NAME, "checks"), window).repartition("r1", "r2").sortWithinPartitions("r1", "r2", "turn")
+    single = held.mapInArrow(_later, "turn bigint, k bigint, at int").groupBy(*NAME).agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("more"))
+    return known.select(*NAME, "starts").join(single, NAME, "left").select(*NAME, F.concat("starts", F.coalesce("more", F.array().cast("array<struct<at:int,n:int>>"))).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ...] = ("kept", "spans", "n_words", "n_removed")) -> DataFrame:
     """(doc_id, *outputs) of each row of docs(doc_id, text): kept words joined by a space; spans are the maximal repeats, in words."""
     named = _named(docs)
     none = F.array().cast("array<struct<at:int,n:int>>")
-    rows = named.join(repeats(named, window), "k", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"))
+    rows = named.join(repeats(named, window), NAME, "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from folioquery.llm import common as C
 
 
@@ -30,3 +32,13 @@ def test_spread_join_equals_join(spark, monkeypatch):
     want = rows.join(stats, "k").select("k", "x", "_hub", "count").collect()
     assert sorted(C.spread_join(rows, stats, ["k"], "count").collect()) == sorted(want)
     assert C.spread_join(rows.limit(0), stats.limit(0), ["k"], "count").count() == 0
+
+
+def test_hashes_of_runs():
+    r = random.Random(6)
+    words = [bytes(r.randrange(256) for _ in range(n)) for n in [1, 1, 2, 63, 64, 65, 66, 5000, *[r.randrange(1, 90) for _ in range(300)]]]
+    words += ["".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)).encode() for k in (0, 1)] + [b"a", b"a\0", b"\0a", b"x" * 70, b"x" * 71]
+    words += words[::-1]
+    long = np.array([len(w) for w in words])
+    got = C.run_hashes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(long) - long, long).tolist()
+    assert got == got[::-1] and len(set(got)) == len(set(words))

@@ -130,3 +130,14 @@ def test_query_against_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").collect()]
     out = M.op9_minhash_dedup(spark, sf).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out), key=repr) == expected(rows, 85)
+
+
+def mirrored(a="a", b="b", n=1024):
+    """Two words that powers of any odd base modulo 2**64 cannot tell apart: the Thue-Morse order of two letters, and its complement."""
+    return tuple("".join((a, b)[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1))
+
+
+def test_words_that_cancel_are_told_apart(spark):
+    one, two = mirrored()
+    rest = " ".join(f"w{i}" for i in range(12))
+    check(spark, [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}"), (4, one), (5, two)], 85)
