@@ -32,7 +32,8 @@ STEMS = (4, 5, 6)
 SAMPLE = 24_000
 SHARDS = 6
 ROUNDS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 0.1
+#: L1 is the best of 6 to 20 on a fifth of the training rows (area under the curve 0.989; 0.981 at 6, which kept four times the weights).
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 10.0, 0.1
 
 
 def features(words: Words, bits: int = BITS, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
