@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 from collections import Counter, defaultdict
@@ -7,9 +8,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from folioquery.streaming import streams
-from folioquery.streaming.streams import status_changes
+from folioquery.streaming.store import Store
 
 
 class Held:
@@ -21,15 +23,21 @@ class Held:
         return self.value
 
     def update(self, value):
-        self.value = value
+        self.value, self.exists = value, True
 
 
-def test_status_changes_over_several_frames():
-    frame = lambda *rows: pd.DataFrame(rows, columns=["user_id", "event_id", "event_type"])
-    state = Held(("new",))
-    out = pd.concat(status_changes((1,), iter([frame((1, 4, "click"), (1, 2, "view")), frame((1, 3, "click"), (1, 5, "error"))]), state))
-    assert out[["event_id", "before", "status"]].values.tolist() == [[3, "new", "downloaded"], [5, "downloaded", "rejected"]]
-    assert state.value == ("rejected",)
+def moved(entries, state, *names):
+    frames = [pd.DataFrame(f, columns=["event_id", "status"]) for f in entries]
+    return [tuple(x) for f in streams.status_moves((1,), iter(frames), state) for x in f[["event_id", "before", "status", "kind"]].astype(object).where(lambda d: d.notna(), None).to_numpy()]
+
+
+def test_status_moves_over_several_frames(monkeypatch):
+    monkeypatch.setattr(streams, "HELD", 3)
+    state = Held()
+    assert moved([[(4, "b"), (2, "a")], [(3, "b"), (5, "c")]], state) == [(2, None, "a", "new"), (4, "a", "b", "new"), (3, "a", "b", "new"), (4, "b", "b", "moved"), (5, "b", "c", "new")]
+    assert state.value == ([3, 4, 5], ["b", "b", "c"], True)
+    assert moved([[(1, "x"), (4, "b"), (9, "c")]], state) == [(1, None, "x", "late"), (9, "c", "c", "new")]
+    assert state.value == ([4, 5, 9], ["b", "c", "c"], True)
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +94,10 @@ def test_sessions_of_files_in_no_order(spark, shuffled):
     assert collected(streams.stream_sessions(spark, shuffled[0])) == sorted(map(tuple, want))
 
 
-def test_status_changes_of_files_in_no_order(spark, shuffled):
+@pytest.mark.parametrize("held", [2, 64])
+def test_status_changes_of_files_in_no_order(spark, shuffled, monkeypatch, held):
+    """With two entries held, most files are late."""
+    monkeypatch.setattr(streams, "HELD", held)
     names, now, want = {"view": "new", "click": "downloaded", "error": "rejected"}, {}, []
     for event_id, _, user, kind, _ in shuffled[1]:
         if now.get(user) != names[kind]:
@@ -111,3 +122,72 @@ def test_a_second_run_goes_on_from_the_first(spark, shuffled, tmp_path):
         again = collected(f(spark, str(part), str(tmp_path / f.__name__)))
         assert again == collected(f(spark, shuffled[0])) != first[f.__name__]
         assert collected(f(spark, str(part), str(tmp_path / f.__name__))) == again  # nothing new, nothing twice
+
+
+def made(folder):
+    """Number and bucket of each file that the batches of a store wrote."""
+    return {(os.path.relpath(d, folder), n): os.stat(f"{d}/{n}").st_mtime_ns for d, _, names in os.walk(f"{folder}/rows") for n in names if n.endswith(".parquet")}
+
+
+def test_store_replay_and_untouched_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"), "k string, n long", F.substring("k", 1, 1))
+    fold = streams.summed(["k"], n=F.sum)
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, n long")
+    assert store.rows().count() == 0 and store.merge(batch(("a", 1)).limit(0), 0, fold) == []
+    assert store.merge(batch(("a1", 1), ("a2", 5), ("b1", 1), ("a1", 1)), 0, fold) == ["a", "b"]
+    before = made(tmp_path / "t")
+    for _ in range(2):  # the second is a replay
+        assert store.merge(batch(("b1", 10), ("c", 7)), 1, fold) == ["b", "c"]
+        assert collected(store.rows()) == [("a1", 2), ("a2", 5), ("b1", 11), ("c", 7)]
+    after = made(tmp_path / "t")
+    assert {k: t for k, t in after.items() if "_batch=0" in k[0]} == before and not any("_batch=1" in k[0] and "_bucket=a" in k[0] for k in after)
+    assert store.versions() == {"a": 0, "b": 1, "c": 1} and collected(store.rows(only=lambda b: b == "a")) == [("a1", 2), ("a2", 5)]
+
+
+def test_sessions_move_between_months(spark, tmp_path, monkeypatch):
+    """A late entry joins two sessions over a month's end; the month that has no session left is emptied."""
+    at = lambda text: datetime.fromisoformat(text)
+    files = [["2024-01-31 20:00", "2024-02-01 06:00"], ["2024-02-01 01:00"], ["2024-03-05 00:00", "2023-12-31 23:00"]]
+    os.mkdir(tmp_path / "events.parquet")
+    for i, times in enumerate(files):
+        path = tmp_path / f"events.parquet/part-{i}.parquet"
+        n = len(times)
+        pq.write_table(pa.table({"event_id": range(n), "ts": pa.array(map(at, times), pa.timestamp("us")), "user_id": [1] * n, "event_type": ["view"] * n, "value": [1.0] * n, "props": ["{}"] * n}), path)
+        out = collected(streams.stream_sessions(spark, str(tmp_path), str(tmp_path / "run")))
+    assert out == [(1, "2023-12-31 23:00:00", 1), (1, "2024-01-31 20:00:00", 3), (1, "2024-03-05 00:00:00", 1)]
+    store = Store(spark, str(tmp_path / "run"), "n long", F.lit(""))
+    assert sorted(store.versions()) == ["2023-12", "2024-02", "2024-03"]
+
+
+def test_state_is_bounded(spark, shuffled, monkeypatch):
+    """Folded streams hold no state; the status machine holds a row for each key, of at most HELD entries."""
+    seen, start = [], streams.ran
+
+    def ran(stream, folder, write, mode="append"):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+        seen.append([s.numRowsTotal for p in query.recentProgress for s in p.stateOperators])
+
+    monkeypatch.setattr(streams, "ran", ran)
+    for f in (streams.stream_daily_counts, streams.stream_rolling_failures, streams.stream_sessions, streams.stream_first_seen, streams.stream_upsert_seen):
+        f(spark, shuffled[0])
+    assert not any(seen) and start is not ran
+    streams.stream_status_changes(spark, shuffled[0])
+    assert max(seen[-1]) == len({user for _, _, user, _, _ in shuffled[1]})
+
+
+def test_ingest_of_pushes_in_no_order(spark, tmp_path):
+    """Pushes of one content, the first without OCR; files come in any order, and a run over the same files changes nothing."""
+    rows = [(1, "short", "en", "s"), (2, "short", "en", "s"), (3, "short", "fr", "s"), (4, "short", "fr", "s"), (5, "short", "fr", "t"), (6, "x" * 90, "en", "s"), (7, None, "en", "s"), (8, "labelled", "en", "s"), (9, "labelled", "fr", "s")]
+    pq.write_table(pa.table({"doc_id": [8], "quality": [1], "toxic": [0]}), tmp_path / "labels.parquet")
+    want = {("s", "short"): (1, 3, 4, 2, False), ("t", "short"): (5, None, 1, 0, False), ("s", "x" * 90): (6, None, 1, 0, False), ("s", "labelled"): (8, None, 2, 1, True)}
+    os.mkdir(tmp_path / "documents.parquet")
+    for i, part in enumerate(([4, 7, 8], [1, 5, 0], [2, 3, 6])):
+        doc_id, text, lang, source = zip(*[rows[j] for j in part], strict=True)
+        pq.write_table(pa.table({"doc_id": doc_id, "text": pa.array(text, pa.string()), "lang": lang, "source": source, "n_chars": [0] * 3}), tmp_path / f"documents.parquet/part-{i}.parquet")
+        for _ in range(2):
+            out = streams.stream_ingest(spark, str(tmp_path), str(tmp_path / "run")).collect()
+    names = {hashlib.sha256(t.encode()).hexdigest(): t for _, t, _, _ in rows if t}
+    assert {(x["source"], names[x["sha256"]]): (x["record_id"], x["reparsed_by"], x["n_pushes"], x["n_skipped"], x["needs_ocr"]) for x in out} == want
+    numbers = {k[0].split("/")[1] for k in made(tmp_path / "run")}
+    assert numbers == {"_batch=0", "_batch=1", "_batch=2"}
