@@ -27,20 +27,32 @@ def without_fragment(url: Column) -> Column:
     return F.trim(F.regexp_replace(url, "#.*$", ""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` parts, of which none leads above the root."""
+    parts = F.split(path, "/")
+    left = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+    step = lambda kept, part: F.when(part == "..", left(kept)).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), step)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(folded, "/"), F.when(ends, F.lit("/")).otherwise(F.lit("")))
+
+
 def resolved(base: Column, href: Column) -> Column:
-    """href as seen from base: absolute, scheme-relative, root-relative, query or fragment alone, or relative to the folder."""
+    """href as seen from base: absolute, scheme-relative, root-relative, query or fragment alone, or relative to the folder, without dot segments."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     plain = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(plain == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
+    folder = F.when(plain == root, F.lit("/")).otherwise(F.regexp_replace(F.substr(plain, F.length(root) + 1), r"[^/]*$", ""))
+    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 2)
+    whole = F.when(F.startswith(href, F.lit("/")), path).otherwise(F.concat(folder, path))
+    dotted = whole.rlike(r"(?:^|/)\.{1,2}(?:/|$)")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
         .when(F.startswith(href, F.lit("?")), F.concat(plain, href))
         .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href == "", base)
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(root, F.when(dotted, without_dots(whole)).otherwise(whole), rest))
     )
 
 

@@ -102,8 +102,8 @@ def source_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("user_id").alias("source_id")).agg(n.alias("n_history"), F.round(rate, 6).alias("success_rate"), F.when(n >= 3, rate >= 0.8).otherwise(True).alias("stable"))
 
 
-_SUPPLY = """found AS (SELECT l_suppkey AS id, count(*) AS found, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem WHERE l_suppkey % 6 <> 0 GROUP BY l_suppkey),
-loaded AS (SELECT ps AS id, count(*) AS downloaded FROM (SELECT l_suppkey AS ps FROM lineitem WHERE l_linestatus = 'F' AND l_suppkey % 4 <> 0) GROUP BY ps),
+_SUPPLY = """found AS (SELECT l_suppkey AS id, count(*) AS found, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY l_suppkey),
+loaded AS (SELECT ps AS id, count(*) AS downloaded FROM (SELECT l_suppkey AS ps FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'N' AND l_quantity > 49) GROUP BY ps),
 sources AS (SELECT s_suppkey AS id, s_name AS name, s_suppkey % 9 <> 0 AS active, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'error' ELSE 'ok' END AS last_status, s_suppkey % 10 = 0 AS never,
   CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END AS nation, n_regionkey AS region, ['CERTIFIED', 'PARTIALLY_CERTIFIED', 'FAILED', 'PENDING'][s_suppkey % 4 + 1] AS certification FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
 
@@ -126,8 +126,8 @@ SELECT id, name, found, downloaded, failed, score, CASE WHEN never THEN 'Offline
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score of 50 for the last crawl, 30 for any download, 20 for few rejections. Each log is summed before it is joined, so nothing fans out."""
     item = load(spark, sf_dir, "lineitem")
-    found = item.where("l_suppkey % 6 <> 0").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("l_returnflag") == "R").alias("failed"))
-    loaded = item.where("l_linestatus = 'F' and l_suppkey % 4 <> 0").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("downloaded"))
+    found = item.groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("l_returnflag") == "R").alias("failed"))
+    loaded = item.where("l_linestatus = 'F' AND l_returnflag = 'N' AND l_quantity > 49").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("downloaded"))
     rows = sources(spark, sf_dir).where("active").join(found, "id", "left").join(loaded, "id", "left").fillna(0, ["found", "failed", "downloaded"])
     rejected = F.coalesce(F.try_divide("failed", "found"), F.lit(0.0))
     part = lambda c, n: F.when(c, n).otherwise(0)

@@ -187,26 +187,4 @@ def golden_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("have").cast("bigint").alias("n_fields"), (F.size(F.array_except(required, "have")) == 0).alias("complete"))
 
 
-#: (field, expected, actual, whether they mean the same)
-CASES = [
-    ("go_number", "G.O.(Ms) No.123", "G.O. Ms No. 123", True),
-    ("go_number", "G.O.(Ms) No.123", "G.O.(Rt) No.123", False),
-    ("go_date", "15.03.2026", "2026-03-15", True),
-    ("budget", "Rs.2,45,00,000/- (Rupees Two Crore)", "24500000.00", True),
-    ("budget", "Rs.12.50 crore", "125000000", True),
-    ("district", "Tuticorin", "Thoothukudi", True),
-    ("subject", "Works of the year", "Finance - Works of the year - Orders", True),
-    ("department", "Public", "Public Works", False),
-    ("scheme_name", "", "x", False),
-    ("scheme_name", " ", "", True),
-]
-
-
-@C.query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', '{e}', '{a}', {str(m).lower()})" for i, (f, e, a, m) in enumerate(CASES)) + ") v(id, field, expected, actual, matched)")
-def value_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field-aware equality of stated cases."""
-    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(CASES)], "id int, field string, expected string, actual string")
-    return rows.withColumn("matched", T.values_match(F.col("field"), F.col("expected"), F.col("actual")))
-
-
 QUERIES, ORACLE_SQL = C.queries, C.oracle_sql
