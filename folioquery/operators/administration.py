@@ -482,17 +482,20 @@ def certification_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_once(offered: DataFrame, folder: str) -> DataFrame:
-    """Write the contents of offered(sha256, size) that folder(sha256, size) lacks; what was offered, written, there before, and there with another size."""
+    """Write the contents of offered(sha256, content) that folder(sha256, content) lacks, read them back, and report what was offered, written, there before, and not what its name says.
+
+    What is there is read back and its bytes hashed again, so a damaged or foreign content under a name is found when that name is offered. Rows of a folder that is
+    written anew by a failed task cannot come twice, as a write counts only when it is whole.
+    """
     spark = offered.sparkSession
-    distinct = offered.groupBy("sha256").agg(F.max("size").alias("size"))
-    have = spark.read.schema("sha256 string, size bigint").parquet(folder).withColumnRenamed("size", "held")
-    met = distinct.join(have, "sha256", "left")
-    new = met.where("held IS NULL").agg(F.count(F.lit(1)).alias("n_written"))
-    counts = met.agg(F.count("held").alias("n_held"), F.count_if(F.col("held") != F.col("size")).alias("n_mismatch")).crossJoin(new)  # one row each
-    report = counts.crossJoin(offered.agg(F.count(F.lit(1)).alias("n_offered")))
-    kept = spark.createDataFrame(report.select("n_offered", "n_written", "n_held", "n_mismatch").collect(), "n_offered bigint, n_written bigint, n_held bigint, n_mismatch bigint")  # one row, taken before the folder changes
-    met.where("held IS NULL").select("sha256", "size").write.mode("append").parquet(folder)
-    return kept
+    n_offered, names = offered.count(), offered.select("sha256").distinct()
+    have = spark.read.schema("sha256 string, content binary").parquet(folder)
+    n_held = have.join(names, "sha256", "left_semi").count()
+    new = offered.join(have.select("sha256"), "sha256", "left_anti").groupBy("sha256").agg(F.first("content").alias("content"))
+    new.write.mode("append").parquet(folder)
+    back = spark.read.schema("sha256 string, content binary").parquet(folder).join(names, "sha256", "left_semi")
+    n_back, n_mismatch = back.agg(F.count(F.lit(1)), F.count_if(F.sha2("content", 256) != F.col("sha256"))).first()
+    return spark.createDataFrame([(n_offered, n_back - n_held, n_held, n_mismatch)], "n_offered bigint, n_written bigint, n_held bigint, n_mismatch bigint")
 
 
 @C.query(
@@ -502,9 +505,11 @@ UNION ALL SELECT 2, (SELECT count(*) FROM h), (SELECT count(*) FROM b) - (SELECT
 )
 def write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stored by content in three passes: half of them, all, and all again."""
-    offered, folder = stored(load(spark, sf_dir, "documents")), shared_folder(spark) + "/store"
-    spark.createDataFrame([], "sha256 string, size bigint").write.parquet(folder)
-    parts = [offered.where("doc_id % 2 = 0"), offered, offered]
+    docs, folder = load(spark, sf_dir, "documents"), shared_folder(spark) + "/store"
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    offered = docs.select("doc_id", content.alias("content"), F.sha2(content, 256).alias("sha256"))
+    spark.createDataFrame([], "sha256 string, content binary").write.parquet(folder)
+    parts = [part.select("sha256", "content") for part in (offered.where("doc_id % 2 = 0"), offered, offered)]
     return _union([store_once(rows, folder).select(F.lit(i).alias("pass"), "*") for i, rows in enumerate(parts, 1)])
 
 

@@ -93,18 +93,28 @@ def email_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """An annotation file: UTF-8, with or without a byte order mark; values trimmed, blank for none. Raises if rows lack file_name."""
+    """Annotation files: UTF-8, with or without a byte order mark; values trimmed, blank for none. Raises if rows lack file_name, naming their files and lines."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = raw.toDF(*[c.replace("﻿", "").strip() for c in raw.columns])
-    rows = rows.select([F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns])
-    if "file_name" not in rows.columns:
+    columns = [c.replace("﻿", "").strip() for c in raw.columns]
+    rows = raw.toDF(*columns).select([F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in columns])
+    if "file_name" not in columns:
         raise ValueError("the annotation file has no column file_name")
-    nameless = rows.select("file_name", (F.monotonically_increasing_id() + 2).alias("line")).where("file_name = ''").orderBy("line").limit(20).collect()
-    if nameless:
-        raise ValueError(f"rows without file_name: lines {[r['line'] for r in nameless]}")
+    if not rows.where("file_name = ''").isEmpty():
+        nameless = annotation_lines(raw, columns).where("nameless").orderBy("file", "line").limit(20).collect()
+        raise ValueError("rows without file_name: " + "; ".join(f"{f} lines {[r['line'] for r in nameless if r['file'] == f]}" for f in dict.fromkeys(r["file"] for r in nameless)))
     return rows
 
 
+def annotation_lines(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """(file, line, nameless): the line of its file at which each record begins, where a record may have several lines. A file is one task, as one that may have such records
+    cannot be split; blank lines between records are not seen."""
+    breaks = sum((F.coalesce(F.length(c) - F.length(F.replace(c, F.lit("\n"))), F.lit(0)) for c in (F.col(f"`{c}`") for c in raw.columns)), F.lit(0))
+    name = F.col(f"`{raw.columns[columns.index('file_name')]}`")
+    placed = raw.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("turn"), (breaks + 1).alias("lines"), (F.coalesce(F.trim(name), F.lit("")) == "").alias("nameless"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select("file", (F.coalesce(before, F.lit(0)) + 2).alias("line"), "nameless")
+
+
 def merged_annotations(names: DataFrame, existing: DataFrame, supplied: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """A row for each of names(file_name): what is supplied, else what exists, else blank; blanks never overwrite."""
     given = lambda frame, mark: frame.select("file_name", *[F.nullif(F.trim(c), F.lit("")).alias(f"{c}_{mark}") for c in columns])

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import Query
 from .operators import administration, claims, constraints, crawling, exchange, extraction, governance, matching, operations, quality, records, registries, review, web, workbench
-from .plans import runs
+from .plans import reports, runs
 from .streaming import streams
 
-MODULES = (extraction, records, review, quality, web, operations, governance, constraints, workbench, administration, matching, crawling, claims, exchange, registries, runs, streams)
+MODULES = (extraction, records, review, quality, web, operations, governance, constraints, workbench, administration, matching, crawling, claims, exchange, registries, runs, reports, streams)
 
 
 def entry(spark: SparkSession) -> DataFrame:

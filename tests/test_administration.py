@@ -1,5 +1,6 @@
 """Decisions, edits and clean-ups against plain loops, adapters by name, and lines of any length."""
 
+import hashlib
 import random
 import time
 
@@ -90,3 +91,11 @@ def test_table_lines_of_any_length(spark):
     assert time.time() - began < 20
     pages = spark.createDataFrame([(1, 1, "a  b  c\n" * 6), (2, 1, "a  b  c\n" * 5)], "doc_id int, page int, text string")
     assert {r["doc_id"]: r["table_heavy"] for r in R.category_flags(pages).collect()} == {1: True, 2: False}
+
+
+def test_store_finds_contents_that_are_not_what_their_name_says(spark, tmp_path):
+    folder, schema = str(tmp_path / "store"), "sha256 string, content binary"
+    name = lambda b: hashlib.sha256(b).hexdigest()
+    spark.createDataFrame([(name(b"a"), bytearray(b"a")), (name(b"b"), bytearray(b"damaged")), (name(b"z"), bytearray(b"never offered"))], schema).write.parquet(folder)
+    offered = spark.createDataFrame([(name(b), bytearray(b)) for b in (b"a", b"b", b"c", b"c", b"")], schema)
+    assert [tuple(A.store_once(offered, folder).first()) for _ in range(2)] == [(5, 2, 2, 1), (5, 0, 4, 1)]

@@ -31,6 +31,12 @@ def test_annotation_files(spark, tmp_path):
     assert [tuple(r) for r in W.read_annotations(spark, good).orderBy("file_name").collect()] == [("a.pdf", '1, "x"'), ("b.pdf", "")]
     with pytest.raises(ValueError, match=r"lines \[3, 5\]"):
         W.read_annotations(spark, bad)
+    several = tmp_path / "several"
+    several.mkdir()
+    for n, text in (("a.csv", 'file_name,go_number\nx,1\ny,2\n'), ("b.csv", 'file_name,go_number\nx,"1\n2\n3"\n,4\n"",5\n'), ("c.csv", 'file_name,go_number\n ,1\n')):
+        (several / n).write_text(text)
+    with pytest.raises(ValueError, match=r"b.csv lines \[5, 6\]; c.csv lines \[2\]"):
+        W.read_annotations(spark, str(several))
     with pytest.raises(ValueError, match="no column"):
         W.read_annotations(spark, none)
 
