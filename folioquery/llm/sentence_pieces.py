@@ -27,7 +27,7 @@ from .common import slices, table
 
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁".encode()
-_OUTPUTS = {"ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+_OUTPUTS = {"ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "spans_sha256": "string"}
 
 
 def model_path(name: str = MODEL) -> str:
@@ -183,7 +183,7 @@ def _codec(model: bytes) -> Codec:
 
 def encode(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] = ("ids", "starts", "ends", "decoded")) -> DataFrame:
     """doc_id and outputs of each row of docs(doc_id, text): ids with begin and end, the source byte span of each id, the
-    text decoded from ids, and digests of these (ids as little-endian 32-bit integers)."""
+    text decoded from ids, and digests of these (ids, and starts and ends in turn, as little-endian 32-bit integers)."""
     model = Path(path or model_path()).read_bytes()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -201,6 +201,7 @@ def encode(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] =
                 "decoded": lambda: pa.array(decoded, pa.string()),
                 "n_tokens": lambda: pa.array([len(i) for i in ids], pa.int64()),
                 "ids_sha256": lambda: pa.array([hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest() for i in ids]),
+                "spans_sha256": lambda: pa.array([hashlib.sha256(np.stack(s, 1).astype("<u4").tobytes()).hexdigest() for s in spans]),
                 "decoded_sha256": lambda: pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
             }
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(made[o]() for o in outputs)], ["doc_id", *outputs])
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] =
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
 
 
 QUERIES = {"op6_sentence_pieces": op6_sentence_pieces}

@@ -42,6 +42,32 @@ def test_normalisation_by_compiled_map(rule):
             assert chars == list(offsets), (text, flags)
 
 
-def test_query_has_every_row(spark):
-    out = S.op6_sentence_pieces(spark, "/root/testdata/sf0.001")
-    assert out.count() == table(spark, "/root/testdata/sf0.001", "documents").count()
+def spans_of(lib, text, ids):
+    """Source bytes of each id, by walking the pieces over the text; a leading mark and the begin and end ids have none of their own."""
+    raw, at, out = text.encode(), 0, []
+    for n, i in enumerate(ids):
+        begin = at
+        if not lib.is_control(i):
+            piece = lib.id_to_piece(i)
+            size = 1 if lib.is_byte(i) else len(piece.replace("▁", " ").encode()) if "▁" not in text else None
+            assert size is not None
+            if n == 1:  # the first piece begins with the mark that is put before every text
+                size -= 1
+            at += size
+        out.append((begin, at))
+    assert at == len(raw)
+    return out
+
+
+def test_query_equals_library(spark):
+    sf = "/root/testdata/sf0.001"
+    lib = sentencepiece.SentencePieceProcessor(model_file=S.model_path())
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").collect()}
+    out = {r["doc_id"]: r for r in S.op6_sentence_pieces(spark, sf).collect()}
+    assert set(out) == set(docs)
+    for d, text in docs.items():
+        ids, row = lib.encode(text, add_bos=True, add_eos=True), out[d]
+        digest = lambda values: hashlib.sha256(np.asarray(values, "<u4").tobytes()).hexdigest()
+        assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), digest(ids))
+        assert row["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        assert row["spans_sha256"] == digest([x for span in spans_of(lib, text, ids) for x in span])
