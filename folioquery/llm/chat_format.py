@@ -16,13 +16,13 @@ is one string by definition, so its rows meet in one task; no other rows do.
 
 Defined results: null roles and texts are empty; rows of a conversation are ordered by turn (null first), then role, then
 text, and repeated rows stay; a record that is null, is no JSON, or lacks some path of every mapping gets layout null and no turns; a text that is
-itself a list or object is its JSON, but of a list of parts with texts (`messages_parts`) it is those texts, one to a line; an empty table
-gives an empty table. Fields and columns that no mapping knows, nested ones too, are ignored.
+itself a list or object is its JSON, but of a list with parts that are texts or have one it is those texts, one to a line, turn by turn, so the turns of a record may
+differ; an item of a list of turns that is a text and no object is a turn with an empty role; an empty table gives an empty table. Fields and columns that no mapping knows, nested ones too, are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +34,14 @@ _ANGLE = r"(<)(\\*)(/?s>|<SYS>>|</SYS>>|\|(?:im_start|im_end|endoftext|system|us
 _SQUARE = r"(\[)(\\*)(/?INST\])"
 
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: layout: the list and its fields, or the fields of each turn of a flat record; roles: other names for canonical roles.
+#: layout: the lists of turns and their fields, or the fields of each turn of a flat record; roles: other names for canonical roles; parts: the field of a part of a text
+#: that is a list; typed: texts are texts in every turn, and can be read at once.
 MAPPINGS: dict[str, dict] = {
-    "rows": {"list": "turns", "fields": ["turn", "role", "text"], "role": "role", "text": "text", "sort": True},
-    "messages_parts": {"list": "messages", "fields": ["role"], "role": "role", "text": "content", "parts": "text"},
-    "messages": {"list": "messages", "fields": ["role", "content"], "role": "role", "text": "content"},
-    "from_value": {"list": "conversations", "fields": ["from", "value"], "role": "from", "text": "value", "roles": ROLES},
+    "rows": {"lists": ["turns"], "fields": ["turn", "role", "text"], "role": "role", "text": "text", "typed": True},
+    "messages_parts": {"lists": ["messages"], "fields": ["role"], "role": "role", "text": "content", "parts": "text"},
+    "messages": {"lists": ["messages"], "fields": ["role", "content"], "role": "role", "text": "content"},
+    "prompt_completion_turns": {"lists": ["prompt", "completion"], "fields": ["role", "content"], "role": "role", "text": "content"},
+    "from_value": {"lists": ["conversations"], "fields": ["from", "value"], "role": "from", "text": "value", "roles": ROLES},
     "instruction_input": {"flat": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
     "instruction": {"flat": [("user", ["instruction"]), ("assistant", ["output"])]},
     "system_prompt": {"flat": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
@@ -50,15 +52,20 @@ MAPPINGS: dict[str, dict] = {
 
 
 def paths_of(mapping: dict) -> list[str]:
-    if "list" in mapping:
-        parts = [f"{mapping['list']}[].{mapping['text']}[].{mapping['parts']}"] if "parts" in mapping else []
-        return sorted([f"{mapping['list']}[].{f}" for f in mapping["fields"]] + parts)
+    if "lists" in mapping:
+        fields = [*mapping["fields"], *([f"{mapping['text']}[].{mapping['parts']}"] if "parts" in mapping else [])]
+        return sorted(f"{name}[].{f}" for name in mapping["lists"] for f in fields)
     return sorted(f for _, fields in mapping["flat"] for f in fields)
 
 
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a VARIANT, in order: its schema is read token by token, with a stack of the prefixes that are open."""
-    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(?:`(?:[^`]|``)*`|[^<>,:` ]+): |OBJECT<|ARRAY<|>"), F.lit(0))
+    """The nested field paths of a VARIANT, in order."""
+    return paths_in(F.schema_of_variant(record))
+
+
+def paths_in(schema: Column) -> Column:
+    """The nested field paths of the schema of a VARIANT: it is read token by token, with a stack of the prefixes that are open."""
+    tokens = F.regexp_extract_all(schema, F.lit(r"(?:`(?:[^`]|``)*`|[^<>,:` ]+): |OBJECT<|ARRAY<|>"), F.lit(0))
     kind = "struct<open:array<string>,at:string,paths:array<string>>"
 
     def state(opened: Column, at: Column, paths: Column) -> Column:
@@ -84,38 +91,76 @@ def fingerprint(paths: Column, mapping: dict) -> Column:
     return F.xxhash64(F.array_join(F.filter(paths, lambda p: p.isin(paths_of(mapping))), ","))
 
 
-def _turns(record: Column, mapping: dict) -> Column:
-    if "list" in mapping:
-        kind = ", ".join(f"`{f}`: " + ("bigint" if f == "turn" else "string") for f in mapping["fields"])
-        if "parts" in mapping:
-            kind += f", `{mapping['text']}`: array<struct<`{mapping['parts']}`: string>>"
-        rows = F.try_variant_get(record, f"$.{mapping['list']}", f"array<struct<{kind}>>")
-        if mapping.get("sort"):
-            rows = F.sort_array(rows)
-        text = lambda x: F.array_join(F.transform(x[mapping["text"]], lambda p: p[mapping["parts"]]), "\n") if "parts" in mapping else x[mapping["text"]]
-        return F.transform(rows, lambda x: _turn(x[mapping["role"]], text(x), mapping.get("roles", {})))
-    turns = []
-    for role, fields in mapping["flat"]:
-        texts = [F.coalesce(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")) for f in fields]
-        text = texts[0] if len(texts) == 1 else F.when(texts[1] == "", texts[0]).otherwise(F.concat_ws("\n", *texts))
-        turns.append(_turn(F.lit(role), text))
-    return F.array(*turns)
-
-
-def _turn(role: Column, text: Column, roles: dict[str, str] | None = None) -> Column:
-    role = F.coalesce(role, F.lit(""))
-    if roles:
-        role = reduce(lambda c, x: c.when(role == x[0], x[1]), roles.items(), F.when(F.lit(False), "")).otherwise(role)
-    return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-
-
-def canonical(record: Column, paths: Column) -> tuple[Column, Column]:
-    """(layout, turns) of a VARIANT column with these field paths."""
-    layout, turns = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.array(_turn(F.lit(""), F.lit(""))))
-    for name, mapping in MAPPINGS.items():
-        is_it = fingerprint(paths, mapping) == F.xxhash64(F.lit(",".join(paths_of(mapping))))
-        layout, turns = layout.when(is_it, name), turns.when(is_it, _turns(record, mapping))
-    return layout, turns
+#: Lists whose items may be of several kinds, so that a record's schema does not say what they hold.
+_LISTS = sorted({name for m in MAPPINGS.values() if not m.get("typed") for name in m.get("lists", [])})
+
+
+def all_paths(record: Column, schema: Column) -> Column:
+    """field_paths of a record of this schema, and those below the lists of turns whose items are of several kinds, read item by item."""
+
+    def below(name: str) -> Column:
+        items = F.try_variant_get(record, f"$.{name}", "array<variant>")
+        mixed = schema.rlike(rf"^OBJECT<(?:.*, )?`?{name}`?: ARRAY<VARIANT>")
+        return F.when(mixed, F.flatten(F.transform(items, lambda e: F.transform(paths_in(F.schema_of_variant(e)), lambda p: F.concat(F.lit(f"{name}[]."), p)))))
+
+    more = F.when(F.contains(schema, F.lit("ARRAY<VARIANT>")), F.flatten(F.array_compact(F.array(*map(below, _LISTS)))))
+    return F.array_sort(F.array_distinct(F.concat(paths_in(schema), F.coalesce(more, F.array().cast("array<string>")))))
+
+
+def _text_of(value: Column) -> Column:
+    """The text of a VARIANT: of a list, those of its items that are texts or have one, if any."""
+    kind = lambda v: F.schema_of_variant(v)
+    part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(kind(p) == "STRING", F.try_variant_get(p, "$", "string")))
+    texts = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), part), lambda t: t.isNotNull())
+    return F.when(F.startswith(kind(value), F.lit("ARRAY")) & (F.size(texts) > 0), F.array_join(texts, "\n")).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+def _turns(record: Column, layout: Column) -> Column:
+    """The turns of a VARIANT by its layout; lists of turns of every layout share one expression, which the layout tells what fields to read."""
+    typed = {n: m for n, m in MAPPINGS.items() if m.get("typed")}
+    lists = {n: m for n, m in MAPPINGS.items() if "lists" in m and n not in typed}
+    chosen = lambda what: reduce(lambda c, x: c.when(layout == x[0], what(x[1])), lists.items(), F.when(F.lit(False), None))
+    none = F.array().cast("array<variant>")
+    items = chosen(lambda m: F.concat(*[F.coalesce(F.try_variant_get(record, f"$.{name}", "array<variant>"), none) for name in m["lists"]]))
+
+    def field(e: Column, which: str, kind: str) -> Column:
+        names = {m[which] for m in lists.values()}
+        return F.coalesce(*[F.when(layout.isin([n for n, m in lists.items() if m[which] == name]), F.try_variant_get(e, f"$.{name}", kind)) for name in sorted(names)])
+
+    def turn(e: Column) -> Column:
+        text = F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).otherwise(_text_of(field(e, "text", "variant")))
+        role = F.coalesce(field(e, "role", "string"), F.lit(""))
+        return F.struct(reduce(lambda c, x: c.when(renamed & (role == x[0]), x[1]), ROLES.items(), F.when(F.lit(False), "")).otherwise(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+    renamed = layout.isin([n for n, m in lists.items() if "roles" in m])
+    out = F.when(layout.isin(list(lists)), F.transform(items, turn))
+    for name, m in typed.items():
+        kind = ", ".join(f"`{f}`: " + ("bigint" if f == "turn" else "string") for f in m["fields"])
+        rows = F.sort_array(F.try_variant_get(record, f"$.{m['lists'][0]}", f"array<struct<{kind}>>"))
+        out = out.when(layout == name, F.transform(rows, partial(_named_turn, m)))
+    for name, m in MAPPINGS.items():
+        if "flat" in m:
+            out = out.when(layout == name, F.array(*[_turn(F.lit(role), _flat_text(record, fields)) for role, fields in m["flat"]]))
+    return out
+
+
+def _named_turn(mapping: dict, x: Column) -> Column:
+    return _turn(x[mapping["role"]], x[mapping["text"]])
+
+
+def _flat_text(record: Column, fields: list[str]) -> Column:
+    texts = [F.coalesce(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")) for f in fields]
+    return texts[0] if len(texts) == 1 else F.when(texts[1] == "", texts[0]).otherwise(F.concat_ws("\n", *texts))
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def layout_of(paths: Column) -> Column:
+    """The first mapping that has the fingerprint of a record with these field paths."""
+    is_it = lambda m: fingerprint(paths, m) == F.xxhash64(F.lit(",".join(paths_of(m))))
+    return reduce(lambda c, x: c.when(is_it(x[1]), x[0]), MAPPINGS.items(), F.when(F.lit(False), F.lit("")))
 
 
 def escaped(text: Column) -> Column:
@@ -194,10 +239,11 @@ def format_records(records: DataFrame, id_column: str, record_column: str) -> Da
     record = F.col(record_column)
     if records.schema[record_column].dataType.typeName() == "string":
         record = F.try_parse_json(record)
-    layout, turns = canonical(F.col("_record"), F.col("_paths"))
     out = records.select(F.col(id_column).alias("_id"), record.alias("_record"))
-    out = out.select("_id", "_record", F.coalesce(field_paths(F.col("_record")), F.array().cast("array<string>")).alias("_paths"))
-    out = out.select("_id", layout.alias("layout"), F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
+    out = out.select("_id", "_record", F.schema_of_variant("_record").alias("_schema"))
+    out = out.select("_id", "_record", F.coalesce(all_paths(F.col("_record"), F.col("_schema")), F.array().cast("array<string>")).alias("_paths"))
+    out = out.select("_id", "_record", layout_of(F.col("_paths")).alias("layout"))
+    out = out.select("_id", "layout", F.coalesce(_turns(F.col("_record"), F.col("layout")), F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
     return out.select(F.col("_id").alias(id_column), "layout", "turns", render(F.col("turns")).alias("formatted"), loss_runs(F.col("turns")).alias("loss_runs"))
 
 

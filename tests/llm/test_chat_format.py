@@ -99,3 +99,29 @@ def test_very_long_text_and_conversation(spark):
     got = out.select(C.read_back(F.col("formatted")).alias("back"), F.transform(C.under_mask(F.col("formatted"), F.col("loss_runs")), C.unescaped).alias("loss")).first()
     assert [t["text"] for t in got["back"]] == [texts[t] for t in range(3000)]
     assert got["loss"] == [texts[t] for t in range(1, 3000, 2)]
+
+
+def test_mixed_texts_and_lists_of_turns(spark):
+    records = {
+        1: '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":[{"type":"text","text":"yo"}]}]}',
+        2: '{"messages":[{"role":"user","content":[{"type":"text","text":"see"},{"type":"image","url":"u"},"this"]},{"role":"assistant","content":"ok"},{"role":"tool"}]}',
+        3: '{"prompt":[{"role":"system","content":"s"},{"role":"user","content":"q"}],"completion":[{"role":"assistant","content":[{"text":"a"},{"text":"b"}]}]}',
+        4: '{"messages":["stray",{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}',
+        5: '{"messages":[{"role":"user","content":[{"type":"image","url":"u"}]},{"role":"assistant","content":{"x":1}},{"role":"assistant","content":[1,2]}]}',
+        6: '{"prompt":"q","completion":"a"}',
+        7: '{"prompt":[],"completion":[]}',
+        8: '{"messages":["only","texts"]}',
+        9: '{"prompt":["stray",{"role":"user","content":"q"}],"completion":[{"role":"assistant","content":"a"}]}',
+    }
+    out = {r["id"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in C.format_records(spark.createDataFrame(list(records.items()), "id int, r string"), "id", "r").collect()}
+    assert out == {
+        1: ("messages", [("user", "hi"), ("assistant", "yo")]),
+        2: ("messages", [("user", "see\nthis"), ("assistant", "ok"), ("tool", "")]),
+        3: ("prompt_completion_turns", [("system", "s"), ("user", "q"), ("assistant", "a\nb")]),
+        4: ("messages", [("", "stray"), ("user", "q"), ("assistant", "a")]),
+        5: ("messages", [("user", '[{"type":"image","url":"u"}]'), ("assistant", '{"x":1}'), ("assistant", "[1,2]")]),
+        6: ("prompt_completion", [("user", "q"), ("assistant", "a")]),
+        7: ("prompt_completion", [("user", "[]"), ("assistant", "[]")]),
+        8: (None, []),
+        9: ("prompt_completion_turns", [("", "stray"), ("user", "q"), ("assistant", "a")]),
+    }
