@@ -194,21 +194,30 @@ def candidates(pages: DataFrame, fields: tuple[str, ...] = V.ALL_FIELDS) -> Data
     return at_first_mention(out) if "district" in fields else out
 
 
-def agreed(rows: DataFrame, confidence: str = "confidence", to: str = "confidence") -> DataFrame:
-    """Confidence raised by candidates of the same value, lowered by how near the best other value comes."""
-    by, same = Window.partitionBy("doc_id", "field"), Window.partitionBy("doc_id", "field", "normalized")
-    own = F.col(confidence)
-    out = rows.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_best", F.max(own).over(same))
-    out = out.withColumn("_all", F.collect_set(F.struct("_best", "normalized")).over(by))
-    rival = F.coalesce(F.array_max(F.transform(F.filter("_all", lambda x: x["normalized"] != F.col("normalized")), lambda x: x["_best"])), F.lit(0.0))
-    raised = F.when(F.col("_n") > 1, F.least(own + F.least((F.col("_n") - 1) * 0.02, F.lit(0.06)), F.lit(0.99))).otherwise(own)
-    lowered = F.when((rival > 0) & (own > 0), raised * (1.0 - 0.15 * F.least(rival / own, F.lit(1.0)))).otherwise(raised)
-    return out.withColumn(to, F.round(lowered, 4)).drop("_n", "_best", "_all")
+def adjusted(own: Column, n: Column, rival: Column) -> Column:
+    """A confidence raised by n candidates of the same value, lowered by how near the best other value comes."""
+    raised = F.when(n > 1, F.least(own + F.least((n - 1) * 0.02, F.lit(0.06)), F.lit(0.99))).otherwise(own)
+    return F.round(F.when((rival > 0) & (own > 0), raised * (1.0 - 0.15 * F.least(rival / own, F.lit(1.0)))).otherwise(raised), 4)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Candidates with final, the confidence that ranks them, and place, 1 for the winner of its field."""
-    out = agreed(agreed(rows), "confidence", "final")
+    """Candidates with final, the confidence that ranks them, and place, 1 for the winner of its field.
+
+    Agreement is applied twice, to candidates and when they are ranked. As it keeps the order of a value's candidates, the second round needs only the best of each value
+    after the first, so one list of values for each field serves both.
+    """
+    by, same = Window.partitionBy("doc_id", "field"), Window.partitionBy("doc_id", "field", "normalized")
+    out = rows.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_best", F.max("confidence").over(same))
+    out = out.withColumn("_one", F.sort_array(F.collect_set(F.struct(F.col("_best").alias("best"), F.col("_n").alias("n"), "normalized")).over(by), asc=False))
+
+    def rival(values: Column, value: Column) -> Column:
+        """The best of the other values, of values with the best first."""
+        first, second = F.get(values, F.lit(0)), F.get(values, F.lit(1))
+        return F.coalesce(F.when(first["normalized"] == value, second["best"]).otherwise(first["best"]), F.lit(0.0))
+
+    once = F.transform("_one", lambda x: F.struct(adjusted(x["best"], x["n"], rival(F.col("_one"), x["normalized"])).alias("best"), x["normalized"].alias("normalized")))
+    out = out.withColumn("_two", F.sort_array(once, asc=False)).withColumn("confidence", adjusted(F.col("confidence"), F.col("_n"), rival(F.col("_one"), F.col("normalized"))))
+    out = out.withColumn("final", adjusted(F.col("confidence"), F.col("_n"), rival(F.col("_two"), F.col("normalized")))).drop("_n", "_best", "_one", "_two")
     order = Window.partitionBy("doc_id", "field").orderBy(F.desc("final"), "page", "start", "turn")
     return out.withColumn("place", F.row_number().over(order))
 
