@@ -82,5 +82,37 @@ PAGINATION = r"(?i)(?:[?&](?:page|pageno|start|offset)=\d+)"
 NEXT_TEXT = r"(?i)^\s*(?:next|»|>>|more|\d+)\s*$"
 LISTING_PAGE = r"(?i)(?:godept_list|document_dept_list|go\.php|whatsnew\.php)"
 
+#: What a reset empties; documents, sources, golden annotations and the audit log are never touched.
+RESET = (
+    "download_log", "saved_records", "saved_searches", "citizen_sessions", "citizen_users", "agent_sync_log", "extraction_requests", "escalations", "go_field_candidates", "go_fields", "calibration_snapshots", "extraction_failures",
+    "certification_benchmark_runs", "go_records", "document_categories", "ocr_pages", "ocr_runs", "extraction_pages", "extractions", "crawl_evidences", "crawl_runs", "certification_jobs",
+)
+
+#: (phase, exception, root cause, confidence, stage that failed).
+EXCEPTIONS = [
+    ("url", "ValueError", "URL_VALIDATION_FAILED", "HIGH", "REQUEST_CREATED"), ("policy", "SourceRejected", "POLICY_BLOCKED", "HIGH", "POLICY_VALIDATION"),
+    ("redirect", "SourceRejected", "REDIRECT_POLICY_BLOCKED", "HIGH", "REDIRECT_VALIDATION"),
+    ("dns", "gaierror", "DNS_RESOLUTION_FAILED", "HIGH", "DNS_RESOLUTION"), ("dns", "TimeoutError", "DNS_RESOLUTION_FAILED", "MEDIUM", "DNS_RESOLUTION"),
+    ("tcp", "ConnectionRefusedError", "TCP_CONNECTION_FAILED", "HIGH", "TCP_CONNECT"), ("tcp", "TimeoutError", "CONNECT_TIMEOUT", "MEDIUM", "TCP_CONNECT"),
+    ("tcp", "HostUnreachable", "REMOTE_HOST_UNREACHABLE", "HIGH", "TCP_CONNECT"), ("tcp", "OSError", "TCP_CONNECTION_FAILED", "MEDIUM", "TCP_CONNECT"),
+    ("tls", "SSLCertVerificationError", "TLS_HANDSHAKE_FAILED", "HIGH", "TLS_HANDSHAKE"),
+    ("tls", "SSLError", "TLS_HANDSHAKE_FAILED", "HIGH", "TLS_HANDSHAKE"), ("tls", "TimeoutError", "CONNECT_TIMEOUT", "MEDIUM", "TLS_HANDSHAKE"),
+    ("http", "ReadTimeout", "READ_TIMEOUT", "HIGH", "HTTP_RESPONSE_RECEIVED"), ("http", "RemoteProtocolError", "REMOTE_SERVER_DROPPED_CONNECTION", "HIGH", "HTTP_RESPONSE_RECEIVED"),
+    ("http", "ConnectionResetError", "REMOTE_SERVER_DROPPED_CONNECTION", "HIGH", "HTTP_RESPONSE_RECEIVED"), ("http", "ConnectTimeout", "CONNECT_TIMEOUT", "LOW", "TCP_CONNECT"),
+]
+UNKNOWN = {"dns": ("DNS_RESOLUTION_FAILED", "DNS_RESOLUTION"), "tcp": ("TCP_CONNECTION_FAILED", "TCP_CONNECT"), "tls": ("TLS_HANDSHAKE_FAILED", "TLS_HANDSHAKE"), "http": ("UNKNOWN_FAILURE", "HTTP_REQUEST_SENT")}
+
+#: (name, department, priority) of the sources that every registry begins with.
+SEED_SOURCES = [
+    ("Tamil Nadu GO Portal", "All Departments", "Critical"), ("Tamil Nadu Government Portal", "All Departments", "Critical"), ("Tamil Nadu Government Gazette", "Stationery and Printing", "Critical"),
+    ("Health and Family Welfare Department", "Health and Family Welfare", "High"), ("School Education Department", "School Education", "High"), ("Rural Development Department", "Rural Development and Panchayat Raj", "High"),
+    ("Public Works Department", "Public Works", "High"), ("Agriculture Department", "Agriculture and Farmers Welfare", "High"), ("Highways Department", "Highways and Minor Ports", "High"),
+    ("Water Resources Department", "Water Resources", "High"), ("Municipal Administration Department", "Municipal Administration and Water Supply", "High"), ("Revenue Department", "Revenue and Disaster Management", "High"),
+    ("Finance Department", "Finance", "High"), ("Housing Department", "Housing and Urban Development", "High"), ("Transport Department", "Transport", "High"),
+    ("Industries Department", "Industries, Investment Promotion and Commerce", "High"), ("Environment Department", "Environment, Climate Change and Forests", "High"), ("Tourism Department", "Tourism, Culture and Religious Endowments", "High"),
+    ("Labour Department", "Labour Welfare and Skill Development", "High"), ("Social Welfare Department", "Social Welfare and Women Empowerment", "High"),
+    ("Animal Husbandry and Fisheries Department", "Animal Husbandry, Dairying, Fisheries and Fishermen Welfare", "High"), ("Energy Department", "Energy", "High"), ("Cooperation Department", "Co-operation, Food and Consumer Protection", "High"),
+]
+
 #: Names used in generated orders.
 SCHEMES = ("Integrated Flood", "Rural Roads", "Free Breakfast", "Clean Rivers", "Skill Training")

@@ -305,16 +305,9 @@ def cleanup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union([parts[p].agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("total")).select(F.lit(p).alias("part"), "n", "total") for p, key in keys.items()])
 
 
-#: What a reset empties; documents, sources, golden annotations and the audit log are never touched.
-RESET = (
-    "download_log", "saved_records", "saved_searches", "citizen_sessions", "citizen_users", "agent_sync_log", "extraction_requests", "escalations", "go_field_candidates", "go_fields", "calibration_snapshots", "extraction_failures",
-    "certification_benchmark_runs", "go_records", "document_categories", "ocr_pages", "ocr_runs", "extraction_pages", "extractions", "crawl_evidences", "crawl_runs", "certification_jobs",
-)
-
-
 def reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables after a reset: derived ones empty, discoveries back at what their archived file shows, nothing published."""
-    out = {name: rows.where(F.lit(False)) if name in RESET else rows for name, rows in tables.items()}
+    out = {name: rows.where(F.lit(False)) if name in V.RESET else rows for name, rows in tables.items()}
     if "discovered_documents" in out:
         back = F.when(F.col("status").isin("parsed", "verified", "rejected"), "downloaded").otherwise(F.col("status"))
         out["discovered_documents"] = out["discovered_documents"].where("status <> 'new'").withColumns({"status": back, "first_crawl_run_id": F.lit(None).cast("bigint")})

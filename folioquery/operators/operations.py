@@ -334,28 +334,13 @@ def status_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", code.alias("code"), W.status_cause(code).alias("cause"))
 
 
-#: Fixed values: (phase, exception, root cause, confidence, stage that failed).
-EXCEPTIONS = [
-    ("url", "ValueError", "URL_VALIDATION_FAILED", "HIGH", "REQUEST_CREATED"), ("policy", "SourceRejected", "POLICY_BLOCKED", "HIGH", "POLICY_VALIDATION"),
-    ("redirect", "SourceRejected", "REDIRECT_POLICY_BLOCKED", "HIGH", "REDIRECT_VALIDATION"),
-    ("dns", "gaierror", "DNS_RESOLUTION_FAILED", "HIGH", "DNS_RESOLUTION"), ("dns", "TimeoutError", "DNS_RESOLUTION_FAILED", "MEDIUM", "DNS_RESOLUTION"),
-    ("tcp", "ConnectionRefusedError", "TCP_CONNECTION_FAILED", "HIGH", "TCP_CONNECT"), ("tcp", "TimeoutError", "CONNECT_TIMEOUT", "MEDIUM", "TCP_CONNECT"),
-    ("tcp", "HostUnreachable", "REMOTE_HOST_UNREACHABLE", "HIGH", "TCP_CONNECT"), ("tcp", "OSError", "TCP_CONNECTION_FAILED", "MEDIUM", "TCP_CONNECT"),
-    ("tls", "SSLCertVerificationError", "TLS_HANDSHAKE_FAILED", "HIGH", "TLS_HANDSHAKE"),
-    ("tls", "SSLError", "TLS_HANDSHAKE_FAILED", "HIGH", "TLS_HANDSHAKE"), ("tls", "TimeoutError", "CONNECT_TIMEOUT", "MEDIUM", "TLS_HANDSHAKE"),
-    ("http", "ReadTimeout", "READ_TIMEOUT", "HIGH", "HTTP_RESPONSE_RECEIVED"), ("http", "RemoteProtocolError", "REMOTE_SERVER_DROPPED_CONNECTION", "HIGH", "HTTP_RESPONSE_RECEIVED"),
-    ("http", "ConnectionResetError", "REMOTE_SERVER_DROPPED_CONNECTION", "HIGH", "HTTP_RESPONSE_RECEIVED"), ("http", "ConnectTimeout", "CONNECT_TIMEOUT", "LOW", "TCP_CONNECT"),
-]
-UNKNOWN = {"dns": ("DNS_RESOLUTION_FAILED", "DNS_RESOLUTION"), "tcp": ("TCP_CONNECTION_FAILED", "TCP_CONNECT"), "tls": ("TLS_HANDSHAKE_FAILED", "TLS_HANDSHAKE"), "http": ("UNKNOWN_FAILURE", "HTTP_REQUEST_SENT")}
-
-
 def classified(failures: DataFrame) -> DataFrame:
     """failures(phase, exception, code, ...) with root_cause, confidence and failure_stage.
 
     A status code decides where there is one: a cause of its own names no failed stage. An unlisted exception takes its phase's cause at LOW.
     """
-    known = failures.sparkSession.createDataFrame(EXCEPTIONS, "phase string, exception string, root_cause string, confidence string, failure_stage string")
-    other = failures.sparkSession.createDataFrame([(p, *x) for p, x in UNKNOWN.items()], "phase string, other_cause string, other_stage string")
+    known = failures.sparkSession.createDataFrame(V.EXCEPTIONS, "phase string, exception string, root_cause string, confidence string, failure_stage string")
+    other = failures.sparkSession.createDataFrame([(p, *x) for p, x in V.UNKNOWN.items()], "phase string, other_cause string, other_stage string")
     out = failures.join(F.broadcast(known), ["phase", "exception"], "left").join(F.broadcast(other), "phase", "left")
     answered, own = F.col("code").isNotNull(), W.status_cause(F.col("code"))
     cause = F.when(answered, F.coalesce(own, F.lit("UNKNOWN_FAILURE"))).otherwise(F.coalesce("root_cause", "other_cause", F.lit("UNKNOWN_FAILURE")))
@@ -499,6 +484,33 @@ def registry_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.unionByName(seed.join(once, "name", "left_anti").select("name", "region"))
 
 
+def seeded(registry: DataFrame, seed: DataFrame, key: str) -> DataFrame:
+    """registry with the rows of seed whose key it lacks; doing so again changes nothing. A seed that names a key twice adds it once."""
+    new = seed.join(registry.select(key), key, "left_anti").dropDuplicates([key]).select(*[c for c in registry.columns])
+    return registry.unionByName(new)
+
+
+@C.query(
+    f"""WITH have AS (SELECT s_name AS name, 'Revenue and Disaster Management' AS department, 'Normal' AS priority FROM supplier), seed(name, department, priority) AS (VALUES {", ".join(f"('{n}', '{d}', '{p}')" for n, d, p in V.SEED_SOURCES)})
+SELECT * FROM have UNION ALL SELECT * FROM seed WHERE name NOT IN (SELECT name FROM have)"""
+)
+def source_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of sources, seeded twice."""
+    have = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("Revenue and Disaster Management").alias("department"), F.lit("Normal").alias("priority"))
+    seed = spark.createDataFrame(V.SEED_SOURCES, "name string, department string, priority string")
+    return seeded(seeded(have, seed, "name"), seed, "name")
+
+
+@C.query(
+    f"""WITH have AS (SELECT n_name AS name, n_regionkey AS state FROM nation), seed AS (SELECT unnest({list(V.DISTRICTS)}) AS name) SELECT * FROM have UNION ALL SELECT name, -1 FROM seed WHERE name NOT IN (SELECT name FROM have)"""
+)
+def geography_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of districts with those of the state added that it lacks, under a state of their own."""
+    have = load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("state"))
+    seed = spark.createDataFrame([(d, -1) for d in V.DISTRICTS], "name string, state int").select("name", F.col("state").cast(have.schema["state"].dataType).alias("state"))
+    return seeded(seeded(have, seed, "name"), seed, "name")
+
+
 @C.query(
     """WITH s AS (SELECT o_custkey AS id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS ok, max(o_totalprice) AS top FROM orders GROUP BY o_custkey)
 SELECT id, 'Source ' || id || chr(10) || 'Runs: ' || n || chr(10) || 'Succeeded: ' || ok || ' (' || 100 * ok // n || '%)' AS report FROM s"""

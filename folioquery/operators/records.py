@@ -67,7 +67,7 @@ def versions(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
     return kept.withColumn("version", F.row_number().over(by).cast("bigint")).withColumn("supersedes", F.lag(order).over(by)).withColumn("superseded_by", F.lead(order).over(by))
 
 
-_VERSIONED = """versioned AS (SELECT source || '/' || CAST(doc_id % 3 AS VARCHAR) AS name, doc_id, lang AS content FROM documents),
+_VERSIONED = """versioned AS (SELECT o_custkey AS name, o_orderkey AS doc_id, o_orderpriority AS content FROM orders),
 flagged AS (SELECT *, lag(content) OVER w AS last FROM versioned WINDOW w AS (PARTITION BY name ORDER BY doc_id)),
 kept AS (SELECT * FROM flagged WHERE last IS NULL OR last <> content)"""
 
@@ -76,7 +76,7 @@ kept AS (SELECT * FROM flagged WHERE last IS NULL OR last <> content)"""
     f"WITH {_VERSIONED} SELECT name, doc_id, content, row_number() OVER w AS version, lag(doc_id) OVER w AS supersedes, lead(doc_id) OVER w AS superseded_by FROM kept WINDOW w AS (PARTITION BY name ORDER BY doc_id)"
 )
 def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("lang is not null").select(F.concat_ws("/", "source", (F.col("doc_id") % 3).cast("string")).alias("name"), "doc_id", F.col("lang").alias("content"))
+    docs = load(spark, sf_dir, "orders").where("o_orderpriority is not null").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("content"))
     return versions(docs, "name", "doc_id", "content")
 
 

@@ -12,9 +12,9 @@ from .streaming import streams
 MODULES = (extraction, records, review, quality, web, operations, governance, constraints, workbench, administration, matching, crawling, claims, exchange, registries, runs, reports, streams)
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship: order numbers with evidence, from generated order text to one ranked winner for each order."""
-    return extraction.order_number(spark, "/root/testdata/sf0.001")
+    return extraction.order_number(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
