@@ -2,9 +2,10 @@
 
 Codes: unit vectors are centred and turned to their principal axes, and a rotation is learned, by alternating signs and the best
 orthogonal fit, that brings them close to the corners of a cube; the signs are balanced bits. TRAIN vectors, those of least
-hash, teach it. Bits form TABLES of code blocks; two vectors meet where some block is equal, by their codes alone, and of those that meet only
+hash, teach it. A code has at most CODE bits. Blocks of bits are the keys of tables: side by side where the code is long enough for all, else drawn from it anew for each
+table. Two vectors meet where some block is equal, by their codes alone, and of those that meet only
 pairs within `radius` bits of each other over the whole code go on. Block width follows the number of vectors, so that a block value
-holds some BUCKET of them, and the number of blocks follows from the width: a pair just at the threshold meets in some table but for a chance
+holds some BUCKET of them, and the number of tables follows from the width: a pair just at the threshold meets in some table but for a chance
 of MISS (bits of such a pair differ with chance angle / pi), and lies within the radius but for a few in ten thousand.
 Vectors with such a partner are fetched, once for each table that has one, and reranked by the cosine of the original vectors in double
 precision, so no link is below the threshold.
@@ -13,8 +14,8 @@ Equal vectors are one class with a weight. A pair that meets in several tables c
 vector (whether it has a partner; then its links there, and the least class they lead to), never the pairs. A hot block value is dealt into parts,
 each two parts to a task (see group_plan).
 
-Scale: codes of some ten bytes are shuffled once for each table; the number of tables grows as n**0.22 at 0.9 (11 for 50,000 vectors, 200 for
-10**10). Comparisons of codes are some BUCKET for each vector and table. Links inside a cluster of n unlike vectors need its n * n / 2
+Scale: what is shuffled for each table is a block value, an id and a code of at most 32 bytes, whatever the number of vectors (11 bytes for 50,000); the number of tables
+grows as n**0.22 at 0.9 (11 for 50,000 vectors, 200 or so for 10**10). Copies of one vector, and vectors that link with nothing, are no key of their own in the last join. Comparisons of codes are some BUCKET for each vector and table. Links inside a cluster of n unlike vectors need its n * n / 2
 comparisons, as each is to be counted.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components has no links and is its own component;
@@ -26,18 +27,20 @@ vec_id and embedding are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi, sqrt
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, checkpointed, components, group_plan, roots, table
+from .common import by_key, checkpointed, components, group_plan, roots, spread_join, table
 
 TRAIN = 20_000
 BUCKET = 256
 MISS = 0.03
+#: Bits of a code, at most.
+CODE = 256
 PART = 512
 ROUNDS = 30
 
@@ -49,10 +52,25 @@ def radius(bits: int, threshold: float) -> int:
 
 
 def plan_tables(n: int, threshold: float) -> tuple[int, int]:
-    """Bits of a block, and number of blocks."""
+    """Bits of a block, and number of tables."""
     width = min(30, max(4, ceil(log2(max(n, 1) / BUCKET)))) if n > BUCKET else 4
-    agree = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** width
-    return width, max(1, ceil(log(MISS) / log(1 - agree))) if agree < 1 else 1
+    apart = acos(max(-1.0, min(1.0, threshold))) / pi
+    agree = (1 - apart) ** width
+    tables = max(1, ceil(log(MISS) / log(1 - agree))) if agree < 1 else 1
+    if width * tables > CODE:  # blocks are drawn from one code, so a pair that differs much misses in all tables at once
+        chance = [comb(CODE, h) * apart**h * (1 - apart) ** (CODE - h) for h in range(CODE + 1)]
+        meets = [comb(CODE - h, width) / comb(CODE, width) for h in range(CODE + 1)]
+        while sum(c * (1 - m) ** tables for c, m in zip(chance, meets, strict=True)) > MISS:
+            tables += 1
+    return width, tables
+
+
+def block_places(width: int, tables: int) -> np.ndarray:
+    """The bits of the block of each table, a row each."""
+    if width * tables <= CODE:
+        return np.arange(width * tables).reshape(tables, width)
+    r = np.random.default_rng(11)
+    return np.stack([r.permutation(CODE)[:width] for _ in range(tables)])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -96,10 +114,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width, tables = plan_tables(classes.count(), threshold)
+    places = block_places(width, tables)
+    n_bits = int(places.max()) + 1 if width * tables <= CODE else CODE
     d = sizes[0]["d"]
     sample = classes.where(F.size("v") == d).orderBy(F.xxhash64("k1")).limit(TRAIN).select("v").toArrow()["v"].combine_chunks()
-    model = learn_rotations(unit(np.asarray(sample.flatten(), float).reshape(-1, d)), width * tables)
-    reach = radius(width * tables, threshold)
+    model = learn_rotations(unit(np.asarray(sample.flatten(), float).reshape(-1, d)), n_bits)
+    reach = radius(n_bits, threshold)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -110,9 +130,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                 x = unit(np.asarray(some.column("v").flatten(), float).reshape(-1, n))
                 if n != d and n not in others:  # the few vectors of another length get random rotations
                     r = np.random.default_rng(n)
-                    others[n] = np.zeros(n), np.concatenate([np.linalg.qr(r.standard_normal((n, n)))[0] for _ in range(-(-width * tables // n))], 1)[:, : width * tables]
+                    others[n] = np.zeros(n), np.concatenate([np.linalg.qr(r.standard_normal((n, n)))[0] for _ in range(-(-n_bits // n))], 1)[:, :n_bits]
                 bits = _bits(x, model if n == d else others[n])
-                codes = bits.reshape(len(x), -1, width).astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
+                codes = bits[:, places].astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
                 blocks = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(codes.ravel().astype(np.int32)))
                 packed = pa.array([a.tobytes() for a in np.packbits(bits, axis=1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column("cid"), pa.array(np.full(len(x), n, np.int32)), blocks, packed], ["cid", "d", "codes", "bits"])
@@ -124,16 +144,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     def near(group: pa.Table) -> np.ndarray:
         """Which two rows of a group lie within the radius and meet in no table before this one."""
         t, side = group["t"][0].as_py(), np.asarray(group["_own"])
-        bits = np.unpackbits(np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint8).reshape(group.num_rows, -1), axis=1, count=width * tables)
+        bits = np.unpackbits(np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint8).reshape(group.num_rows, -1), axis=1, count=n_bits)
         sign = bits.astype(np.float32) * 2 - 1
-        close = sign @ sign.T >= width * tables - 2 * reach
+        close = sign @ sign.T >= n_bits - 2 * reach
         np.fill_diagonal(close, False)
         if group["_i"][0] != group["_j"][0]:
             close &= side[:, None] != side[None]
         a, b = np.nonzero(close) if t else ((), ())
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            same = (bits[x] == bits[y])[:, : t * width].reshape(len(x), t, width).all(2).any(1)
+        for at in range(0, len(a), 1 << 13):
+            x, y = a[at : at + (1 << 13)], b[at : at + (1 << 13)]
+            same = (bits[x] == bits[y])[:, places[:t]].all(2).any(1)
             close[x[same], y[same]] = False
         return close
 
@@ -160,9 +180,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     named = classes.select("k1", "k2", "cid", "least", "weight").join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = named.join(found.groupBy("cid").agg(F.sum("n").alias("n")), "cid", "left")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.lit(True).alias("valid"))
-    out = rows.select("vec_id", "valid", "k1", "k2").join(named, ["k1", "k2", "valid"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    named = named.join(least, "root").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("bigint").alias("n_links"), "component_id", "weight")
+    out = spread_join(rows.where("valid").select("vec_id", "k1", "k2"), named, ["k1", "k2"], "weight").select("vec_id", "n_links", "component_id")
+    out = out.unionByName(rows.where(~F.col("valid")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

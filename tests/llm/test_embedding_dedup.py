@@ -68,6 +68,23 @@ def test_recall_at_the_threshold(spark):
     assert found >= 0.93 * 2_000
 
 
+def test_recall_with_blocks_drawn_from_one_code(spark, monkeypatch):
+    """As for very many vectors: a code too short for blocks side by side."""
+    assert E.plan_tables(10**9, 0.9)[0] * E.plan_tables(10**9, 0.9)[1] > E.CODE == 256 and E.block_places(22, 150).shape == (150, 22)
+    monkeypatch.setattr(E, "CODE", 48)
+    monkeypatch.setattr(E, "BUCKET", 8)
+    width, tables = E.plan_tables(4_000, 0.9)
+    assert width * tables > 48 >= E.plan_tables(100, 0.99)[0] * E.plan_tables(100, 0.99)[1]
+    r = np.random.default_rng(4)
+    x = E.unit(r.standard_normal((3_000, 32)))
+    y = r.standard_normal((1_000, 32))
+    y -= (y * x[:1_000]).sum(1, keepdims=True) * x[:1_000]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, 0.9005 * x[:1_000] + np.sqrt(1 - 0.9005**2) * E.unit(y)]))]
+    out = run(spark, rows)
+    assert sum(n > 0 for i, n, _ in out if i >= 3_000) >= 0.93 * 1_000
+    assert all(n <= m for (_, n, _), (_, m, _) in zip(out, expected(rows), strict=True))  # no link below the threshold, none counted twice
+
+
 def test_few_vectors_are_fetched(spark):
     """Of vectors without a near one only those within the radius by chance leave the tables."""
     r = np.random.default_rng(6)
