@@ -147,6 +147,10 @@ def filter_of(contents: DataFrame, most: int = FILTER_BITS) -> Filter:
     return Filter(cells)
 
 
+#: Words of the windows that a task looks at together.
+CELLS = 1 << 19
+
+
 def windows(words: Words, known: Filter, lengths: list[int], threshold: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(item length, words of a window, first words, texts) of the windows that may reach the threshold with some item of that length."""
     grams, at = words.grams(SHINGLE)
@@ -166,8 +170,10 @@ def windows(words: Words, known: Filter, lengths: list[int], threshold: float) -
         full = n - SHINGLE + 1
         fit = sizes[texts] >= n
         # a window starts at s and has its shingles at s .. s + full - 1
-        spread = np.unique((places[fit, None] - np.arange(full)).ravel())
-        spread = spread[spread >= 0]
+        last = places[fit]
+        begin = np.maximum(last - full + 1, np.concatenate([[0], last[:-1] + 1])) if len(last) else last  # what the place before has not covered
+        many = last - begin + 1
+        spread = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
         owner = np.searchsorted(words.first, spread, side="right") - 1
         ok = spread + n <= words.first[owner + 1]
         spread, owner = spread[ok], owner[ok]
@@ -196,8 +202,9 @@ def candidate_windows(docs: DataFrame, known: Filter, lengths: list[int], thresh
             batch = batch.take(pa.array(np.unique(names, axis=0, return_index=True)[1]))
             words = words_of(batch.column("text"), lower=True, letters=True)
             for n, long, starts, owner in windows(words, held.value, lengths, threshold):
-                for a in range(0, len(starts), 1024):
-                    s, texts = starts[a : a + 1024], owner[a : a + 1024]
+                some = max(1, CELLS // long)
+                for a in range(0, len(starts), some):
+                    s, texts = starts[a : a + some], owner[a : a + some]
                     sizes = [np.full(len(s), x, np.int32) for x in (long, n)]
                     columns = [batch.column("t").take(pa.array(texts)), pa.array((s - words.first[texts]).astype(np.int32)), *map(pa.array, sizes), *_run_columns(words.hash[s[:, None] + np.arange(long)])]
                     yield pa.RecordBatch.from_arrays(columns, ["t", "start", "n_words", "n", *(f.name for f in _RUN)])

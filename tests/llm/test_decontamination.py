@@ -1,11 +1,13 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from folioquery.llm import decontamination as D
-from folioquery.llm.common import table
+from folioquery.llm.common import table, words_of
 
 
 def words(text):
@@ -131,3 +133,24 @@ def test_query_against_brute_force(spark):
     out = {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in D.op4_decontamination(spark, sf).collect()}
     want = {(docs[row][0], i): round(s, 9) for (row, i), s in expected(docs, items).items()}
     assert want and out == want
+
+
+def test_long_items_in_bounded_memory(spark):
+    """An item of 20,000 words and a text that holds it but for some words: windows are found as ranges, not as all places times all offsets."""
+    r = random.Random(12)
+    words = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+
+    class Every:
+        def has(self, values):
+            return np.ones(len(values), bool)
+
+    text = words_of(pa.array([" ".join(words), " ".join(words[:19_000])]), lower=True, letters=True)
+    tracemalloc.start()
+    found = [(n, long, len(s)) for n, long, s, _ in D.windows(text, Every(), [6_000, 20_000], 0.8)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(6_000, 6_000, 14_001 + 13_001), (20_000, 20_000, 1), (20_000, 19_000, 1)] and peak < 40_000_000
+    edited = ["x" if i % 400 == 7 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(["before", *edited, "after"])), (3, " ".join(words[:9_000])), (4, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    assert sorted(x["doc_id"] for x in D.uncontaminated(docs, items).collect()) == [3, 4]
