@@ -6,6 +6,7 @@ maximal runs of bytes other than tab, line feed, vertical tab, form feed, carria
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ _rng = np.random.default_rng(20240521)
 _PLACES = 64
 _BYTE_AT = _rng.integers(0, 2**64, _PLACES * 256, dtype=np.uint64)
 _STEP = 0xD6E8FEB86659FD93
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -149,6 +151,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Give memory that Arrow and numpy have freed back to the system, as a worker lives on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def by_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: tuple[str, ...] | list[str] = ()) -> DataFrame:
