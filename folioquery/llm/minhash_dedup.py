@@ -15,7 +15,8 @@ group of n near copies yields fewer than n rows. Hot posting lists are treated t
 
 Scale: signatures of a hundred bytes and 64-bit postings are shuffled, texts once (to find the full sets of classes with a candidate).
 Exact copies cost a hash each, as they share a class. n unlike near copies cost n * PART comparisons where they link with each other or
-with the pivot; m classes of such a cluster that stay apart cost m * n more, in m * n / PART**2 tasks. No join has a key of its own task (see spread_join).
+with the pivot; m classes of such a cluster that stay apart cost m * n more, in m * n / PART**2 tasks. Joins on keys that
+many rows may have are spread (see spread_join), but for the last one, on the classes of a cluster, which Spark may split.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component; fewer than
 five words make one shingle; rows with repeated doc_id are judged by their own texts, and one component_id counts for

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, mix, slices, table, words_of
+from .common import Words, checkpointed, give_back, mix, slices, table, words_of
 
 BITS = 20
 #: Bytes of a word's beginnings, which stand for its inflected forms.
@@ -125,7 +125,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, round
         held.unpersist()
     w = _weights(z, n)
     at = np.flatnonzero(w)
-    return at, w[at], prior
+    model = at, w[at], prior
+    del z, n, w
+    give_back()  # the driver has far less to hold from here on
+    return model
 
 
 def _scores(held, bits: int) -> Callable[[pa.Array], np.ndarray]:
