@@ -25,6 +25,16 @@ def test_components_against_union_find(spark):
         assert len(out) == len(want) and {o["id"]: o["component"] for o in out} == want
 
 
+def test_stars_need_no_round_and_a_path_none_to_confirm(spark, monkeypatch):
+    rounds, join = [], C.spread_join
+    monkeypatch.setattr(C, "spread_join", lambda *a: rounds.append(1) or join(*a))
+    stars = [(0, i) for i in range(1, 40)] + [(i, 100) for i in range(101, 120)] + [(7, 0)]
+    out = C.components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(map(tuple, out)) == [(i, 0) for i in range(40)] + [(i, 100) for i in range(100, 120)] and not rounds
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0 and not rounds
+    assert {r["component"] for r in C.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()} == {1} and len(rounds) == 1
+
+
 def test_spread_join_equals_join(spark, monkeypatch):
     monkeypatch.setattr(C, "HUBS", 3)
     rows = spark.range(600).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 7 = 0 THEN 2 ELSE id % 50 END AS k", "id AS x", "1 AS _hub")

@@ -109,3 +109,21 @@ def test_too_many_rows_for_half_precision_raise(spark):
             list(learn(iter([pa.RecordBatch.from_pydict({"text": ["a"], "label": [1]})])))
     finally:
         T._learn = T_learn
+
+
+def test_driver_gets_sums_whatever_the_shards(spark, monkeypatch):
+    frame = spark.createDataFrame(labelled_texts(), "doc_id long, text string, label int")
+    collect, got = type(frame).collect, []
+    monkeypatch.setattr(type(frame), "collect", lambda self: got.append(rows := collect(self)) or rows)
+    one = T.train(frame, bits=16, shards=5, rounds=2)
+    sizes = [sum(len(x) for r in rows for x in r if isinstance(x, bytes | bytearray)) for rows in got]
+    assert [n for n in sizes if n] == [8 << 16] * 2
+    assert len(one[0]) and all(np.array_equal(a, b) for a, b in zip(one, T.train(frame, bits=16, shards=5, rounds=2)))
+
+
+def test_sums_of_half_precision_lose_nothing():
+    parts = np.array([[60000, 2**-24, 1], [60000, 60000, -1], [1, -60000, 0.5]], np.float16)
+    both = [pa.array([p.tobytes() for p in parts], pa.binary())] * 2
+    out = T._added(pa.table([pa.array([3] * 3, pa.int32()), *both], ["chunk", "dz", "dn"]))
+    assert out.num_rows == 1 and out.column("chunk").to_pylist() == [3]
+    assert np.frombuffer(out.column("dz")[0].as_py(), np.float32).tolist() == parts.astype(float).sum(0).astype(np.float32).tolist()
