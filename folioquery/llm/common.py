@@ -251,16 +251,19 @@ def roots(linked: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges(a long, b long): component is the smallest id that links lead to.
 
-    Alternates large-star and small-star rounds; each moves at most as many rows as there are edges. Least neighbours are found with partial
-    minima before the shuffle and given back by spread_join, so a hub is no task of its own; then each vertex has only the few smaller ones that
-    its neighbours named. Rounds end when all edges lead to roots, which edges that a task has made to a forest often do at once: a round is
-    some ten stages, whose plans and tasks cost the driver memory however few the edges are. Lineage is cut by a checkpoint in each.
+    Alternates large-star and small-star rounds; each moves at most as many rows as there are edges. An edge is held once, with its larger end as u:
+    the least neighbour of a vertex is the least v of the edges that it is the u of, and the edges to its larger neighbours are those that it is the
+    v of, so no edge is joined twice. Least neighbours are found with partial minima before the shuffle and given back by spread_join, so a hub among
+    the smaller ends is no task of its own; the last join deals edges by their larger ends, as they come. Rounds end when all edges lead to roots,
+    which edges that a task has made to a forest often do at once: a round is some ten stages, whose plans and tasks cost the driver memory however
+    few the edges are.
+    Lineage is cut by a checkpoint in each.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _stars(now):
-        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = spread_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ends = now.select("v", F.lit(None).cast("bigint").alias("m"), F.lit(1).alias("n")).union(now.select("u", "v", F.lit(0)))
+        above = ends.groupBy("v").agg(F.coalesce(F.min("m"), "v").alias("m"), F.sum("n").alias("n")).where("n > 0")
+        large = spread_join(now, above, ["v"], "n").select("u", F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
         now = checkpointed(large.join(down, "u").select(moved.alias("u"), F.col("m").alias("v")).distinct())

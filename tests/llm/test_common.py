@@ -35,6 +35,24 @@ def test_stars_need_no_round_and_a_path_none_to_confirm(spark, monkeypatch):
     assert {r["component"] for r in C.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()} == {1} and len(rounds) == 1
 
 
+def test_a_round_joins_each_edge_once(spark, monkeypatch):
+    """A group of n near copies that m lists hold comes as up to m * n edges, and so many rows are joined, not their mirror images too."""
+    joined, join = [], C.spread_join
+
+    def spread(rows, *a):
+        joined.append(rows.count())
+        return join(rows, *a)
+
+    monkeypatch.setattr(C, "spread_join", spread)
+    r = random.Random(5)
+    for n in (200, 800):
+        edges = {(max(e), min(e)) for _ in range(6) for m in [r.sample(range(n), n // 2)] for e in [(m[0], x) for x in m[1:]]}
+        joined.clear()
+        out = C.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()
+        assert len({o["component"] for o in out}) == 1 and len(out) == len({x for e in edges for x in e})
+        assert joined[0] == len(edges) and max(joined) <= len(edges)
+
+
 def test_spread_join_equals_join(spark, monkeypatch):
     monkeypatch.setattr(C, "HUBS", 3)
     rows = spark.range(600).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 7 = 0 THEN 2 ELSE id % 50 END AS k", "id AS x", "1 AS _hub")
