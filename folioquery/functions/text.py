@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -42,17 +42,51 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-_MARK, _OTHER = "\x01", "\x02"
+_MARK, _END, _OTHER = "\x01", "\x02", "\x03"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<found,start,end>> of all matches; the pattern must not match an empty string.
+def is_odd(text: Column) -> Column:
+    """Whether a text holds a mark that marked sets."""
+    return F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_END))
+
+
+def unmarked(text: Column) -> Column:
+    """A text to search for matches: a mark in it counts as another control sign."""
+    return F.when(is_odd(text), F.translate(text, _MARK + _END, _OTHER * 2)).otherwise(text)
+
 
-    The pattern runs once: matches are set between marks, so that every second piece is one. A mark in the text itself counts as another control sign.
+def marked(text: Column, pattern: str, skip: str | None = None) -> Column:
+    """An unmarked text with each match between marks, so that every second piece is one; the pattern must not match an empty string.
+
+    skip is a pattern for stretches within which no match begins if none begins at their first character; where the pattern fails, they are passed over at once.
     """
+    if skip is None:
+        return F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}")
+    both = F.regexp_replace(text, f"(?<match>{pattern})|(?<skip>{skip})", f"${{skip}}{_MARK}${{match}}{_END}")
+    return F.replace(F.replace(both, F.lit(_MARK + _END), F.lit("")), F.lit(_END), F.lit(_MARK))
+
+
+def marked_at(text: Column, start: Column, n: Column) -> Column:
+    """An unmarked text with marks around n characters."""
+    return F.concat(F.substring(text, F.lit(1), start), F.lit(_MARK), F.substring(text, start + 1, n), F.lit(_MARK))
+
+
+#: Marks around nothing.
+NONE_MARKED = _MARK * 2
+
+
+def found_in(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each match in a column of marked texts: its place among them (turn, from 0), found and start. Generated code alone, no lambda over pieces."""
+    pieces = rows.where(F.contains(column, F.lit(_MARK))).select("*", F.posexplode(F.split(column, _MARK, -1)).alias("_piece", "found")).where("_piece % 2 = 1")
+    start = F.length(F.call_function("substring_index", F.col(column), F.lit(_MARK), F.col("_piece"))) - F.col("_piece") + 1
+    return pieces.withColumn("start", start).withColumn("turn", ((F.col("_piece") - 1) / 2).cast("int")).drop("_piece")
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<found,start,end>> of all matches; the pattern must not match an empty string. The pattern runs once."""
     kind = "array<struct<found:string,start:int,end:int>>"
-    odd = F.contains(text, F.lit(_MARK))
-    marked = F.regexp_replace(F.when(odd, F.replace(text, F.lit(_MARK), F.lit(_OTHER))).otherwise(text), pattern, f"{_MARK}$0{_MARK}")
+    odd = is_odd(text)
+    marked_text = marked(unmarked(text), pattern)
 
     def step(done: Column, x: Column) -> Column:
         end = done["at"] + F.length(x)
@@ -60,7 +94,7 @@ def spans(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), (~done["inside"]).alias("inside"), F.when(done["inside"], F.concat(done["out"], one.cast(kind))).otherwise(done["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(kind).alias("out"))
-    out = F.aggregate(F.split(marked, _MARK, -1), begin, step, lambda done: done["out"])
+    out = F.aggregate(F.split(marked_text, _MARK, -1), begin, step, lambda done: done["out"])
     as_it_was = lambda m: F.struct(F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("found"), m["start"].alias("start"), m["end"].alias("end"))
     return let(out, lambda ms: F.when(odd, F.transform(ms, as_it_was)).otherwise(ms))
 
@@ -124,7 +158,7 @@ def bucket(name: Column) -> Column:
 def built_date(day: Column, month: Column, year: Column) -> Column:
     """A date, null if there is no such day; two-digit years up to 69 are of this century."""
     y = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, month, day))
+    return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), month.cast("string"), F.lit("-"), day.cast("string")).try_cast("date")
 
 
 def parsed_date(value: Column) -> Column:

@@ -65,6 +65,8 @@ DATE_PATTERNS = (
 )
 DEPARTMENT_HEADING = r"(?m)^([A-Z][A-Z&.,'()\-/ ]{3,80}?)\s*(?:\([^()\n]{1,20}\)\s*)?DEPARTMENT\s*$"
 DEPARTMENT_IN_ABSTRACT = r"([A-Z][A-Za-z&.,'()\-/ ]{3,80}?)\s+(?:\([^()\n]{1,20}\)\s+)?Department\b"
+#: From a capital to the end of its run of such characters, if a match from there could be as long: one from a later capital of the run would begin at the first one too.
+NO_DEPARTMENT = r"[A-Z][A-Za-z&.,'()\-/ ]{0,80}+(?![A-Za-z&.,'()\-/ ])"
 ABSTRACT_BLOCK = r"(?ism)^\s*ABSTRACT\s*\n(.+?)(?=\n\s*(?:-{4,}|_{4,}|={4,}|(?-i:[A-Z][A-Z0-9&.,'()\-/ ]{3,80}?DEPARTMENT)\s*$|G\.?\s*[O0]\.?[\s.(]|READ\b))"
 ORDERS_ISSUED = r"(?i)Orders?\s*[-–—]?\s*issued\.?"
 MONEY = r"(?i)(?:Rs\.?|INR|₹|Rupees)\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(crores?|lakhs?|lacs?|thousand)?\s*(?:/-)?"

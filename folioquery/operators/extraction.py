@@ -22,12 +22,21 @@ C = Catalog()
 AS_OF = "2026-06-30"
 
 
+def with_markers(pages: DataFrame) -> DataFrame:
+    """pages(text) with read_at and order_at, where references and body begin."""
+    return pages.withColumn("read_at", T.first_at(F.col("text"), V.READ_MARKER)).withColumn("order_at", T.first_at(F.col("text"), V.ORDER_MARKER))
+
+
+def with_carried(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, page, read_at, order_at), one or more for each page, with carried, the region that the page before ended in."""
+    ends = F.when(F.col("order_at").isNotNull(), "body").when(F.col("read_at").isNotNull(), "references")
+    before = Window.partitionBy("doc_id").orderBy("page").rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("carried", F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit("header")))
+
+
 def with_regions(pages: DataFrame) -> DataFrame:
     """pages(doc_id, page, text) with read_at, order_at and carried, the region that the page before ended in."""
-    out = pages.withColumn("read_at", T.first_at(F.col("text"), V.READ_MARKER)).withColumn("order_at", T.first_at(F.col("text"), V.ORDER_MARKER))
-    ends = F.when(F.col("order_at").isNotNull(), "body").when(F.col("read_at").isNotNull(), "references")
-    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("carried", F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit("header")))
+    return with_carried(with_markers(pages))
 
 
 def region(start: Column) -> Column:
@@ -44,101 +53,91 @@ def region_weight(field: str, where: Column) -> Column:
 
 @dataclass
 class Rule:
-    """How matches of one kind become candidates; the columns are over a row of page, match (found, start, end) and region. A null normalized drops the match."""
+    """How matches of one kind become candidates; marked is the page's text with marks around them. The other columns are over a row of page, found and part_1 to part_3,
+    the first groups of pattern (as many as parts); a null normalized drops the match. base, method and value may use normalized too."""
 
     field: str
-    spans: Column
+    marked: Column
     normalized: Column
     base: Column
     method: Column
+    pattern: str = ""
+    parts: int = 0
     weighted: bool = True
     value: Column | None = None
     first_turn: int = 0
+    if_open: bool = False
 
 
-def _spans(pattern: str, needle: str | None = None) -> Column:
+def _marked(pattern: str, needle: str | None = None, skip: str | None = None) -> Column:
     """Matches on a page; needle is a text that every match holds, which spares the pattern on other pages."""
-    found = T.spans(F.col("text"), pattern)
+    found = T.marked(F.col("plain"), pattern, skip)
     return found if needle is None else F.when(F.contains("text", F.lit(needle)), found)
 
 
-def _part(rx: str, i: int) -> Column:
-    return F.regexp_extract("found", rx, i)
-
-
 def numbers() -> list[Rule]:
-    """Order numbers; a bare order number counts on a page only while the document has no candidate yet (open, see with_open_pages)."""
-    raw = F.concat(_part(V.GO_NUMBER, 1), _part(V.GO_NUMBER, 2))
+    """Order numbers; a bare order number counts on a page only while the document has no candidate yet, see with_open."""
+    raw = F.concat("part_1", "part_2")
     series = F.when(raw != "", F.coalesce(T.looked_up(F.upper(raw), V.SERIES), raw))
-    named = F.when(series.isNull(), F.concat(F.lit("G.O. No."), _part(V.GO_NUMBER, 3))).otherwise(F.concat(F.lit("G.O.("), series, F.lit(") No."), _part(V.GO_NUMBER, 3)))
-    loose = T.spans(F.when(F.col("open"), F.col("text")), V.ORDER_NUMBER)
+    named = F.when(raw == "", F.concat(F.lit("G.O. No."), "part_3")).otherwise(F.concat(F.lit("G.O.("), series, F.lit(") No."), "part_3"))
+    base, method = F.when(raw == "", 0.86).otherwise(0.98), F.when(raw == "", "GO_NUMBER_FULL").otherwise("GO_NUMBER_FULL+series")
     return [
-        Rule("go_number", _spans(V.GO_NUMBER), named, F.when(series.isNull(), 0.86).otherwise(0.98), F.when(series.isNull(), "GO_NUMBER_FULL").otherwise("GO_NUMBER_FULL+series")),
-        Rule("go_number", loose, F.concat(F.lit("Order No."), _part(V.ORDER_NUMBER, 1)), F.lit(0.55), F.lit("ORDER_NUMBER_LOOSE")),
+        Rule("go_number", _marked(V.GO_NUMBER), named, base, method, V.GO_NUMBER, 3),
+        Rule("go_number", _marked(V.ORDER_NUMBER), F.concat(F.lit("Order No."), "part_1"), F.lit(0.55), F.lit("ORDER_NUMBER_LOOSE"), V.ORDER_NUMBER, 1, if_open=True),
     ]
 
 
-def with_open_pages(pages: DataFrame) -> DataFrame:
-    """pages with open: neither a full number up to this page nor a bare one before it."""
+def with_open(rows: DataFrame, full: Column, loose: Column) -> DataFrame:
+    """rows(doc_id, page) with open: neither a full number up to this page nor a bare one before it."""
     so_far = Window.partitionBy("doc_id").orderBy("page")
-    has = pages.withColumn("full", F.col("text").rlike(V.GO_NUMBER)).withColumn("loose", F.col("text").rlike(V.ORDER_NUMBER))
-    has = has.withColumn("any_full", F.max("full").over(so_far)).withColumn("any_loose", F.max("loose").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
-    return has.withColumn("open", ~F.col("any_full") & ~F.coalesce("any_loose", F.lit(False))).drop("full", "loose", "any_full", "any_loose")
+    any_full, any_loose = F.max(full).over(so_far), F.max(loose).over(so_far.rangeBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("open", ~any_full & ~F.coalesce(any_loose, F.lit(False)))
 
 
 def dates(as_of: str = AS_OF) -> list[Rule]:
     out = []
     for i, (name, rx, base) in enumerate(V.DATE_PATTERNS):
-        month = T.looked_up(F.lower(_part(rx, 2)), V.MONTHS) if "TEXTUAL" in name else _part(rx, 2).cast("int")
-        day = T.built_date(_part(rx, 1).cast("int"), month, _part(rx, 3).cast("int"))
-        out.append(Rule("go_date", _spans(rx), F.when(day <= F.lit(as_of).cast("date"), day.cast("string")), F.lit(base), F.lit(name), first_turn=1000 * i))
+        month = T.looked_up(F.lower("part_2"), V.MONTHS) if "TEXTUAL" in name else F.col("part_2").cast("int")
+        day = T.built_date(F.col("part_1").cast("int"), month, F.col("part_3").cast("int"))
+        out.append(Rule("go_date", _marked(rx), F.when(day <= F.lit(as_of).cast("date"), day.cast("string")), F.lit(base), F.lit(name), rx, 3, first_turn=1000 * i))
     return out
 
 
 def departments() -> list[Rule]:
     name = F.col("normalized")
-    heading = F.nullif(T.department(_part(V.DEPARTMENT_HEADING, 1)), F.lit(""))
-    inline = T.let(T.department(_part(V.DEPARTMENT_IN_ABSTRACT, 1)), lambda n: F.when(T.is_department(n), n))
+    heading = F.nullif(T.department(F.col("part_1")), F.lit(""))
+    inline = T.let(T.department(F.col("part_1")), lambda n: F.when(T.is_department(n), n))
     shown = T.collapsed(F.col("found"))
     return [
-        Rule("department", _spans(V.DEPARTMENT_HEADING, "DEPARTMENT"), heading, F.when(T.is_department(name), 0.98).otherwise(0.80), F.lit("DEPARTMENT_HEADING"), value=shown),
-        Rule("department", _spans(V.DEPARTMENT_IN_ABSTRACT, "Department"), inline, F.lit(0.90), F.lit("DEPARTMENT_IN_ABSTRACT"), value=shown, first_turn=1000),
+        Rule("department", _marked(V.DEPARTMENT_HEADING, "DEPARTMENT"), heading, F.when(T.is_department(name), 0.98).otherwise(0.80), F.lit("DEPARTMENT_HEADING"), V.DEPARTMENT_HEADING, 1, value=shown),
+        Rule("department", _marked(V.DEPARTMENT_IN_ABSTRACT, "Department", V.NO_DEPARTMENT), inline, F.lit(0.90), F.lit("DEPARTMENT_IN_ABSTRACT"), V.DEPARTMENT_IN_ABSTRACT, 1, value=shown, first_turn=1000),
     ]
 
 
 def subjects() -> list[Rule]:
     """The abstract, or the paragraph that ends with the issuing formula; weighted by page alone."""
-    text, none = F.col("text"), F.array().cast("array<struct<found:string,start:int,end:int>>")
-    cut = lambda found, start, end: F.array(F.struct(found.alias("found"), start.cast("int").alias("start"), end.cast("int").alias("end")))
-
-    def block(b: Column) -> Column:
-        at = F.position(b, text) - 1
-        return T.let(T.stripped(T.collapsed(b)), lambda body: F.when(body != "", cut(body, at, at + F.length(b))).otherwise(none))
-
-    def tail(at: Column) -> Column:
-        end = at + F.length(F.regexp_extract("text", V.ORDERS_ISSUED, 0))
-        head = F.substring(text, F.lit(1), at)
-        para = F.when(F.contains(head, F.lit("\n\n")), F.length(head) - F.length(F.substring_index(head, "\n\n", -1))).otherwise(0)
-        found = lambda p: T.let(T.stripped(T.collapsed(F.substring(text, p + 1, end - p))), lambda t: F.when(F.length(t).between(15, 1200), cut(t, p, end)))
-        return T.let(para, found)
-
-    abstract = T.let(F.regexp_extract("text", V.ABSTRACT_BLOCK, 1), block)
-    issued = F.when(F.size(abstract) == 0, T.let(T.first_at(text, V.ORDERS_ISSUED), lambda at: F.when(at.isNotNull(), tail(at))))
+    text, body = F.col("plain"), T.stripped(T.collapsed(F.col("found")))
+    empty = F.col("abstract").rlike(r"^[\s\-–—]*$")
+    abstract = F.when(~empty, T.marked_at(text, F.position("abstract", text) - 1, F.length("abstract")))
+    head = F.substring(text, F.lit(1), F.col("issued_at"))
+    end = F.col("issued_at") + F.length(F.regexp_extract(text, V.ORDERS_ISSUED, 0))
+    para = F.when(F.contains(head, F.lit("\n\n")), F.length(head) - F.length(F.substring_index(head, "\n\n", -1))).otherwise(0)
+    issued = F.when(empty & F.col("issued_at").isNotNull(), T.marked_at(text, para, end - para))
     weighed = lambda base: F.lit(base) * page_weight(F.col("page"))
     return [
-        Rule("subject", abstract, F.col("found"), weighed(0.95), F.lit("ABSTRACT_BLOCK"), weighted=False),
-        Rule("subject", issued, F.col("found"), weighed(0.72), F.lit("ORDERS_ISSUED_TAIL"), weighted=False),
+        Rule("subject", abstract, body, weighed(0.95), F.lit("ABSTRACT_BLOCK"), weighted=False, value=body),
+        Rule("subject", issued, F.when(F.length(body).between(15, 1200), body), weighed(0.72), F.lit("ORDERS_ISSUED_TAIL"), weighted=False, value=body),
     ]
 
 
 def budgets() -> list[Rule]:
-    amount = F.replace(_part(V.MONEY, 1), F.lit(","), F.lit("")).try_cast("double")
-    unit = F.lower(_part(V.MONEY, 2))
+    amount = F.replace(F.col("part_1"), F.lit(","), F.lit("")).try_cast("double")
+    unit = F.lower("part_2")
     total = amount * F.coalesce(T.looked_up(unit, V.UNITS), F.lit(1))
     bonus = F.least(F.length(total.cast("decimal(38,0)").cast("string")) / 12.0, F.lit(0.25))
     method = F.concat(F.lit("MONEY_NUMERIC"), F.when(unit != "", F.concat(F.lit("+"), unit)).otherwise(""))
-    shown = T.let(total, lambda t: F.when(t > 0, F.format_string("%.2f", t)))
-    return [Rule("budget", _spans(V.MONEY), shown, F.least(0.70 + bonus, F.lit(0.95)), method, weighted=False)]
+    shown = F.when(total > 0, F.format_string("%.2f", total))
+    return [Rule("budget", _marked(V.MONEY), shown, F.least(0.70 + bonus, F.lit(0.95)), method, V.MONEY, 2, weighted=False)]
 
 
 def _district_pattern() -> str:
@@ -150,7 +149,7 @@ def _district_pattern() -> str:
 def districts() -> list[Rule]:
     """Mentions; at_first_mention makes one candidate of those of a district. Until then confidence is what the word District adds."""
     rx = _district_pattern()
-    return [Rule("district", _spans(rx), T.district(_part(rx, 1)), F.when(_part(rx, 2) != "", 0.10).otherwise(0.0), F.lit("DISTRICT_GAZETTEER"), weighted=False)]
+    return [Rule("district", _marked(rx), T.district(F.col("part_1")), F.when(F.col("part_2") != "", 0.10).otherwise(0.0), F.lit("DISTRICT_GAZETTEER"), rx, 2, weighted=False)]
 
 
 def at_first_mention(rows: DataFrame) -> DataFrame:
@@ -162,34 +161,48 @@ def at_first_mention(rows: DataFrame) -> DataFrame:
 
 
 def schemes() -> list[Rule]:
-    name = F.regexp_replace(F.trim(F.concat(_part(V.SCHEME, 1), _part(V.SCHEME, 2))), r"(?i)^((?:the|under|of|and|for)\s+)+", "")
+    name = F.regexp_replace(F.trim(F.concat("part_1", "part_2")), r"(?i)^((?:the|under|of|and|for)\s+)+", "")
     keyword = name.rlike(V.SCHEME_KEYWORD)
-    shown = T.let(name, lambda n: F.when(F.length(n) >= 6, T.collapsed(n)))
-    return [Rule("scheme_name", _spans(V.SCHEME), shown, F.when(keyword, 0.80).otherwise(0.60), F.when(keyword, "SCHEME_NAME+keyword").otherwise("SCHEME_NAME+quoted"), weighted=False, value=name)]
+    shown = F.when(F.length(name) >= 6, T.collapsed(name))
+    return [Rule("scheme_name", _marked(V.SCHEME), shown, F.when(keyword, 0.80).otherwise(0.60), F.when(keyword, "SCHEME_NAME+keyword").otherwise("SCHEME_NAME+quoted"), V.SCHEME, 2, weighted=False, value=name)]
 
 
 EXTRACTORS = {"go_number": numbers, "go_date": dates, "department": departments, "subject": subjects, "budget": budgets, "district": districts, "scheme_name": schemes}
 
 
 def candidates(pages: DataFrame, fields: tuple[str, ...] = V.ALL_FIELDS) -> DataFrame:
-    """Candidates of the fields, from one pass over pages(doc_id, page, text)."""
+    """Candidates of the fields, from one pass over pages(doc_id, page, text).
+
+    All that needs a text is done before its document's pages are put in order, so that texts are neither moved nor sorted. Each page has a row without a match too,
+    which brings its markers to the pages after it.
+    """
     rules = [r for f in fields for r in EXTRACTORS[f]()]
-    kind = "array<struct<rule:int,turn:int,found:string,start:int,end:int>>"
-
-    def tagged(k: int, rule: Rule) -> Column:
-        one = lambda m, i: F.struct(F.lit(k).alias("rule"), (i + rule.first_turn).alias("turn"), m["found"].alias("found"), m["start"].alias("start"), m["end"].alias("end"))
-        return F.coalesce(F.transform(rule.spans, one).cast(kind), F.array().cast(kind))
-
-    known = with_regions(with_open_pages(pages) if "go_number" in fields else pages)
-    rows = known.select("doc_id", "page", "text", "read_at", "order_at", "carried", F.inline(F.concat(*[tagged(k, r) for k, r in enumerate(rules)])))
-    by_rule = lambda of: reduce(lambda c, kr: c.when(F.col("rule") == kr[0], of(kr[1])), enumerate(rules), F.when(F.lit(False), None))
-    # an array of one, so that a dropped match leaves no row and nothing is computed twice for a filter
-    rows = rows.select("*", F.explode(F.filter(F.array(by_rule(lambda r: r.normalized)), lambda x: x.isNotNull())).alias("normalized")).withColumn("where", region(F.col("start")))
-    weight = lambda r: page_weight(F.col("page")) * region_weight(r.field, F.col("where")) if r.weighted else F.lit(1.0)
-    out = rows.select(
-        "doc_id", by_rule(lambda r: F.lit(r.field)).alias("field"), "page", F.trim(by_rule(lambda r: F.col("found") if r.value is None else r.value)).alias("value"), "normalized", "start", "end",
-        F.round(by_rule(lambda r: r.base * weight(r)), 4).alias("confidence"), by_rule(lambda r: F.concat_ws("@", r.method, "where") if r.weighted else r.method).alias("method"), "turn",
-        T.evidence(F.col("text"), F.col("start"), F.col("end")).alias("evidence"),
+    text, plain = F.col("text"), F.col("plain")
+    by_rule = lambda of: reduce(lambda c, kr: c if (x := of(kr[1])) is None else c.when(F.col("rule") == kr[0], x), enumerate(rules), F.when(F.lit(False), None))
+    is_one = lambda those: F.col("rule").isin([k for k, r in enumerate(rules) if those(r)])
+    read = with_markers(pages).withColumn("plain", T.unmarked(text))
+    if "subject" in fields:
+        read = read.withColumn("abstract", F.regexp_extract(plain, V.ABSTRACT_BLOCK, 1)).withColumn("issued_at", T.first_at(plain, V.ORDERS_ISSUED))
+    one = lambda k, marked: F.struct(F.lit(k).alias("rule"), marked.alias("marked"))
+    rows = read.select("doc_id", "page", "text", "read_at", "order_at", F.inline(F.array(one(-1, F.lit(T.NONE_MARKED)), *[one(k, r.marked) for k, r in enumerate(rules)])))
+    rows = T.found_in(rows, "marked").drop("marked").withColumn("end", F.col("start") + F.length("found"))
+    rows = rows.withColumn("found", F.when(T.is_odd(text), F.substring(text, F.col("start") + 1, F.length("found"))).otherwise(F.col("found")))
+    rows = rows.withColumns({f"part_{i}": by_rule(lambda r, i=i: F.regexp_extract("found", r.pattern, i) if i <= r.parts else None) for i in (1, 2, 3)})
+    rows = rows.withColumn("normalized", by_rule(lambda r: r.normalized)).withColumns({
+        "field": by_rule(lambda r: F.lit(r.field)), "value": F.trim(by_rule(lambda r: F.col("found") if r.value is None else r.value)), "base": by_rule(lambda r: r.base), "method": by_rule(lambda r: r.method),
+        "turn": F.col("turn") + by_rule(lambda r: F.lit(r.first_turn)), "evidence": T.evidence(text, F.col("start"), F.col("end")),
+    })
+    known = with_carried(rows.drop("text", "found", "part_1", "part_2", "part_3"))
+    kept = F.col("normalized").isNotNull()
+    if any(r.if_open for r in rules):
+        known = with_open(known, is_one(lambda r: r.field == "go_number" and not r.if_open), is_one(lambda r: r.if_open))
+        kept = kept & (~is_one(lambda r: r.if_open) | F.col("open"))
+    known = known.where(kept).withColumn("where", region(F.col("start")))
+    by_region = reduce(lambda c, f: c.when(F.col("field") == f, region_weight(f, F.col("where"))), V.REGION_WEIGHTS, F.when(F.lit(False), 1.0))
+    weighted = is_one(lambda r: r.weighted)
+    out = known.select(
+        "doc_id", "field", "page", "value", "normalized", "start", "end", F.round(F.when(weighted, F.col("base") * (page_weight(F.col("page")) * by_region)).otherwise(F.col("base")), 4).alias("confidence"),
+        F.when(weighted, F.concat_ws("@", "method", "where")).otherwise(F.col("method")).alias("method"), "turn", "evidence",
     )
     return at_first_mention(out) if "district" in fields else out
 

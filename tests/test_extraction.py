@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioquery.functions import text as T
+from folioquery.functions import vocabulary as V
 from folioquery.functions import web as W
 from folioquery.operators import extraction as X
 from folioquery.operators import records as R
@@ -84,3 +85,29 @@ def test_script(spark):
     df = spark.createDataFrame([("தமிழ் உரை",), ("plain english",), ("தமிழ் half",), ("123",)], "text string")
     first, second = T.script_counts(F.col("text"), r"\x{0B80}-\x{0BFF}")
     assert [r[0] for r in df.select(T.language(first, second, ("tamil", "english"))).collect()] == ["tamil", "english", "mixed", "unknown"]
+
+
+def test_texts_are_read_before_pages_are_put_in_order(spark):
+    rows = spark.createDataFrame([(1, 1, HEAD)], "doc_id int, page int, text string")
+    plan = X.winners(X.candidates(rows)).select("doc_id", "field", "normalized")._jdf.queryExecution().optimizedPlan()
+
+    def windows(node):
+        below = [x for i in range(node.children().size()) for x in windows(node.children().apply(i))]
+        return [node.output().mkString(" "), *below] if node.nodeName() == "Window" else below
+
+    held = windows(plan)
+    assert held and not [x for x in held if "text#" in x or "found#" in x]
+
+
+def test_departments_are_the_same_where_runs_are_skipped(spark):
+    words = ["Public Works", "DEPARTMENT", " Department", "Departments", "A", "(AB-1) ", "(1 x)", "\n", "\t", "  ", "9", ".", "é", "x", "Very Long Name of an Office " * 3, "G", "\x01", "\x02"]
+    texts = spark.range(3000).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.get(F.array(*[F.lit(w) for w in words]), F.pmod(F.xxhash64("id", i), F.lit(len(words))).cast("int"))), "").alias("text"))
+    plain = texts.select("text", T.unmarked(F.col("text")).alias("plain"))
+    both = plain.select(*[T.marked(F.col("plain"), V.DEPARTMENT_IN_ABSTRACT, skip).alias(f"with_{k}") for k, skip in enumerate((None, V.NO_DEPARTMENT))])
+    assert both.where("with_0 like '%\x01%'").count() > 300 and both.where("with_0 <> with_1").count() == 0
+
+
+def test_marks_in_a_text_and_dates_of_any_length(spark):
+    out = best(spark, "\x01G.O.(Ms) No.7\x02 Dated: 5.3.99\x02 Dated: 1 Foo 1999")
+    assert out["go_number"]["normalized"] == "G.O.(Ms) No.7" and out["go_number"]["start"] == 1 and out["go_number"]["evidence"].startswith("\x01G.O.")
+    assert out["go_date"]["normalized"] == "1999-03-05" and out["go_date"]["start"] == 16
