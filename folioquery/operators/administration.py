@@ -18,7 +18,7 @@ from ..streaming.streams import shared_folder
 from . import extraction
 from .extraction import FACTS
 from .operations import _SCOPE, STAGES, scope, with_now
-from .records import category_flags, stored
+from .records import flags, stored
 from .review import FIELDS, fields
 from .web import anchors, counters, links, listing_rows
 from .workbench import _bucket
@@ -40,8 +40,8 @@ def categorized(pages: DataFrame, extractions: DataFrame, registered: DataFrame)
     """
     named = extraction.winners(extraction.candidates(pages, ("department",))).where("final >= 0.5").select("doc_id", F.col("normalized").alias("named"))
     tamil, english = T.script_counts(F.col("text"), "஀-௿")
-    language = pages.groupBy("doc_id").agg(F.sum(tamil).alias("_t"), F.sum(english).alias("_e")).select("doc_id", T.language(F.col("_t"), F.col("_e"), ("tamil", "english")).alias("language"))
-    out = extractions.join(registered, "doc_id").join(category_flags(pages), "doc_id", "left").join(language, "doc_id", "left").join(named, "doc_id", "left")
+    seen = pages.groupBy("doc_id").agg(*flags(), T.language(F.sum(tamil), F.sum(english), ("tamil", "english")).alias("language"))  # one pass over all pages
+    out = extractions.join(registered, "doc_id").join(seen, "doc_id", "left").join(named, "doc_id", "left")
     return out.select(
         "doc_id", F.when(F.col("needs_ocr") | F.col("ocr_applied"), "scanned").otherwise("digital").alias("text_type"), F.coalesce("language", F.lit("unknown")).alias("language"),
         F.coalesce("annexure_heavy", F.lit(False)).alias("annexure_heavy"), F.coalesce("table_heavy", F.lit(False)).alias("table_heavy"), T.bucket(F.coalesce("named", "department")).alias("bucket"), "page_count",

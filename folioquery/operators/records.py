@@ -158,14 +158,20 @@ def script_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("language", T.language(F.col("first"), F.col("second"), ("latin1", "english")))
 
 
-def category_flags(pages: DataFrame, mention: str = r"(?i)\bANNEXURE\b") -> DataFrame:
-    """Whether a document is heavy on annexures (over 5 pages, or 2 mentions) or on tables (6 lines of 3 columns).
+def flags(mention: str = r"(?i)(?=A)\bANNEXURE\b") -> list[Column]:
+    """Aggregates over a document's pages: whether it is heavy on annexures (over 5 pages, or 2 mentions) or on tables (6 lines of 3 columns).
 
-    The pattern of such lines looks only at the edges of columns, so a line of any length without gaps is read once.
+    The pattern of such lines looks only at the edges of columns, so a line of any length without gaps is read once; pages without gaps have none.
     """
     mentions = F.sum(F.size(F.regexp_extract_all("text", F.lit(mention), F.lit(0))))
-    lines = F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(V.TABLE_LINE))))
-    return pages.groupBy("doc_id").agg(((F.count(F.lit(1)) > 5) | (mentions >= 2)).alias("annexure_heavy"), (lines >= 6).alias("table_heavy"))
+    gaps = F.contains("text", F.lit("\t")) | F.contains("text", F.lit("  "))
+    lines = F.sum(F.when(gaps, F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(V.TABLE_LINE)))).when(~gaps, 0))
+    return [((F.count(F.lit(1)) > 5) | (mentions >= 2)).alias("annexure_heavy"), (lines >= 6).alias("table_heavy")]
+
+
+def category_flags(pages: DataFrame, mention: str | None = None) -> DataFrame:
+    """(doc_id, annexure_heavy, table_heavy) of pages(doc_id, page, text), see flags."""
+    return pages.groupBy("doc_id").agg(*(flags() if mention is None else flags(mention)))
 
 
 @C.query(

@@ -99,3 +99,13 @@ def test_store_finds_contents_that_are_not_what_their_name_says(spark, tmp_path)
     spark.createDataFrame([(name(b"a"), bytearray(b"a")), (name(b"b"), bytearray(b"damaged")), (name(b"z"), bytearray(b"never offered"))], schema).write.parquet(folder)
     offered = spark.createDataFrame([(name(b), bytearray(b)) for b in (b"a", b"b", b"c", b"c", b"")], schema)
     assert [tuple(A.store_once(offered, folder).first()) for _ in range(2)] == [(5, 2, 2, 1), (5, 0, 4, 1)]
+
+
+def test_script_and_flags_come_from_one_pass_over_pages(spark):
+    pages = spark.createDataFrame([(1, 1, "அ" * 9 + "a"), (1, 2, "ANNEXURE a \tb\tc annexure"), (2, 1, "a b\tc"), (2, 2, "அz. 9"), (3, 1, "Xannexure ANNEXURES annexure\n" + "a \tb  c\n" * 6), (3, 2, ""), (4, 1, "9 . 9")], "doc_id int, page int, text string")
+    extracted = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count")).select("doc_id", F.lit(False).alias("needs_ocr"), F.lit(False).alias("ocr_applied"), "page_count")
+    out = A.categorized(pages, extracted, extracted.select("doc_id", F.lit("Health").alias("department")))
+    got = {r["doc_id"]: (r["language"], r["annexure_heavy"], r["table_heavy"]) for r in out.collect()}
+    assert got == {1: ("mixed", True, False), 2: ("mixed", False, False), 3: ("english", False, True), 4: ("unknown", False, False)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 4  # extracted, registered, flags with script, departments; five with a pass for each
