@@ -229,7 +229,8 @@ def ranked(rows: DataFrame) -> DataFrame:
         return F.coalesce(F.when(first["normalized"] == value, second["best"]).otherwise(first["best"]), F.lit(0.0))
 
     once = F.transform("_one", lambda x: F.struct(adjusted(x["best"], x["n"], rival(F.col("_one"), x["normalized"])).alias("best"), x["normalized"].alias("normalized")))
-    out = out.withColumn("_two", F.sort_array(once, asc=False)).withColumn("confidence", adjusted(F.col("confidence"), F.col("_n"), rival(F.col("_one"), F.col("normalized"))))
+    several = F.when(F.size("_one") > 1, F.sort_array(once, asc=False))  # a value alone has no rival in either round
+    out = out.withColumn("_two", several).withColumn("confidence", adjusted(F.col("confidence"), F.col("_n"), rival(F.col("_one"), F.col("normalized"))))
     out = out.withColumn("final", adjusted(F.col("confidence"), F.col("_n"), rival(F.col("_two"), F.col("normalized")))).drop("_n", "_best", "_one", "_two")
     order = Window.partitionBy("doc_id", "field").orderBy(F.desc("final"), "page", "start", "turn")
     return out.withColumn("place", F.row_number().over(order))
